@@ -11,7 +11,6 @@ A shard wastes at most about one bin, and its size bounds memory and time.
 
 from __future__ import annotations
 
-import array
 import re
 import unicodedata
 import zlib
@@ -43,35 +42,48 @@ class WordTokens(dict):
     file's; any other text, and one that spells a special token, goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self._tokenizer, self._limit = Tokenizer.from_file(path), limit
-        latin = [chr(c) for c in range(0x250)]
+        latin = [chr(c) for c in range(0x180)]
         letters, numbers = ("".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == kind) for kind in "LN")
         # The pre-tokenizer's contractions and classes.
         self._cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+").findall
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         # beyond Latin, or white space on which the two engines differ
-        self._other = re.compile("[^\t-\r -\u0084\u0086-ɏ]").search
+        self._other = re.compile("[^\t-\r -\u0084\u0086-\u017f]").search
 
-    def ids(self, text: str) -> np.ndarray:
-        if self._other(text) or any(s in text for s in self._special):
-            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. The new words of a batch are tokenised together."""
+        words = [self._words(t) for t in texts]
+        here = set().union(*(w for w in words if w is not None))
+        if len(self) + len(here) > self._limit:
+            self.clear()
+        self._learn([w for w in here if w not in self])
+        whole = lambda t: np.array(self._tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
+        return [whole(t) if w is None else np.frombuffer(b"".join(map(self.__getitem__, w)), "<u4") for t, w in zip(texts, words, strict=True)]
+
+    def _words(self, text: str) -> list[str] | None:
+        """Pre-tokens of a text in Latin letters, else None."""
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-            if self._other(text):
-                return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = self._cut(text.lower())
-        new = [w for w in set(words) if w not in self]
-        if len(self) + len(new) > self._limit:
-            self.clear()
-            new = list(set(words))
-        if new:
-            for word, found in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self[word] = array.array("I", found.ids).tobytes()
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
+        lowered = text.lower()
+        if self._other(lowered) or any(s in text for s in self._special):
+            return None
+        return self._cut(lowered)
+
+    def _learn(self, words: list[str]) -> None:
+        for start in range(0, len(words), 20_000):
+            part = words[start : start + 20_000]
+            # spaces vanish and part pre-tokens, so each word is one again
+            found = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, word = np.array(found.ids, "<u4"), np.array(found.word_ids)
+            edge = np.searchsorted(word, np.arange(len(part) + 1)).tolist()
+            content = ids.tobytes()
+            for w, a, b in zip(part, edge[:-1], edge[1:], strict=True):
+                self[w] = content[4 * a : 4 * b]
 
 
 @cache
@@ -89,8 +101,8 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tok
         tokens = _word_tokens(tokenizer)
         for part in row_slices(batches):
             at, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(part.column(2).to_pylist()):
-                ids = np.append(tokens.ids(text or ""), np.uint32(end_id)).astype("<u4")
+            for i, found in enumerate(tokens.ids([t or "" for t in part.column(2).to_pylist()])):
+                ids = np.append(found, np.uint32(end_id)).astype("<u4")
                 for no, begin in enumerate(range(0, len(ids), capacity)):
                     own = ids[begin : begin + capacity]
                     at.append(i), piece.append(no), start.append(begin), length.append(len(own)), crc.append(zlib.crc32(own.tobytes()))
