@@ -25,16 +25,17 @@ WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at its ends, A-Z lower-cased (``lower`` is that for ASCII)."""
-    bare = F.btrim(line, F.lit(WHITE))
-    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
+def line_keys(lines: Column) -> Column:
+    """Each line without white space at its ends, A-Z lower-cased (``lower`` is that for ASCII).
 
+    One array step after the other, as a lambda evaluates each mention of its expressions."""
+    bare = F.transform(lines, lambda x: F.btrim(x, F.lit(WHITE)))
+    return F.transform(bare, lambda x: F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER)))
 
-def line_hash(line: Column, min_chars: int) -> Column:
-    """128-bit hash of a line's key, null for keys shorter than ``min_chars``."""
-    key = line_key(line)
-    return F.when(F.char_length(key) >= min_chars, F.unhex(F.md5(key)))
+
+def line_hashes(lines: Column, min_chars: int) -> Column:
+    """128-bit hashes of the lines' keys, null for keys shorter than ``min_chars``."""
+    return F.transform(line_keys(lines), lambda k: F.when(F.char_length(k) >= min_chars, F.unhex(F.md5(k))))
 
 
 def split_lines(text: Column) -> Column:
@@ -65,8 +66,8 @@ class LineLedger:
 
     def entries(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """Distinct ``(key, doc_id)`` of the lines that are long enough."""
-        hashes = F.array_distinct(F.transform(split_lines(F.col(text_col)), lambda x: line_hash(x, self.min_chars)))
-        return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.filter(hashes, lambda h: h.isNotNull())).alias("key"))
+        hashes = line_hashes(split_lines(F.col(text_col)), self.min_chars)
+        return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_compact(F.array_distinct(hashes))).alias("key"))
 
     def add(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Adds the run of a batch; its doc_ids must not be in earlier batches."""
@@ -133,8 +134,9 @@ def dedup_lines(
         .withColumnRenamed("doc_id", "__lost_id__")
     )
     lines = split_lines(F.col(text_col))
-    stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__lost_keys__", line_hash(x, min_chars)), F.lit(False)))
-    kept = F.when(F.col("__lost_keys__").isNull(), lines).otherwise(stays)
+    paired = F.arrays_zip(lines.alias("line"), line_hashes(lines, min_chars).alias("key"))
+    stays = F.filter(paired, lambda z: z["key"].isNull() | ~F.array_contains("__lost_keys__", z["key"]))
+    kept = F.when(F.col("__lost_keys__").isNull(), lines).otherwise(F.transform(stays, lambda z: z["line"]))
     added = {"n_lines": F.size(lines).cast("long"), "__kept_lines__": kept}
     joined = docs.join(lost, docs[id_col] == lost["__lost_id__"], "left").withColumns(added)
     return joined.withColumns({"n_dropped": F.col("n_lines") - F.size("__kept_lines__"), text_col: F.array_join("__kept_lines__", "\n")}).drop("__kept_lines__", "__lost_keys__", "__lost_id__")
