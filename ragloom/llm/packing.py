@@ -42,11 +42,12 @@ class WordTokens(dict):
     file's; any other text, and one that spells a special token, goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self._tokenizer, self._limit = Tokenizer.from_file(path), limit
+        self._again: set[str] = set()
         latin = [chr(c) for c in range(0x180)]
         letters, numbers = ("".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == kind) for kind in "LN")
         # The pre-tokenizer's contractions and classes.
@@ -59,12 +60,22 @@ class WordTokens(dict):
         """The ids of each text. The new words of a batch are tokenised together."""
         words = [self._words(t) for t in texts]
         here = set().union(*(w for w in words if w is not None))
-        if len(self) + len(here) > self._limit:
-            self.clear()
-        self._learn([w for w in here if w not in self])
+        known = here.intersection(self)
+        self._again |= known
+        if len(self) + len(here) - len(known) > self._limit:
+            self._forget()
+            known = here.intersection(self)
+        self._learn(list(here - known))
         whole = lambda t: np.array(self._tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
         return [whole(t) if w is None else np.frombuffer(b"".join(map(self.__getitem__, w)), "<u4") for t, w in zip(texts, words, strict=True)]
 
+    def _forget(self) -> None:
+        """Keeps the words that came again, if they are few enough."""
+        kept = {w: self[w] for w in self._again} if len(self._again) < self._limit // 2 else {}
+        self.clear()
+        self.update(kept)
+        self._again = set()
+
     def _words(self, text: str) -> list[str] | None:
         """Pre-tokens of a text in Latin letters, else None."""
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
