@@ -34,7 +34,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordTokens(dict):
+class WordTokens:
     """Ids of a text by a word-level BPE tokenizer file, with the ids of recent words kept.
 
     A BPE works on each pre-token alone, so a text's ids are those of its pre-tokens in
@@ -42,12 +42,11 @@ class WordTokens(dict):
     file's; any other text, and one that spells a special token, goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self._known: dict[str, bytes] = {}
         self._tokenizer, self._limit = Tokenizer.from_file(path), limit
-        self._again: set[str] = set()
         latin = [chr(c) for c in range(0x180)]
         letters, numbers = ("".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == kind) for kind in "LN")
         # The pre-tokenizer's contractions and classes.
@@ -60,21 +59,11 @@ class WordTokens(dict):
         """The ids of each text. The new words of a batch are tokenised together."""
         words = [self._words(t) for t in texts]
         here = set().union(*(w for w in words if w is not None))
-        known = here.intersection(self)
-        self._again |= known
-        if len(self) + len(here) - len(known) > self._limit:
-            self._forget()
-            known = here.intersection(self)
-        self._learn(list(here - known))
+        if len(self._known) + len(here) > self._limit:
+            self._known.clear()
+        self._learn(list(here.difference(self._known)))  # quick for a plain dict alone
         whole = lambda t: np.array(self._tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
-        return [whole(t) if w is None else np.frombuffer(b"".join(map(self.__getitem__, w)), "<u4") for t, w in zip(texts, words, strict=True)]
-
-    def _forget(self) -> None:
-        """Keeps the words that came again, if they are few enough."""
-        kept = {w: self[w] for w in self._again} if len(self._again) < self._limit // 2 else {}
-        self.clear()
-        self.update(kept)
-        self._again = set()
+        return [whole(t) if w is None else np.frombuffer(b"".join(map(self._known.__getitem__, w)), "<u4") for t, w in zip(texts, words, strict=True)]
 
     def _words(self, text: str) -> list[str] | None:
         """Pre-tokens of a text in Latin letters, else None."""
@@ -94,7 +83,7 @@ class WordTokens(dict):
             edge = np.searchsorted(word, np.arange(len(part) + 1)).tolist()
             content = ids.tobytes()
             for w, a, b in zip(part, edge[:-1], edge[1:], strict=True):
-                self[w] = content[4 * a : 4 * b]
+                self._known[w] = content[4 * a : 4 * b]
 
 
 @cache
