@@ -31,6 +31,9 @@ from .components import connected_components
 from .text_kernels import Powers, RollingHash, WordHashes, mix
 
 BITS = 64
+#: Buckets with more stored fingerprints than this give links that are linear in their rows.
+FEW_STORED = 16
+PAIRS_AT_ONCE = 1 << 20
 
 
 def fingerprint(text: bytes, shingle_words: int, seed: int = 42) -> int:
@@ -118,24 +121,24 @@ def _ball_keys(plan: list[Segment]) -> F.Column:
 
 def near_links(nodes: DataFrame, plan: list[Segment], distance: int, forest: bool = True, hot_rows: int = 8192) -> DataFrame:
     """Links ``(a, b)`` between nodes ``(node, fingerprint columns)`` that share a bucket and are within
-    ``distance`` bits in all. Of a bucket of over 16 nodes come a spanning forest of its links or,
-    without ``forest``, each node's link to the nearest one before it."""
+    ``distance`` bits in all. Of a bucket of over ``FEW_STORED`` stored ones come a spanning forest of its
+    links or, without ``forest``, the links of each to the nearest stored ones."""
     columns = list(dict.fromkeys(s.column for s in plan))
     nodes = nodes.where("node is not null").select("node", *columns)
     exact = nodes.select("node", *columns, F.explode(_stored_keys(plan)).alias("key"), F.lit(True).alias("exact"))
     balls = nodes.select("node", *columns, F.explode(_ball_keys(plan)).alias("key"), F.lit(False).alias("exact"))
     probes = exact.union(balls)
     sizes = exact.groupBy("key").agg(F.count("*").alias("n"))
-    # at most len(plan) * 1000 keys can have over a thousandth of the nodes
+    # at most len(plan) * 1000 keys can have over a thousandth of the nodes, so their list is small
     most = max(hot_rows, (nodes.count() + 999) // 1000)
-    hot = sizes.where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
-    own_block = F.pmod(F.xxhash64(*columns), F.col("blocks")) == F.col("block")
-    probes = (
-        probes.join(F.broadcast(hot), "key", "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "block", "node", (F.col("exact") & own_block).alias("stored"), *columns)
-    )
+    hot = sizes.where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("blocks")).collect()
+    probes = probes.select("key", F.lit(0).alias("block"), "node", F.col("exact").alias("stored"), *columns)
+    if hot:
+        blocks = F.broadcast(nodes.sparkSession.createDataFrame(hot, "key long, blocks int"))
+        own_block = F.pmod(F.xxhash64(*columns), F.col("blocks")) == F.col("block")
+        split = probes.drop("block").join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        split = split.select("key", "block", "node", (F.col("stored") & own_block).alias("stored"), *columns)
+        probes = probes.join(blocks, "key", "left_anti").union(split)
     dealt = probes.repartition("key", "block").sortWithinPartitions("key", "block")
     kind = nodes.schema["node"].dataType.simpleString()
     return dealt.mapInArrow(_bucket_links(distance, forest), f"a {kind}, b {kind}").distinct()
@@ -171,18 +174,23 @@ def _bucket_links(distance: int, forest: bool) -> Callable:
         fps = [w.view(np.uint64) for w in words]
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
-        found = []
+        held_by = np.add.reduceat(stored, starts, dtype=np.int64)
         owner = np.repeat(np.arange(len(starts)), sizes)
-        small = sizes <= 16
-        for shift in range(1, int(sizes[small].max(initial=1))):
-            near = (owner[shift:] == owner[:-shift]) & small[owner[shift:]] & (stored[shift:] | stored[:-shift])
-            i = np.flatnonzero(near)
-            i = i[_distance(fps, i, i + shift) <= distance]
-            found.append(np.stack([node[i], node[i + shift]], 1))
-        for g in np.flatnonzero(~small & np.logical_or.reduceat(stored, starts)):
+        # buckets with few stored fingerprints: each of these with every row of its bucket
+        at = np.flatnonzero(stored)
+        at = at[(held_by[owner[at]] <= FEW_STORED) & (sizes[owner[at]] > 1)]
+        ends = np.cumsum(sizes[owner[at]])
+        found = []
+        for part in np.split(at, np.flatnonzero(np.diff(ends // PAIRS_AT_ONCE)) + 1):
+            many = sizes[owner[part]]
+            i = np.repeat(part, many)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[owner[part]], many)
+            near = _distance(fps, i, j) <= distance
+            found.append(np.stack([node[i[near]], node[j[near]]], 1))
+        for g in np.flatnonzero(held_by > FEW_STORED):
             span = slice(starts[g], starts[g] + sizes[g])
             own = [fp[span] for fp in fps]
-            found.append((_forest if forest else _nearest_before)(node[span], own, stored[span], distance))
+            found.append((_forest if forest else _nearest_stored)(node[span], own, stored[span], distance))
         pairs = np.concatenate(found) if found else np.empty((0, 2), node.dtype)
         pairs = np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1)
         for i in range(0, len(pairs), 50_000):
@@ -191,19 +199,20 @@ def _bucket_links(distance: int, forest: bool) -> Callable:
     return run
 
 
-def _nearest_before(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distance: int) -> np.ndarray:
-    """For each node of a large bucket the nearest of the nodes before it (by number) within the distance."""
-    order = np.argsort(node, kind="stable")
-    node, fps, stored = node[order], [fp[order] for fp in fps], stored[order]
+def _nearest_stored(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distance: int) -> np.ndarray:
+    """For each row of a large bucket its nearest stored node and, if it is stored, the nearest with a smaller number."""
+    tables = np.flatnonzero(stored)
     out = []
-    for i in range(1, len(node)):
-        far = _distance(fps, slice(0, i), i)
-        if not stored[i]:
-            far = np.where(stored[:i], far, distance + 1)
-        j = int(far.argmin())
-        if far[j] <= distance:
-            out.append((node[j], node[i]))
-    return np.array(out, node.dtype).reshape(-1, 2)
+    for start in range(0, len(node), 1024):
+        i = np.arange(start, min(start + 1024, len(node)))
+        far = _distance([fp for fp in fps], i[:, None], tables[None, :])
+        far[node[i][:, None] == node[tables][None, :]] = np.iinfo(np.int16).max
+        before = np.where(stored[i][:, None] & (node[tables][None, :] < node[i][:, None]), far, np.iinfo(np.int16).max)
+        for d in (far, before):
+            nearest = d.argmin(axis=1)
+            near = d[np.arange(len(i)), nearest] <= distance
+            out.append(np.stack([node[i[near]], node[tables[nearest[near]]]], 1))
+    return np.concatenate(out)
 
 
 def _forest(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distance: int) -> np.ndarray:
@@ -332,7 +341,7 @@ def near_duplicate_groups(
     text_col: str = "text",
     shingle_words: int = 5,
     similarity: float = 0.8,
-    recall: float = 0.97,
+    recall: float = 0.94,
 ) -> DataFrame:
     """``(doc_id, component_id)`` of documents that are copies or near copies of one another.
 
