@@ -32,7 +32,7 @@ from .text_kernels import Powers, RollingHash, WordHashes, mix
 
 BITS = 64
 #: Buckets with more stored fingerprints than this give links that are linear in their rows.
-FEW_STORED = 16
+FEW_STORED = 8
 PAIRS_AT_ONCE = 1 << 20
 
 
@@ -119,10 +119,11 @@ def _ball_keys(plan: list[Segment]) -> F.Column:
     return F.array(*made) if made else F.array().cast("array<bigint>")
 
 
-def near_links(nodes: DataFrame, plan: list[Segment], distance: int, forest: bool = True, hot_rows: int = 8192) -> DataFrame:
+def near_links(nodes: DataFrame, plan: list[Segment], distance: int, sure: int, hot_rows: int = 8192) -> DataFrame:
     """Links ``(a, b)`` between nodes ``(node, fingerprint columns)`` that share a bucket and are within
-    ``distance`` bits in all. Of a bucket of over ``FEW_STORED`` stored ones come a spanning forest of its
-    links or, without ``forest``, the links of each to the nearest stored ones."""
+    ``distance`` bits in all. Of a bucket of over ``FEW_STORED`` stored ones come a spanning forest of the
+    links within ``sure`` bits, and of the others the link of each row to the nearest stored
+    node of another tree (see ``_nearest_stored``). With ``sure = distance`` nothing is left out."""
     columns = list(dict.fromkeys(s.column for s in plan))
     nodes = nodes.where("node is not null").select("node", *columns)
     exact = nodes.select("node", *columns, F.explode(_stored_keys(plan)).alias("key"), F.lit(True).alias("exact"))
@@ -141,14 +142,14 @@ def near_links(nodes: DataFrame, plan: list[Segment], distance: int, forest: boo
         probes = probes.join(blocks, "key", "left_anti").union(split)
     dealt = probes.repartition("key", "block").sortWithinPartitions("key", "block")
     kind = nodes.schema["node"].dataType.simpleString()
-    return dealt.mapInArrow(_bucket_links(distance, forest), f"a {kind}, b {kind}").distinct()
+    return dealt.mapInArrow(_bucket_links(distance, sure), f"a {kind}, b {kind}").distinct()
 
 
 def _distance(fps: list[np.ndarray], i: np.ndarray | slice, j: np.ndarray | int) -> np.ndarray:
     return sum(np.bitwise_count(fp[i] ^ fp[j]).astype(np.int16) for fp in fps)
 
 
-def _bucket_links(distance: int, forest: bool) -> Callable:
+def _bucket_links(distance: int, sure: int) -> Callable:
     """Streams sorted buckets; the rows of the last key of a batch wait for the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +191,7 @@ def _bucket_links(distance: int, forest: bool) -> Callable:
         for g in np.flatnonzero(held_by > FEW_STORED):
             span = slice(starts[g], starts[g] + sizes[g])
             own = [fp[span] for fp in fps]
-            found.append((_forest if forest else _nearest_stored)(node[span], own, stored[span], distance))
+            found += _large_bucket(node[span], own, stored[span], distance, sure)
         pairs = np.concatenate(found) if found else np.empty((0, 2), node.dtype)
         pairs = np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1)
         for i in range(0, len(pairs), 50_000):
@@ -199,24 +200,31 @@ def _bucket_links(distance: int, forest: bool) -> Callable:
     return run
 
 
-def _nearest_stored(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distance: int) -> np.ndarray:
-    """For each row of a large bucket its nearest stored node and, if it is stored, the nearest with a smaller number."""
+def _large_bucket(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distance: int, sure: int) -> list[np.ndarray]:
+    """By number, so that the trees of different buckets are stars around the same few nodes."""
+    order = np.argsort(node, kind="stable")
+    node, fps, stored = node[order], [fp[order] for fp in fps], stored[order]
+    links, tree = _forest(node, fps, stored, sure)
+    return [links, _nearest_stored(node, fps, stored, tree, distance)] if sure < distance else [links]
+
+
+def _nearest_stored(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, tree: np.ndarray, distance: int) -> np.ndarray:
+    """Of each row the link to the nearest stored node that isn't in its tree: of a stored row within
+    ``distance``, of a probe within 3/8 of it, as probes of a large group meet it in a hundred buckets."""
     tables = np.flatnonzero(stored)
     out = []
     for start in range(0, len(node), 1024):
         i = np.arange(start, min(start + 1024, len(node)))
-        far = _distance([fp for fp in fps], i[:, None], tables[None, :])
-        far[node[i][:, None] == node[tables][None, :]] = np.iinfo(np.int16).max
-        before = np.where(stored[i][:, None] & (node[tables][None, :] < node[i][:, None]), far, np.iinfo(np.int16).max)
-        for d in (far, before):
-            nearest = d.argmin(axis=1)
-            near = d[np.arange(len(i)), nearest] <= distance
-            out.append(np.stack([node[i[near]], node[tables[nearest[near]]]], 1))
+        far = _distance(fps, i[:, None], tables[None, :])
+        far[(node[i][:, None] == node[tables][None, :]) | (tree[i][:, None] == tree[tables][None, :])] = np.iinfo(np.int16).max
+        nearest = far.argmin(axis=1)
+        near = far[np.arange(len(i)), nearest] <= np.where(stored[i], distance, distance * 3 // 8)
+        out.append(np.stack([node[i[near]], node[tables[nearest[near]]]], 1))
     return np.concatenate(out)
 
 
-def _forest(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distance: int) -> np.ndarray:
-    """A spanning forest of a large bucket's verified links, block by block."""
+def _forest(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a bucket's links of stored nodes, and the tree of each row."""
     parent = np.arange(len(node))
 
     def root(i: int) -> int:
@@ -226,18 +234,17 @@ def _forest(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distanc
         return i
 
     out = []
-    tables = np.flatnonzero(stored)
-    for t in tables:
-        near = np.flatnonzero(_distance(fps, slice(None), int(t)) <= distance)
+    for no, t in enumerate(np.flatnonzero(stored).tolist()):
+        near = np.flatnonzero(_distance(fps, slice(None), t) <= distance)
         near = near[parent[near] != parent[t]]
         for j in near.tolist():
-            a, b = root(int(t)), root(j)
+            a, b = root(t), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 out.append((node[t], node[j]))
-        if len(out) and not t % 64:
-            parent = _flattened(parent)
-    return np.array(out, node.dtype).reshape(-1, 2)
+        if no % 16 == 0:
+            parent[:] = _flattened(parent)
+    return np.array(out, node.dtype).reshape(-1, 2), _flattened(parent)
 
 
 def _flattened(parent: np.ndarray) -> np.ndarray:
@@ -267,7 +274,7 @@ def simhash_components(
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col, shingle_words))
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    reached = connected_components(near_links(nodes, plan_segments(distance, segments), distance))
+    reached = connected_components(near_links(nodes, plan_segments(distance, segments), distance, distance))
     labelled = nodes.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -357,8 +364,8 @@ def near_duplicate_groups(
     fps = [f"fp{no}" for no in range(words)]
     rows = checkpointed(long_fingerprints(docs, words, shingle_words, id_col, text_col))
     nodes = checkpointed(rows.groupBy("copy", *fps).agg(F.min("doc_id").alias("node")))
-    met = near_links(nodes, plan, int(BITS * words * (DIFFERING_AT_LEAST + 0.105)), forest=False)
-    met = checkpointed(met)
+    bits = BITS * words
+    met = checkpointed(near_links(nodes, plan, int(bits * (DIFFERING_AT_LEAST + 0.075)), sure=int(bits * 0.07)))
     ids = met.select(F.col("a").alias("node")).union(met.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(F.col(id_col).alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = texts.join(ids, "node", "left_semi").dropDuplicates(["node"])
