@@ -348,7 +348,7 @@ def near_duplicate_groups(
     text_col: str = "text",
     shingle_words: int = 5,
     similarity: float = 0.8,
-    recall: float = 0.94,
+    recall: float = 0.98,
 ) -> DataFrame:
     """``(doc_id, component_id)`` of documents that are copies or near copies of one another.
 
@@ -365,7 +365,9 @@ def near_duplicate_groups(
     rows = checkpointed(long_fingerprints(docs, words, shingle_words, id_col, text_col))
     nodes = checkpointed(rows.groupBy("copy", *fps).agg(F.min("doc_id").alias("node")))
     bits = BITS * words
-    met = checkpointed(near_links(nodes, plan, int(bits * (DIFFERING_AT_LEAST + 0.075)), sure=int(bits * 0.07)))
+    # two standard deviations over what a pair that is just similar enough differs in
+    distance = int(bits * DIFFERING_AT_LEAST + 2.2 * (bits * DIFFERING_AT_LEAST * (1 - DIFFERING_AT_LEAST)) ** 0.5)
+    met = checkpointed(near_links(nodes, plan, distance, sure=int(bits * 0.07)))
     ids = met.select(F.col("a").alias("node")).union(met.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(F.col(id_col).alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = texts.join(ids, "node", "left_semi").dropDuplicates(["node"])
