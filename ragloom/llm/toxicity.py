@@ -100,7 +100,7 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + below) / 2)
 
 
-def fit_chain(sizes: np.ndarray, words: list[np.ndarray], targets: dict[str, np.ndarray], folds: int = 3, most_words: int = 128) -> dict[str, LinearModel]:
+def fit_chain(sizes: np.ndarray, words: list[np.ndarray], targets: dict[str, np.ndarray], folds: int = 3, most_words: int = 192) -> dict[str, LinearModel]:
     """One model for each category of ``targets`` (0/1 arrays), in its order.
 
     ``words`` has the word hashes of each text. A category with one class only gets a model of its
