@@ -58,7 +58,9 @@ def terms(text: Column) -> Column:
 
 
 def grounded(found: Column, source: Column) -> Column:
-    return F.filter(found, lambda t: F.contains(F.lower(source), t))
+    """The terms that the source has. An array of one binds the lowered source, or each term would lower it again."""
+    kept = F.transform(F.array(F.lower(source)), lambda s: F.filter(found, lambda t: F.contains(s, t)))
+    return F.element_at(kept, 1)
 
 
 def spoken(text: Column) -> Column:

@@ -433,17 +433,18 @@ def needs_rewrite(s, d):
     return _messages(s, d).where("role = 'user'").select("conv_id", "turn", T.needs_rewrite(F.col("text")).alias("rewrite"))
 
 
-_CITED = F.concat(F.col("text"), F.lit(" ["), F.col("turn").cast("string"), F.lit("] and ["), (F.col("turn") + 1).cast("string"), F.lit("-"), (F.col("turn") + 3).cast("string"), F.lit("]"))
+def _cited():
+    return F.concat(F.col("text"), F.lit(" ["), F.col("turn").cast("string"), F.lit("] and ["), (F.col("turn") + 1).cast("string"), F.lit("-"), (F.col("turn") + 3).cast("string"), F.lit("]"))
 
 
 @query("SELECT conv_id, turn, concat_ws(',', turn, turn + 1, turn + 2, turn + 3) AS numbers FROM conversations")
 def citations_parse(s, d):
-    return _messages(s, d).select("conv_id", "turn", F.array_join(T.cited_numbers(_CITED), ",").alias("numbers"))
+    return _messages(s, d).select("conv_id", "turn", F.array_join(T.cited_numbers(_cited()), ",").alias("numbers"))
 
 
 @query("SELECT conv_id, turn, list_aggregate(list_filter([turn, turn + 1, turn + 2, turn + 3], lambda x: x BETWEEN 1 AND 3), 'count') AS n_valid, list_aggregate(list_filter([turn, turn + 1, turn + 2, turn + 3], lambda x: NOT x BETWEEN 1 AND 3), 'count') AS n_invalid FROM conversations")
 def citation_validate(s, d):
-    valid, invalid = T.valid_citations(_CITED, F.lit(3))
+    valid, invalid = T.valid_citations(_cited(), F.lit(3))
     return _messages(s, d).select("conv_id", "turn", F.size(valid).cast("long").alias("n_valid"), F.size(invalid).cast("long").alias("n_invalid"))
 
 
