@@ -33,7 +33,7 @@ from .text_kernels import Powers, RollingHash, WordHashes, mix
 BITS = 64
 #: Buckets with more stored fingerprints than this give links that are linear in their rows.
 FEW_STORED = 8
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 18
 
 
 def fingerprint(text: bytes, shingle_words: int, seed: int = 42) -> int:
