@@ -14,7 +14,8 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -27,6 +28,11 @@ from .common import checkpointed, row_slices
 
 TOKENIZER = "word_bpe_49k.json"
 
+# Byte-level signs. A printable Latin-1 character stands for its own byte, the rest are numbered from 256.
+_OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_NUMBERED = [b for b in range(256) if b not in _OWN]
+BYTE_SIGNS = {b: chr(b) for b in _OWN} | {b: chr(256 + n) for n, b in enumerate(_NUMBERED)}
+
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
@@ -34,6 +40,30 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class WordTable(dict[str, bytes]):
+    """Ids of words as bytes, found by the model when first asked for.
+
+    Two generations bound it: words in use move to the younger one, and when that is
+    full it becomes the older one, whose predecessor goes.
+    """
+
+    def __init__(self, tokenize: Callable, limit: int):
+        super().__init__()
+        self._tokenize, self._half = tokenize, limit // 2
+        self._older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self._older.get(word)
+        if found is None:
+            plain = word if word.isascii() else "".join(map(BYTE_SIGNS.__getitem__, word.encode()))
+            found = array("I", [t.id for t in self._tokenize(plain)]).tobytes()
+        if len(self) >= self._half:
+            self._older = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 class WordTokens:
     """Ids of a text by a word-level BPE tokenizer file, with the ids of recent words kept.
 
@@ -45,8 +75,8 @@ class WordTokens:
     def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
-        self._known: dict[str, bytes] = {}
-        self._tokenizer, self._limit = Tokenizer.from_file(path), limit
+        self._tokenizer = Tokenizer.from_file(path)
+        self._known = WordTable(self._tokenizer.model.tokenize, limit)
         latin = [chr(c) for c in range(0x180)]
         letters, numbers = ("".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == kind) for kind in "LN")
         # The pre-tokenizer's contractions and classes.
@@ -55,15 +85,11 @@ class WordTokens:
         # beyond Latin, or white space on which the two engines differ
         self._other = re.compile("[^\t-\r -\u0084\u0086-\u017f]").search
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. The new words of a batch are tokenised together."""
-        words = [self._words(t) for t in texts]
-        here = set().union(*(w for w in words if w is not None))
-        if len(self._known) + len(here) > self._limit:
-            self._known.clear()
-        self._learn(list(here.difference(self._known)))  # quick for a plain dict alone
-        whole = lambda t: np.array(self._tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
-        return [whole(t) if w is None else np.frombuffer(b"".join(map(self._known.__getitem__, w)), "<u4") for t, w in zip(texts, words, strict=True)]
+    def ids(self, text: str) -> np.ndarray:
+        words = self._words(text)
+        if words is None:
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.frombuffer(b"".join(map(self._known.__getitem__, words)), "=u4").astype("<u4", copy=False)
 
     def _words(self, text: str) -> list[str] | None:
         """Pre-tokens of a text in Latin letters, else None."""
@@ -74,17 +100,6 @@ class WordTokens:
             return None
         return self._cut(lowered)
 
-    def _learn(self, words: list[str]) -> None:
-        for start in range(0, len(words), 20_000):
-            part = words[start : start + 20_000]
-            # spaces vanish and part pre-tokens, so each word is one again
-            found = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, word = np.array(found.ids, "<u4"), np.array(found.word_ids)
-            edge = np.searchsorted(word, np.arange(len(part) + 1)).tolist()
-            content = ids.tobytes()
-            for w, a, b in zip(part, edge[:-1], edge[1:], strict=True):
-                self._known[w] = content[4 * a : 4 * b]
-
 
 @cache
 def _word_tokens(path: str) -> WordTokens:
@@ -101,8 +116,8 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tok
         tokens = _word_tokens(tokenizer)
         for part in row_slices(batches):
             at, piece, start, length, crc = [], [], [], [], []
-            for i, found in enumerate(tokens.ids([t or "" for t in part.column(2).to_pylist()])):
-                ids = np.append(found, np.uint32(end_id)).astype("<u4")
+            for i, text in enumerate(part.column(2).to_pylist()):
+                ids = np.append(tokens.ids(text or ""), np.uint32(end_id)).astype("<u4")
                 for no, begin in enumerate(range(0, len(ids), capacity)):
                     own = ids[begin : begin + capacity]
                     at.append(i), piece.append(no), start.append(begin), length.append(len(own)), crc.append(zlib.crc32(own.tobytes()))
