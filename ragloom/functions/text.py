@@ -111,3 +111,8 @@ def next_action(depth: Column, max_depth: Column, level: Column, specificity: Co
         .when(depth < 1, "FOLLOW_UP")
         .otherwise("NEXT_TOPIC")
     )
+
+
+def placeholders(text: Column) -> Column:
+    """Names in braces that were never filled in, as they stand."""
+    return F.regexp_extract_all(text, F.lit(r"\{[A-Za-z_][A-Za-z0-9_]*\}"), F.lit(0))

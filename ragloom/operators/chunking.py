@@ -171,3 +171,24 @@ def page_ranges(spans: DataFrame, paras: DataFrame) -> DataFrame:
     placed = paras.select("doc_id", "page_no", at.alias("p_start"), (at + F.char_length("text")).alias("p_end"))
     hit = spans.join(placed, "doc_id").where("start < p_end and p_start < end")
     return hit.groupBy("doc_id", "no").agg(F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"))
+
+
+def overlap_spans(spans: DataFrame, overlap: int = 50, ratio: float = 0.5) -> DataFrame:
+    """Spans ``doc_id, no, start, end`` but the first start earlier, by ``overlap`` or by
+    ``ratio`` of the shortest span of the document, whichever is less."""
+    shortest = F.min(F.col("end") - F.col("start")).over(Window.partitionBy("doc_id"))
+    back = F.least(F.lit(overlap).cast("long"), F.floor(shortest * ratio))
+    return spans.withColumn("start", F.when(F.col("no") == 0, F.col("start").cast("long")).otherwise(F.col("start") - back))
+
+
+def preview(chunks: DataFrame, limit: int = 200) -> DataFrame:
+    """The first ``limit`` chunks of each document and whether there are more (``truncated``)."""
+    whole = Window.partitionBy("doc_id")
+    return chunks.withColumn("truncated", F.max("no").over(whole) >= limit).where(F.col("no") < limit)
+
+
+def alarms(chunks: DataFrame) -> DataFrame:
+    """``doc_id, alarm``: a text under 200 characters, or chunks under 80 or over 600 on average."""
+    mean = F.avg(F.char_length("content"))
+    alarm = F.when(F.max("end") < 200, "too short").when(mean < 80, "small chunks").when(mean > 600, "large chunks").otherwise("fine")
+    return chunks.groupBy("doc_id").agg(alarm.alias("alarm"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Depths of the metrics, and how much of an evidence is compared and counts as found.
 KS = (1, 3, 5, 10)
+EVIDENCE_CHARS, SHORTEST_MATCH = 800, 8
 
 
 def evidence_key(text: Column) -> Column:
@@ -76,3 +80,55 @@ def dedupe_golden(items: DataFrame) -> DataFrame:
     first = Window.partitionBy(evidence_key(F.col("question"))).orderBy("item_id")
     kept = items.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
     return kept.withColumn("new_id", F.format_string("q%03d", F.row_number().over(Window.orderBy("item_id"))))
+
+
+def sweep_depths(ranks: DataFrame, depths: tuple[int, ...]) -> DataFrame:
+    """Recall and reciprocal rank if only the first ``top_k`` results were kept, for each depth."""
+    rows = ranks.withColumn("top_k", F.explode(F.array(*[F.lit(k) for k in depths])))
+    within = F.col("hit_rank") <= F.col("top_k")
+    return rows.groupBy("top_k").agg(
+        F.count("*").alias("questions"),
+        F.round(F.avg(F.coalesce(within.cast("int"), F.lit(0))), 6).alias("recall"),
+        F.round(F.avg(F.when(within, 1 / F.col("hit_rank")).otherwise(0.0)), 6).alias("mrr"),
+    )
+
+
+def findings(configs: DataFrame, name: str, score: str) -> DataFrame:
+    """The best and the worst configuration by a score; of equal ones the first by name."""
+    best = F.min_by(name, F.struct(-F.col(score), F.col(name)))
+    return configs.agg(best.alias("best"), F.max(score).alias(f"best_{score}"), F.min_by(name, F.struct(score, name)).alias("worst"), F.min(score).alias(f"worst_{score}"))
+
+
+def longest_common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common substring of two code point arrays."""
+    run = np.zeros(len(b) + 1, np.int32)
+    best = 0
+    for x in a:
+        run[1:] = np.where(b == x, run[:-1] + 1, 0)
+        best = max(best, int(run.max()))
+    return best
+
+
+def _ratio(content: str | None, evidence: str | None) -> float:
+    if not content or not evidence:
+        return 0.0
+    if evidence in content:
+        return 1.0
+    points = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    part = evidence[:EVIDENCE_CHARS]
+    found = longest_common(points(part), points(content))
+    return found / len(part) if found >= min(SHORTEST_MATCH, len(part)) else 0.0
+
+
+def match_ratio(content: Column, evidence: Column) -> Column:
+    """1 where the text holds the evidence, else the share of the evidence that their longest
+    common substring covers. White space and case don't count; null or empty texts match nothing.
+
+    Arrow batches, as there's no built-in for it; pairs come from a bounded list per question.
+    """
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return ratio(evidence_key(content), evidence_key(evidence))

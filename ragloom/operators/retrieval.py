@@ -129,3 +129,21 @@ def refusals(queries: DataFrame, hits: DataFrame, threshold: float) -> DataFrame
     rows = queries.select("query_id").join(top, "query_id", "left")
     reason = F.when(F.col("top_score").isNull(), "no_hits").when((F.lit(threshold) > 0) & (F.col("top_score") < threshold), "low_score")
     return rows.select("query_id", F.coalesce("top_score", F.lit(0.0)).alias("top_score"), reason.isNotNull().alias("refused"), F.coalesce(reason, F.lit("")).alias("reason"))
+
+
+def rerank(candidates: DataFrame, question: Column, content: Column, top_n: int = 5) -> DataFrame:
+    """The best ``top_n`` of each query by the share of common terms, with ``score`` and ``place``.
+
+    A lexical scorer in place of a model; ties keep the order of ``rank``, and a pair
+    without any term scores null and goes last.
+    """
+    asked, have = tokens(question), tokens(content)
+    score = F.round(F.try_divide(F.size(F.array_intersect(asked, have)), F.size(F.array_union(asked, have))), 6)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
+    return candidates.withColumn("score", score).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_n)
+
+
+def token_entropy(posted: DataFrame) -> DataFrame:
+    """``id, entropy`` of each text's terms, in nats; texts without terms have no row."""
+    n, tf = F.sum("tf"), F.col("tf")
+    return posted.groupBy("id").agg((F.round(F.log(n.cast("double")) - F.sum(tf * F.log(tf.cast("double"))) / n, 6) + 0.0).alias("entropy"))

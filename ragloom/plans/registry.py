@@ -312,7 +312,7 @@ SELECT query_id, rank AS "index", id, CASE WHEN length(one) > 120 THEN substr(on
 def context_build(s, d):
     docs = _corpus(s, d).select(F.col("id"), "content")
     rows = _rrf(s, d).where("rank <= 5").join(docs, "id").withColumn("parent_id", F.col("id"))
-    parents = docs.select(F.col("id").alias("parent_id"), "content").where("parent_id % 2 = 0")
+    parents = docs.select(F.col("id").alias("parent_id"), "content")
     return retrieval.contexts(rows, parents).select("query_id", "index", "id", "snippet")
 
 
@@ -334,10 +334,10 @@ def stage_trace(s, d):
 
 
 @query(f"""WITH {BM25}, t AS (SELECT query_id, rank, text FROM bm JOIN documents ON doc_id = id WHERE rank <= 3)
-SELECT query_id, string_agg('[' || rank || '] ' || substr(text, 1, 200), chr(10) || chr(10) ORDER BY rank) AS context FROM t GROUP BY query_id""")
+SELECT query_id, string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM t GROUP BY query_id""")
 def prompt_context(s, d):
     rows = _bm25(s, d).where("rank <= 3").join(_corpus(s, d), "id")
-    part = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.substring("content", 1, 200))
+    part = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("content"))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("context"))
 
 
@@ -401,9 +401,9 @@ def ablation_delta(s, d):
     return evaluation.ablation(stages).withColumnRenamed("stage_no", "event_type")
 
 
-@query("WITH g AS (SELECT doc_id AS item_id, lower(regexp_replace(substr(text, 1, 24), '\\s+', '', 'g')) AS k FROM documents), f AS (SELECT item_id FROM g QUALIFY row_number() OVER (PARTITION BY k ORDER BY item_id) = 1) SELECT item_id, printf('q%03d', row_number() OVER (ORDER BY item_id)) AS new_id FROM f")
+@query("WITH g AS (SELECT doc_id AS item_id, lower(regexp_replace(text, '\\s+', '', 'g')) AS k FROM documents), f AS (SELECT item_id FROM g QUALIFY row_number() OVER (PARTITION BY k ORDER BY item_id) = 1) SELECT item_id, printf('q%03d', row_number() OVER (ORDER BY item_id)) AS new_id FROM f")
 def golden_dedupe(s, d):
-    rows = load(s, d, "documents").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 24).alias("question"))
+    rows = load(s, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("question"))
     return evaluation.dedupe_golden(rows).select("item_id", "new_id")
 
 
@@ -493,12 +493,13 @@ def orphans(s, d):
     return catalog.orphans(load(s, d, "labels").select("doc_id"), load(s, d, "documents").where("lang = 'en'"))
 
 
-@query("""WITH c AS (SELECT DISTINCT source, md5(text) AS h FROM documents WHERE doc_id % 2 = 0), u AS (SELECT doc_id, source, md5(text) AS h FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH c AS (SELECT DISTINCT source, md5(text) AS h FROM documents JOIN labels USING (doc_id)), u AS (SELECT doc_id, source, md5(text) AS h FROM documents)
 SELECT doc_id, CASE WHEN c.h IS NULL THEN 'insert' ELSE 'reuse' END AS action FROM u LEFT JOIN c USING (source, h)""")
 def idempotent_upsert(s, d):
+    """All documents are uploads; those with a label are in the catalog already."""
     docs = load(s, d, "documents").select("doc_id", F.col("source").alias("user_id"), F.md5("text").alias("file_md5"))
-    known = docs.where("doc_id % 2 = 0").select("user_id", "file_md5").distinct().withColumn("status", F.lit("READY"))
-    return catalog.plan_uploads(docs.where("doc_id % 3 = 0"), known).select("doc_id", "action")
+    known = docs.join(load(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select("user_id", "file_md5").distinct().withColumn("status", F.lit("READY"))
+    return catalog.plan_uploads(docs, known).select("doc_id", "action")
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 100 WHEN 1 THEN 35 WHEN 2 THEN 0 END AS progress FROM documents WHERE doc_id % 4 <> 3")

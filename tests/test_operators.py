@@ -1,10 +1,13 @@
 """Golden cases of single operators."""
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
-from ragloom.operators import chunking, evaluation, layout, retrieval
+from ragloom.operators import chunking, evaluation, interview, layout, retrieval
 from ragloom.sources import tables
 
 
@@ -117,3 +120,23 @@ def test_stream_ingest(spark, sf_dir, tmp_path):
     docs.write.parquet(str(tmp_path / "in"))
     jobs.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), chunking.ChunkParams(strategy="fixed")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).select("doc_id").distinct().count() == docs.where("text <> ''").count()
+
+
+def test_interview_states(spark):
+    acts = ["FOLLOW_UP", "NEXT_TOPIC", "FOLLOW_UP", "FOLLOW_UP", None, "FOLLOW_UP"]
+    rows = interview.states(spark.createDataFrame([(1, i, a) for i, a in enumerate(acts)], "k long, t int, action string"), "k", "t", max_turns=6).orderBy("t").collect()
+    assert [(r.topic, r.depth) for r in rows] == [(0, 1), (1, 0), (1, 1), (1, 2), (2, 0), (2, 1)]
+    assert [r.finished for r in rows] == [False] * 5 + [True]
+
+
+def test_match_ratio(spark):
+    cases = [("abcdefghijXYZ", "zzabcdefghij__", 10 / 14), ("say ABC here", "abc", 1.0), ("aXbXcX", "abc", 0.0), (None, "abc", 0.0), ("abc", None, 0.0)]
+    rows = spark.createDataFrame([c[:2] for c in cases], "content string, evidence string").select(evaluation.match_ratio(F.col("content"), F.col("evidence")).alias("r")).collect()
+    assert [r.r for r in rows] == pytest.approx([c[2] for c in cases])
+
+
+@given(st.text("abc", max_size=30), st.text("abc", max_size=30))
+def test_longest_common_equals_brute_force(a, b):
+    want = max((j - i for i in range(len(a)) for j in range(i, len(a) + 1) if a[i:j] in b), default=0)
+    points = [np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b)]
+    assert evaluation.longest_common(*points) == want
