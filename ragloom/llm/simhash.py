@@ -119,12 +119,18 @@ def _ball_keys(plan: list[Segment]) -> F.Column:
     return F.array(*made) if made else F.array().cast("array<bigint>")
 
 
-def near_links(nodes: DataFrame, plan: list[Segment], distance: int, sure: int, hot_rows: int = 8192) -> DataFrame:
+def near_links(nodes: DataFrame, plan: list[Segment], distance: int, sure: int, hot_rows: int = 8192, nearest: int = 1) -> DataFrame:
     """Links ``(a, b)`` between nodes ``(node, fingerprint columns)`` that share a bucket and are within
     ``distance`` bits in all. Of a bucket of over ``FEW_STORED`` stored ones come a spanning forest of the
     links within ``sure`` bits, and of the others the link of each row to the nearest stored
-    node of another tree (see ``_nearest_stored``). With ``sure = distance`` nothing is left out."""
-    columns = list(dict.fromkeys(s.column for s in plan))
+    node of another tree (see ``_first_links``). With ``sure = distance`` nothing is left out; else a
+    row ``(node, null)`` comes for each node of a link that was left out.
+
+    Nodes with a column ``tree`` are linked across trees only, in a bucket of over ``FEW_STORED`` stored
+    ones each row to its ``nearest`` ones (see ``_nearest_stored``)."""
+    labelled = "tree" in nodes.columns
+    words = list(dict.fromkeys(s.column for s in plan))
+    columns = ["tree", *words] if labelled else words
     nodes = nodes.where("node is not null").select("node", *columns)
     exact = nodes.select("node", *columns, F.explode(_stored_keys(plan)).alias("key"), F.lit(True).alias("exact"))
     balls = nodes.select("node", *columns, F.explode(_ball_keys(plan)).alias("key"), F.lit(False).alias("exact"))
@@ -136,20 +142,20 @@ def near_links(nodes: DataFrame, plan: list[Segment], distance: int, sure: int,
     probes = probes.select("key", F.lit(0).alias("block"), "node", F.col("exact").alias("stored"), *columns)
     if hot:
         blocks = F.broadcast(nodes.sparkSession.createDataFrame(hot, "key long, blocks int"))
-        own_block = F.pmod(F.xxhash64(*columns), F.col("blocks")) == F.col("block")
+        own_block = F.pmod(F.xxhash64(*words), F.col("blocks")) == F.col("block")
         split = probes.drop("block").join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         split = split.select("key", "block", "node", (F.col("stored") & own_block).alias("stored"), *columns)
         probes = probes.join(blocks, "key", "left_anti").union(split)
     dealt = probes.repartition("key", "block").sortWithinPartitions("key", "block")
     kind = nodes.schema["node"].dataType.simpleString()
-    return dealt.mapInArrow(_bucket_links(distance, sure), f"a {kind}, b {kind}").distinct()
+    return dealt.mapInArrow(_bucket_links(distance, sure, nearest, labelled), f"a {kind}, b {kind}").distinct()
 
 
 def _distance(fps: list[np.ndarray], i: np.ndarray | slice, j: np.ndarray | int) -> np.ndarray:
     return sum(np.bitwise_count(fp[i] ^ fp[j]).astype(np.int16) for fp in fps)
 
 
-def _bucket_links(distance: int, sure: int) -> Callable:
+def _bucket_links(distance: int, sure: int, nearest: int, labelled: bool) -> Callable:
     """Streams sorted buckets; the rows of the last key of a batch wait for the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +178,7 @@ def _bucket_links(distance: int, sure: int) -> Callable:
         key, block, node, stored, *words = rows
         if len(key) < 2:
             return
+        tree = words.pop(0) if labelled else None
         fps = [w.view(np.uint64) for w in words]
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
@@ -181,46 +188,84 @@ def _bucket_links(distance: int, sure: int) -> Callable:
         at = np.flatnonzero(stored)
         at = at[(held_by[owner[at]] <= FEW_STORED) & (sizes[owner[at]] > 1)]
         ends = np.cumsum(sizes[owner[at]])
-        found = []
+        found, waiting = [], []
         for part in np.split(at, np.flatnonzero(np.diff(ends // PAIRS_AT_ONCE)) + 1):
             many = sizes[owner[part]]
             i = np.repeat(part, many)
             j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[owner[part]], many)
             near = _distance(fps, i, j) <= distance
+            if labelled:
+                near &= tree[i] != tree[j]
             found.append(np.stack([node[i[near]], node[j[near]]], 1))
         for g in np.flatnonzero(held_by > FEW_STORED):
             span = slice(starts[g], starts[g] + sizes[g])
             own = [fp[span] for fp in fps]
-            found += _large_bucket(node[span], own, stored[span], distance, sure)
+            if labelled:
+                links, left_out = _nearest_stored(node[span], own, stored[span], tree[span], distance, nearest)
+            else:
+                links, left_out = _first_links(node[span], own, stored[span], distance, sure)
+            found += links
+            waiting += left_out
         pairs = np.concatenate(found) if found else np.empty((0, 2), node.dtype)
         pairs = np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1)
         for i in range(0, len(pairs), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 50_000, 0]), pa.array(pairs[i : i + 50_000, 1])], ["a", "b"])
+        if waiting:
+            left = pa.array(np.unique(np.concatenate(waiting)))
+            yield pa.RecordBatch.from_arrays([left, pa.nulls(len(left), left.type)], ["a", "b"])
 
     return run
 
 
-def _large_bucket(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distance: int, sure: int) -> list[np.ndarray]:
-    """By number, so that the trees of different buckets are stars around the same few nodes."""
+def _first_links(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distance: int, sure: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The links of a forest and of each row the link to the nearest stored node that isn't in its tree,
+    of a probe only within 3/8 of ``distance``, as probes of a large group meet it in a hundred buckets;
+    and the nodes of all other links. By number, so that the trees of different buckets are stars around
+    the same few nodes."""
     order = np.argsort(node, kind="stable")
     node, fps, stored = node[order], [fp[order] for fp in fps], stored[order]
     links, tree = _forest(node, fps, stored, sure)
-    return [links, _nearest_stored(node, fps, stored, tree, distance)] if sure < distance else [links]
-
-
-def _nearest_stored(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, tree: np.ndarray, distance: int) -> np.ndarray:
-    """Of each row the link to the nearest stored node that isn't in its tree: of a stored row within
-    ``distance``, of a probe within 3/8 of it, as probes of a large group meet it in a hundred buckets."""
+    if sure >= distance:
+        return [links], []
+    found, waiting = [links], []
+    for i, tables, far in _to_stored(node, fps, stored):
+        within = far <= distance
+        far[tree[i][:, None] == tree[tables][None, :]] = np.iinfo(np.int16).max
+        best = far.argmin(axis=1)
+        near = far[np.arange(len(i)), best] <= np.where(stored[i], distance, distance * 3 // 8)
+        found.append(np.stack([node[i[near]], node[tables[best[near]]]], 1))
+        within[np.flatnonzero(near), best[near]] = False
+        waiting += [node[i[within.any(axis=1)]], node[tables[within.any(axis=0)]]]
+    return found, waiting
+
+
+def _nearest_stored(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, tree: np.ndarray, distance: int, nearest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each row the links to the ``nearest`` stored nodes within ``distance`` that aren't in its tree,
+    and the nodes of all other such links."""
+    found, waiting = [], []
+    for i, tables, far in _to_stored(node, fps, stored):
+        far[tree[i][:, None] == tree[tables][None, :]] = np.iinfo(np.int16).max
+        within = far <= distance
+        over = np.flatnonzero(within.sum(axis=1) > nearest)
+        if len(over):
+            waiting += [node[i[over]], node[tables[within[over].any(axis=0)]]]
+            best = np.argpartition(far[over], nearest - 1, axis=1)[:, :nearest]
+            within[over] = False
+            within[over[:, None], best] = True
+        x, y = np.nonzero(within)
+        found.append(np.stack([node[i[x]], node[tables[y]]], 1))
+    return found, waiting
+
+
+def _to_stored(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of rows, the stored rows, and the distances between them (no node is near itself)."""
     tables = np.flatnonzero(stored)
-    out = []
-    for start in range(0, len(node), 1024):
-        i = np.arange(start, min(start + 1024, len(node)))
+    step = max(1, PAIRS_AT_ONCE // len(tables))
+    for start in range(0, len(node), step):
+        i = np.arange(start, min(start + step, len(node)))
         far = _distance(fps, i[:, None], tables[None, :])
-        far[(node[i][:, None] == node[tables][None, :]) | (tree[i][:, None] == tree[tables][None, :])] = np.iinfo(np.int16).max
-        nearest = far.argmin(axis=1)
-        near = far[np.arange(len(i)), nearest] <= np.where(stored[i], distance, distance * 3 // 8)
-        out.append(np.stack([node[i[near]], node[tables[nearest[near]]]], 1))
-    return np.concatenate(out)
+        far[node[i][:, None] == node[tables][None, :]] = np.iinfo(np.int16).max
+        yield i, tables, far
 
 
 def _forest(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -342,6 +387,13 @@ def _similar(pairs: DataFrame, shingle_words: int, similarity: float) -> DataFra
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = texts.join(ids, "node", "left_semi").dropDuplicates(["node"])
+    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b")
+
+
 def near_duplicate_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -367,12 +419,23 @@ def near_duplicate_groups(
     bits = BITS * words
     # two standard deviations over what a pair that is just similar enough differs in
     distance = int(bits * DIFFERING_AT_LEAST + 2.2 * (bits * DIFFERING_AT_LEAST * (1 - DIFFERING_AT_LEAST)) ** 0.5)
-    met = checkpointed(near_links(nodes, plan, distance, sure=int(bits * 0.07)))
-    ids = met.select(F.col("a").alias("node")).union(met.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(F.col(id_col).alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = texts.join(ids, "node", "left_semi").dropDuplicates(["node"])
-    pairs = met.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    reached = connected_components(_similar(pairs, shingle_words, similarity))
+    at, nearest, links, tried = nodes, 1, None, None
+    while True:
+        met = checkpointed(near_links(at, plan, distance, sure=int(bits * 0.07), nearest=nearest))
+        pairs = met.where("b is not null")
+        new = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
+        passed = _similar(_with_texts(new, texts), shingle_words, similarity)
+        links = checkpointed(passed if links is None else links.union(passed))
+        reached = connected_components(links)
+        left = met.where("b is null").select(F.col("a").alias("node"))
+        if left.isEmpty():
+            break
+        # links of large buckets that were left out: those across what is joined by now, the nearest ones first
+        tried = pairs if tried is None else tried.union(pairs)
+        tree = F.coalesce("component", "node").alias("tree")
+        at = checkpointed(nodes.join(left, "node", "left_semi").join(reached, "node", "left").select("node", tree, *fps))
+        nearest *= 8
     labelled = nodes.join(reached, "node", "left").select("copy", *fps, F.coalesce("component", "node").alias("component_id"))
     return rows.join(labelled, ["copy", *fps]).select("doc_id", "component_id")
 

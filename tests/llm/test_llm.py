@@ -180,6 +180,28 @@ def test_near_copies(spark):
     assert {r.doc_id for r in kept} >= set(range(0, 160, 4)) and len(kept) <= 44
 
 
+def test_near_copies_in_a_template(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(150)]
+
+    def changed(words, at):
+        words = list(words)
+        for p in at:
+            words[p] = word()
+        return words
+
+    # siblings have own words at three places (Jaccard about 0.7), partners one own passage (about 0.83)
+    made = [changed(base, rng.sample(range(150), 3)) for _ in range(600)]
+    made += [changed(made[i], range(s := rng.randrange(140), s + 9)) for i in range(150)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(made)]
+    sets = [{tuple(x[i : i + 5]) for i in range(146)} for x in made]
+    alike = [(i, 600 + i) for i in range(150) if len(sets[i] & sets[600 + i]) >= 0.8 * len(sets[i] | sets[600 + i])]
+    group = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    met = sum(group[a] == group[b] for a, b in alike)
+    assert len(alike) > 100 and met >= 0.98 * len(alike)
+
+
 # --- 4 ----------------------------------------------------------------------------------------
 def test_embeddings_cells(spark):
     rng = np.random.default_rng(1)
