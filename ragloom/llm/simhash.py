@@ -346,14 +346,14 @@ def _shingle_hashes(text: bytes, shingle_words: int, hashes: WordHashes, powers:
 
 
 def long_fingerprints(docs: DataFrame, words: int, shingle_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, copy, fp0, fp1, ..)``: SimHash of 64 * ``words`` bits; ``copy`` is a hash of the text."""
+    """``(doc_id, copy, fp0, fp1, ..)``: SimHash of 64 * ``words`` bits over the set of shingles; ``copy`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), Powers()
         for part in row_slices(batches):
             fps = np.zeros((part.num_rows, words), np.uint64)
             for i, text in enumerate(utf8(part.column(2))):
-                h = _shingle_hashes(text, shingle_words, hashes, powers)
+                h = np.unique(_shingle_hashes(text, shingle_words, hashes, powers))
                 for no in range(words if len(h) else 0):
                     ones = np.zeros(BITS, np.int64)
                     for k in range(0, len(h), 1 << 16):

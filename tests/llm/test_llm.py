@@ -202,6 +202,17 @@ def test_near_copies_in_a_template(spark):
     assert len(alike) > 100 and met >= 0.98 * len(alike)
 
 
+def test_near_copy_with_a_repeated_sentence(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for i in range(0, 40, 2):
+        base = [word() for _ in range(300)]
+        rows += [(i, " ".join(base)), (i + 1, " ".join(base[:20] * 25 + base))]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 40, 2))
+
+
 # --- 4 ----------------------------------------------------------------------------------------
 def test_embeddings_cells(spark):
     rng = np.random.default_rng(1)
