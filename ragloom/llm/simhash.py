@@ -324,11 +324,12 @@ def simhash_components(
     return fps.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Of two texts with Jaccard similarity 0.8, about this share of SimHash bits differs: acos(cosine) / pi.
-DIFFERING_AT_LEAST = 0.145
+#: Of two texts with Jaccard similarity 0.8, at most about this share of SimHash bits differs: acos(cosine) / pi,
+#: for sets of equal size (0.1476 if one holds the other).
+DIFFERING_AT_MOST = 0.1515
 
 
-def plan_recall(nodes: int, recall: float = 0.95, words: int = 2, radius: int = 1, differing: float = DIFFERING_AT_LEAST) -> list[Segment]:
+def plan_recall(nodes: int, recall: float = 0.95, words: int = 2, radius: int = 1, differing: float = DIFFERING_AT_MOST) -> list[Segment]:
     """Segments that find a pair with the ``differing`` share of bits with probability ``recall``.
 
     A segment is as wide as it takes for a bucket to hold about four of ``nodes``, 16 bits at least."""
@@ -340,6 +341,11 @@ def plan_recall(nodes: int, recall: float = 0.95, words: int = 2, radius: int =
     return [Segment(f"fp{no // each}", no % each * width, width, radius) for no in range(min(int(wanted), each * words))]
 
 
+def candidate_distance(bits: int, differing: float = DIFFERING_AT_MOST, sigmas: float = 4.0) -> int:
+    """Bits that a pair may differ in to be verified: ``sigmas`` over what a pair that is just similar enough differs in."""
+    return int(bits * differing + sigmas * (bits * differing * (1 - differing)) ** 0.5)
+
+
 def _shingle_hashes(text: bytes, shingle_words: int, hashes: WordHashes, powers: Powers) -> np.ndarray:
     words = text.lower().split()
     return RollingHash(hashes.of(words), powers).windows(min(shingle_words, len(words))) if words else np.empty(0, np.uint64)
@@ -417,8 +423,7 @@ def near_duplicate_groups(
     rows = checkpointed(long_fingerprints(docs, words, shingle_words, id_col, text_col))
     nodes = checkpointed(rows.groupBy("copy", *fps).agg(F.min("doc_id").alias("node")))
     bits = BITS * words
-    # two standard deviations over what a pair that is just similar enough differs in
-    distance = int(bits * DIFFERING_AT_LEAST + 2.2 * (bits * DIFFERING_AT_LEAST * (1 - DIFFERING_AT_LEAST)) ** 0.5)
+    distance = candidate_distance(bits)
     texts = docs.select(F.col(id_col).alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     at, nearest, links, tried = nodes, 1, None, None
     while True:

@@ -213,6 +213,18 @@ def test_near_copy_with_a_repeated_sentence(spark):
     assert sorted(r.doc_id for r in kept) == list(range(0, 40, 2))
 
 
+@pytest.mark.parametrize("nodes", [20_000, 6_000_000, 50_000_000])
+def test_recall_of_index_and_bound(nodes):
+    plan = simhash.plan_recall(nodes, 0.98)
+    words = len({s.column for s in plan})
+    rng = np.random.default_rng(1)
+    differs = rng.random((5_000, words * 64)) < np.arccos(1.6 / 1.8) / np.pi  # equal sizes, Jaccard 0.8
+    at = [(int(s.column[2:]) * 64 + s.shift, s) for s in plan]
+    met = np.any([differs[:, a : a + s.width].sum(axis=1) <= s.radius for a, s in at], axis=0)
+    within = differs.sum(axis=1) <= simhash.candidate_distance(words * 64)
+    assert within.mean() >= 0.999 and (met & within).mean() >= 0.972
+
+
 # --- 4 ----------------------------------------------------------------------------------------
 def test_embeddings_cells(spark):
     rng = np.random.default_rng(1)
