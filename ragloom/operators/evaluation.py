@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Depths of the metrics, and how much of an evidence is compared and counts as found.
 KS = (1, 3, 5, 10)
-EVIDENCE_CHARS, SHORTEST_MATCH = 800, 8
+EVIDENCE_CHARS, SHORTEST_MATCH, FOUND_FROM = 800, 8, 0.6
 
 
 def evidence_key(text: Column) -> Column:
@@ -17,16 +17,16 @@ def evidence_key(text: Column) -> Column:
 
 
 def evidence_ranks(evidences: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """``item_id, evidence_no, hit_rank`` (null: not found); the evidence must stand in the retrieved text."""
+    """``item_id, evidence_no, hit_rank`` (null: not found); a retrieved text finds the evidence from a match ratio of 0.6 on."""
     pairs = evidences.join(retrieved, "item_id", "left")
-    hit = F.contains(evidence_key(F.col("content")), evidence_key(F.col("evidence")))
+    hit = match_ratio(F.col("content"), F.col("evidence")) >= FOUND_FROM
     return pairs.groupBy("item_id", "evidence_no").agg(F.min(F.when(hit, F.col("rank"))).alias("hit_rank"))
 
 
 def question_scores(ranks: DataFrame, retrieved: DataFrame, evidences: DataFrame) -> DataFrame:
     """Per item: recall, hit and precision at each k, and reciprocal rank."""
     got = retrieved.groupBy("item_id").agg(F.count("*").alias("retrieved"))
-    hit = F.contains(evidence_key(F.col("content")), evidence_key(F.col("evidence")))
+    hit = match_ratio(F.col("content"), F.col("evidence")) >= FOUND_FROM
     matched = evidences.join(retrieved, "item_id").where(hit).groupBy("item_id").agg(F.countDistinct("rank").alias("matched"))
     base = ranks.groupBy("item_id").agg(
         *[F.avg(F.coalesce((F.col("hit_rank") <= k).cast("int"), F.lit(0))).alias(f"recall_{k}") for k in KS],

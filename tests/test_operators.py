@@ -140,3 +140,13 @@ def test_longest_common_equals_brute_force(a, b):
     want = max((j - i for i in range(len(a)) for j in range(i, len(a) + 1) if a[i:j] in b), default=0)
     points = [np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b)]
     assert evaluation.longest_common(*points) == want
+
+
+def test_evidence_cut_at_a_chunk_edge_is_found(spark):
+    evidences = spark.createDataFrame([(1, 1, "abcdefghijklmnopqrst"), (2, 1, "abcdefghijklmnopqrst")], "item_id long, evidence_no int, evidence string")
+    texts = [(1, 1, "nothing of it"), (1, 2, "xx ABCDEFGH IJKL"), (1, 3, "abcdefghijklmnopqrst"), (2, 1, "abcdefghijk")]
+    retrieved = spark.createDataFrame(texts, "item_id long, rank int, content string")
+    ranks = evaluation.evidence_ranks(evidences, retrieved)
+    assert {r.item_id: r.hit_rank for r in ranks.collect()} == {1: 2, 2: None}
+    scores = {r.item_id: r for r in evaluation.question_scores(ranks, retrieved, evidences).collect()}
+    assert scores[1].matched == 2 and scores[1].rr == 0.5 and scores[2].matched == 0
