@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Formats and word lists that callers rely on.
 CITATION = r"\[(\d+(?:\s*[-,，、]\s*\d+)*)\]"
 EMPTY_TITLE = "新对话"
-REWRITE_HINTS = ("它", "这个", "那个", "上面", "刚才", "前面", "该", "其")
+REWRITE_HINTS = ("它", "他", "她", "这个", "那个", "这些", "那些", "该", "此", "上面", "上述", "前面", "刚才", "呢", "还有", "继续", "那么", "然后")
 STATUS_PROGRESS = {"PENDING": 5, "PARSING": 35, "EMBEDDING": 75, "READY": 100, "FAILED": 0, "DELETED": 0}
 RESERVED_DOMAINS = ("example.com", "example.org", "example.net")
 STOP_TERMS = ("the", "and", "for", "with", "that", "this")

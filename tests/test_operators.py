@@ -150,3 +150,10 @@ def test_evidence_cut_at_a_chunk_edge_is_found(spark):
     assert {r.item_id: r.hit_rank for r in ranks.collect()} == {1: 2, 2: None}
     scores = {r.item_id: r for r in evaluation.question_scores(ranks, retrieved, evidences).collect()}
     assert scores[1].matched == 2 and scores[1].rr == 0.5 and scores[2].matched == 0
+
+
+def test_rewrite_hints(spark):
+    hints = "它 他 她 这个 那个 这些 那些 该 此 上面 上述 前面 刚才 呢 还有 继续 那么 然后".split()
+    cases = [(f"设备维护周期{h}钢刀更换周期", True) for h in hints] + [("设备维护周期与钢刀更换周期", False), ("其设备维护周期与钢刀更换周期", False), ("short", True)]
+    rows = spark.createDataFrame(cases, "v string, want boolean").select("v", "want", T.needs_rewrite(F.col("v")).alias("got")).collect()
+    assert [r.v for r in rows if r.want != r.got] == []
