@@ -73,6 +73,30 @@ def queries() -> dict:
 
 
 
+#: What RE2 needs for the rules of ``secrets``: kind, pattern, the group that is measured, its least length.
+#: Classes spell out both cases, as RE2 would fold signs beyond ASCII to them.
+_EITHER_CASE = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+_SECRETS = [
+    ("assign", rf"""({_EITHER_CASE})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+]
+
+
+def _secret_pieces() -> str:
+    """A select for each kind: its matches, what is measured of them, and the text between them."""
+    quoted = [(no, kind, pattern.replace("'", "''"), group, least) for no, (kind, pattern, group, least) in enumerate(_SECRETS)]
+    return " UNION ALL ".join(
+        f"SELECT doc_id, {no} AS kind_no, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{pattern}') AS hit,"
+        f" regexp_extract_all(t, '{pattern}', {group}) AS own, string_split_regex(t, '{pattern}') AS gap FROM said"
+        for no, kind, pattern, group, least in quoted
+    )
+
+
 #: A-Z lower-cased and nothing else.
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -144,6 +168,26 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE doc_id < last
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE last IS NULL OR doc_id >= last), '')) AS kept_sha256
 FROM keyed LEFT JOIN many USING (k) GROUP BY doc_id
 """.replace("LOWERED", _ASCII_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")),
+    "op9_secret_scan": """
+WITH said AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), pieces AS (
+  PIECES
+), each AS (
+  SELECT doc_id, kind_no, kind, least, unnest(hit) AS hit, unnest(own) AS own, unnest(gap[1 : len(hit)]) AS gap, unnest(range(len(hit))) AS i
+  FROM pieces WHERE len(hit) > 0
+), placed AS (
+  SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind_no ORDER BY i) AS stop FROM each
+), found AS (
+  SELECT doc_id, kind_no, kind, stop - length(hit) AS start, kind || ':' || (stop - length(hit))::BIGINT || ':' || stop::BIGINT AS told
+  FROM placed WHERE length(own) >= least
+)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign')::BIGINT AS n_assign, count(*) FILTER (WHERE kind = 'access')::BIGINT AS n_access,
+       count(*) FILTER (WHERE kind = 'hex')::BIGINT AS n_hex,
+       sha256(coalesce(string_agg(told, ',' ORDER BY start, kind_no) FILTER (WHERE kind_no < 3), '')) AS base_sha256,
+       coalesce(string_agg(told, ',' ORDER BY start, kind_no), '') AS spans
+FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id
+""".replace("PIECES", _secret_pieces()),
 }
 
 

@@ -1,9 +1,10 @@
 """Secret scanning with an incremental blob ledger, in DataFrame functions only.
 
 Every version of a file is addressed by the SHA-256 of its content. The ledger
-remembers which (blob, rule version) pairs have been scanned and what was found;
-a new batch of versions scans only the pairs it hasn't, once for each blob however
-many paths have it, and findings are joined back to all paths.
+keeps which path has which blob, which (blob, rule version) pairs have been scanned and
+what was found; a new batch of versions scans only the pairs it hasn't, once for each
+blob however many paths have it, and findings are joined back to all paths. It is
+reopened from its folder: only what Spark committed counts as there.
 
 Positions come from two scans with one regular expression: the matches, and the
 pieces between them; a running sum of their lengths is a window over the few rows
@@ -18,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import committed, hot_blocks, join_dealt, scratch_path, written
 
 
 @dataclass(frozen=True)
@@ -96,39 +97,53 @@ def scan_blobs(blobs: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 class BlobLedger:
-    """Scanned (blob, rule version) pairs and findings, appended batch by batch under one folder.
+    """Scanned (blob, rule version) pairs and findings, appended batch by batch under one folder;
+    ``BlobLedger(spark, path)`` goes on with what is there.
 
-    Findings are written before the pairs that stand for them, under the batch's number; a batch
-    that is lost between the two is scanned again, into the same place.
+    A batch is a folder of its rule version. Its findings are written first and its pairs, whose
+    commit publishes both, last: a batch that is lost between the two was never there, and its number
+    is used again.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, rules: RuleSet | None = None):
-        self.spark, self.path, self.rules, self.batches = spark, path or scratch_path(spark, "blob-ledger"), rules or RuleSet(), 0
+        self.spark, self.path, self.rules = spark, path or scratch_path(spark, "blob-ledger"), rules or RuleSet()
 
-    def _scanned(self) -> DataFrame | None:
-        if not self.batches:
-            return None
-        seen = self.spark.read.schema("blob string, rule_version string, batch int").parquet(f"{self.path}/scanned")
-        return seen.where(F.col("rule_version") == self.rules.version).select("blob")
+    @property
+    def _home(self) -> str:
+        return f"{self.path}/{self.rules.version}"
+
+    def batches(self) -> list[int]:
+        """Numbers of the batches that this rule version has scanned."""
+        return sorted(int(name.split("-")[1]) for name in committed(self.spark, f"{self._home}/scanned"))
+
+    def scanned(self) -> DataFrame:
+        """The blobs that this rule version has scanned."""
+        paths = [f"{self._home}/scanned/batch-{no}" for no in self.batches()]
+        return self.spark.read.schema("blob string").parquet(*paths) if paths else self.spark.createDataFrame([], "blob string")
 
     def findings(self) -> DataFrame:
-        rows = self.spark.read.schema("blob string, kind_no int, start long, end long, rule_version string, batch int").parquet(f"{self.path}/findings")
-        return rows.where(F.col("rule_version") == self.rules.version).select("blob", "kind_no", "start", "end")
+        """``(blob, kind_no, start, end)`` of this rule version."""
+        kind = "blob string, kind_no int, start long, end long"
+        paths = [f"{self._home}/findings/batch-{no}" for no in self.batches()]
+        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+
+    def add(self, versions: DataFrame, path_col: str, text_col: str, addresses: DataFrame | None = None) -> int:
+        """Scans the blobs of a batch of versions that this rule version hasn't; returns their number.
 
-    def add(self, versions: DataFrame, path_col: str, text_col: str) -> None:
-        """Scans the blobs of a batch of versions that no earlier batch had."""
-        rows = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", blob_id(F.col("text")))
+        ``addresses``, ``(path, blob)`` of the same versions, saves reading their texts to address them."""
+        rows = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        rows = rows.withColumn("blob", blob_id(F.col("text")))
         # one path stands for the blob; equal rows of one path are the same content
-        first = rows.groupBy("blob").agg(F.min(F.struct(F.col("path"))).alias("path"))
-        if (seen := self._scanned()) is not None:
-            first = first.join(seen, "blob", "left_anti")
-        first = first.select(F.col("blob").alias("new_blob"), F.col("path.path").alias("new_path"))
-        here = f"batch={self.batches}"
+        first = (rows if addresses is None else addresses).groupBy("blob").agg(F.min(F.struct("path")).alias("path"))
+        first = first.join(self.scanned(), "blob", "left_anti")
+        no = max(self.batches(), default=-1) + 1
+        pending = f"{self._home}/pending/batch-{no}"
+        first.select(F.col("blob").alias("new_blob"), F.col("path.path").alias("new_path")).write.mode("overwrite").parquet(pending)
+        first = self.spark.read.parquet(pending)
         unseen = rows.join(first, (F.col("blob") == F.col("new_blob")) & F.col("path").eqNullSafe(F.col("new_path")), "left_semi")
-        found = scan_blobs(unseen, self.rules)
-        found.write.mode("overwrite").parquet(f"{self.path}/findings/rule_version={self.rules.version}/{here}")
-        first.select(F.col("new_blob").alias("blob")).write.mode("overwrite").parquet(f"{self.path}/scanned/rule_version={self.rules.version}/{here}")
-        self.batches += 1
+        scan_blobs(unseen, self.rules).write.mode("overwrite").parquet(f"{self._home}/findings/batch-{no}")
+        first.select(F.col("new_blob").alias("blob")).write.mode("overwrite").parquet(f"{self._home}/scanned/batch-{no}")
+        return first.count()
 
 
 def scan_secrets(
@@ -137,23 +152,29 @@ def scan_secrets(
     text_col: str = "text",
     batches: int = 2,
     rules: RuleSet | None = None,
+    ledger: BlobLedger | None = None,
 ) -> DataFrame:
     """``(doc_id, blob, spans)`` for each row of ``docs``; ``spans`` is an array of (kind, start, end)
-    by start, then kind in the order of the rules.
+    by start, then kind in the order of the rules. With a ``ledger``, what it has scanned isn't
+    scanned again; the documents are added to it in ``batches`` by a hash of the id.
 
     Null text is empty and has no spans; a null id is a path like others; equal rows
     are returned as often as they come. Other columns of ``docs`` are not read.
     """
-    ledger = BlobLedger(docs.sparkSession, rules=rules)
+    ledger = ledger or BlobLedger(docs.sparkSession, rules=rules)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
+    paths = written(rows.select("doc_id", blob_id(F.col("text")).alias("blob"), batch.alias("batch")), "blob-paths")
     for no in range(batches):
-        ledger.add(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == no), "doc_id", "text")
+        own = paths.where(F.col("batch") == no).select(F.col("doc_id").alias("path"), "blob")
+        ledger.add(rows.where(batch == no), "doc_id", "text", own)
     names = F.array(*[F.lit(r.kind) for r in ledger.rules.rules])
     spans = ledger.findings().groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "kind_no", "end"))).alias("s"))
     spans = spans.select("blob", F.transform("s", lambda x: F.struct(F.get(names, x["kind_no"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
-    paths = rows.select("doc_id", blob_id(F.col("text")).alias("blob"))
+    hot = hot_blocks(paths.groupBy("blob").agg(F.count("*").alias("n")), "blob")
     nothing = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    return paths.join(spans, "blob", "left").select("doc_id", "blob", F.coalesce("spans", nothing).alias("spans"))
+    found = join_dealt(paths.drop("batch"), spans, "blob", hot, ["doc_id"], "left")
+    return found.select("doc_id", "blob", F.coalesce("spans", nothing).alias("spans"))
 
 
 def secrets_digest(found: DataFrame, rules: RuleSet | None = None) -> DataFrame:

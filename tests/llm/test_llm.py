@@ -349,6 +349,31 @@ def test_lines_odd(spark, odd, none):
     assert got[0].text == "own 0" and got[3].n_dropped == 0 and got[None].text == line and got[9].text == "own\r"
 
 
+def test_lines_repeated_rows(spark):
+    common = "a line that every document has"
+    own = [(i, "\n".join([f"only {i}"] * (i % 3) + [common] * (1 + i % 4) + [f"tail {i}", "", common])) for i in range(3000)]
+    rows = own + own[:5] + [(7, f"{common}\nanother text of the same id"), (None, common)]
+    got = Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = Counter()
+    for i, t in rows:
+        kept = [x for x in t.split("\n") if i is None or i == 2999 or x != common]
+        want[i, "\n".join(kept), t.count("\n") + 1, t.count("\n") + 1 - len(kept)] += 1
+    assert got == want
+
+
+def test_line_ledger_counts_on(spark):
+    """Counts of lines that come in one batch, in several, and before and after runs are merged."""
+    rng = random.Random(1)
+    rows = [(i, "\n".join(f"a line of some length {rng.randrange(60)}" for _ in range(8))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = lines.LineLedger(spark).path
+    for no in range(7):
+        lines.LineLedger(spark, path, fanout=2).add(df.where(F.col("doc_id") % 7 == no))
+    want = Counter(x for _, t in rows for x in set(t.split("\n")))
+    got = {bytes(r.key).hex(): r.n_docs for r in lines.LineLedger(spark, path).condemned(3).collect()}
+    assert got == {hashlib.md5(x.encode()).hexdigest(): n for x, n in want.items() if n >= 3}
+
+
 def test_line_ledger_compacts(spark, docs):
     ledger = lines.LineLedger(spark, fanout=2)
     for no in range(5):
@@ -389,7 +414,41 @@ def test_blob_ledger_scans_once(spark):
     first = spark.createDataFrame([("a", "token = abcdefghijklmnop"), ("b", "nothing")], "path string, text string")
     ledger.add(first, "path", "text")
     ledger.add(spark.createDataFrame([("c", "token = abcdefghijklmnop"), ("d", "new")], "path string, text string"), "path", "text")
-    assert spark.read.parquet(f"{ledger.path}/scanned").count() == 3 and ledger.findings().count() == 1
+    assert ledger.scanned().count() == 3 and ledger.findings().count() == 1
+
+
+def test_blob_ledger_reopened(spark):
+    add = lambda ledger, *rows: ledger.add(spark.createDataFrame(list(rows), "path string, text string"), "path", "text")
+    first = secrets.BlobLedger(spark)
+    assert add(first, ("a", "token = abcdefghijklmnop"), ("b", "nothing")) == 2
+    again = secrets.BlobLedger(spark, first.path)
+    assert add(again, ("a2", "token = abcdefghijklmnop"), ("c", "more")) == 1
+    last = secrets.BlobLedger(spark, first.path)
+    assert add(last, ("d", "clean")) == 1 and last.findings().count() == 1 and last.scanned().count() == 4
+    # findings without their pairs, as of a batch that was lost midway, don't count
+    last.findings().write.parquet(f"{last._home}/findings/batch-3")
+    assert secrets.BlobLedger(spark, first.path).findings().count() == 1
+    other = secrets.BlobLedger(spark, first.path, secrets.RuleSet(secrets.BASE_RULES))
+    assert add(other, ("d", "clean")) == 1 and other.findings().count() == 0
+
+
+def test_secret_kinds(spark):
+    told = {
+        "pem": "x -----BEGIN RSA PRIVATE KEY----- y", "github": "x ghp_" + "z" * 36, "slack": "xoxb-" + "1" * 10 + " x",
+        "jwt": "a eyJabcdefgh.eyJabcdefgh.abcdefgh b",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(told.values())] + [(9, "ghp_" + "z" * 35 + " xoxb-1 eyJa.eyJb.c BEGIN PRIVATE KEY")], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan_secrets(df).collect()}
+    for i, (kind, text) in enumerate(told.items()):
+        body = text.removeprefix("x ").removeprefix("a ").removesuffix(" y").removesuffix(" x").removesuffix(" b")
+        assert got[i] == [(kind, text.index(body), text.index(body) + len(body))]
+    assert got[9] == []
+
+
+def test_hot_blob(spark):
+    rows = [(i, "token = abcdefghijklmnop" if i % 3 else f"own {i}") for i in range(6000)]
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.groupBy(F.size("spans").alias("n")).count().orderBy("n").collect() == [(0, 2000), (1, 4000)]
 
 
 # --- 10 ---------------------------------------------------------------------------------------
