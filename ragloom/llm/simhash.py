@@ -9,8 +9,8 @@ verified on the whole fingerprint.
 
 Hot groups: equal fingerprints are one node, so copies cost nothing. A bucket
 returns a spanning forest of its verified links, never all pairs, and a bucket
-that holds over ``max(hot_rows, rows / 1000)`` stored fingerprints is dealt out
-in blocks (there are under 3000 of these, so their list is broadcast).
+with over ``max(hot_rows, rows / 1000)`` stored fingerprints, or sixteen times as many
+probes, is dealt out in a grid of blocks of stored ones and blocks of probes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_slices, utf8
+from .common import checkpointed, free_name, row_slices, utf8
 from .components import connected_components
 from .text_kernels import Powers, RollingHash, WordHashes, mix
 
@@ -86,16 +86,28 @@ class Segment:
     radius: int
 
 
-def plan_segments(distance: int, segments: int, bits: int = BITS) -> list[Segment]:
-    """Segments of one 64-bit fingerprint that find all within ``distance``; the first have the wider balls."""
-    spare = max(0, distance - segments + 1)
-    out, shift = [], 0
-    for i in range(segments):
-        width = bits // segments + (i >= segments - bits % segments)
-        radius = spare // segments + (i < spare % segments)
-        out.append(Segment("fp", shift, width, radius if distance >= segments - 1 else 0))
-        shift += width
-    return out
+def plan_segments(distance: int, nodes: int, bits: int = BITS) -> list[Segment]:
+    """Segments of one 64-bit fingerprint that find all within ``distance``; the first have the wider balls.
+
+    Every number of segments finds them all. Fewer ones have larger balls (more rows), more ones have
+    narrower keys (more comparisons in a bucket); the cheapest for ``nodes`` is taken, at 100 comparisons a row.
+    """
+    plans = []
+    for count in range(1, max(1, distance) + 1):
+        spare = distance - count + 1
+        widths = [bits // count + (i >= count - bits % count) for i in range(count)]
+        plan = [Segment("fp", sum(widths[:i]), width, max(0, spare // count + (i < spare % count))) for i, width in enumerate(widths)]
+        plans.append((sum(_ball_size(s) * (1 + nodes / 2**s.width / 100) for s in plan), plan))
+    return min(plans, key=lambda p: p[0])[1]
+
+
+def _ball_size(s: Segment) -> int:
+    return sum(comb(s.width, r) for r in range(s.radius + 1))
+
+
+def _ball(s: Segment) -> list[int]:
+    """The masks that lead from a segment's value to the others of its Hamming ball."""
+    return [sum(1 << b for b in bits) for r in range(1, s.radius + 1) for bits in combinations(range(s.width), r)]
 
 
 def _bucket_key(segment: int, value: F.Column) -> F.Column:
@@ -112,11 +124,42 @@ def _stored_keys(plan: list[Segment]) -> F.Column:
 
 def _ball_keys(plan: list[Segment]) -> F.Column:
     """Keys of the Hamming balls around a fingerprint's segments, without the centres."""
-    made = []
-    for no, s in enumerate(plan):
-        masks = [sum(1 << b for b in bits) for r in range(1, s.radius + 1) for bits in combinations(range(s.width), r)]
-        made += [_bucket_key(no, _segment_value(s).bitwiseXOR(F.lit(m).cast("long"))) for m in masks]
-    return F.array(*made) if made else F.array().cast("array<bigint>")
+
+    def keys(no: int, s: Segment) -> F.Column:
+        masks = F.array(*[F.lit(m).cast("long") for m in _ball(s)]).cast("array<bigint>")
+        return F.transform(masks, lambda mask: _bucket_key(no, _segment_value(s).bitwiseXOR(mask)))
+
+    return F.concat(*[keys(no, s) for no, s in enumerate(plan)])
+
+
+def _dealt(exact: DataFrame, balls: DataFrame, plan: list[Segment], most: int) -> DataFrame:
+    """Stored rows and probes with the ``block`` of their bucket that they go to.
+
+    A key with over ``most`` stored rows, or 16 times as many probes from neighbours like that, gets a grid:
+    each stored row meets each probe in one block. There are under 1000 such neighbours for a segment if ``most``
+    is a thousandth of the nodes or more, and the grids are at most a ball's size times as many."""
+    columns = [c for c in exact.columns if c != "key"]
+    both = exact.withColumn("stored", F.lit(True)).union(balls.withColumn("stored", F.lit(False)))
+    hot = exact.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()
+    if not hot:
+        return both.withColumn("block", F.lit(0))
+    stored = {r.key: r.n for r in hot}
+    probes = dict(stored)
+    for key, n in stored.items():
+        for mask in _ball(plan[key & 63]):
+            probes[key ^ mask << 6] = probes.get(key ^ mask << 6, 0) + n
+    grid = [(key, -(-stored.get(key, 1) // most), -(-n // (16 * most))) for key, n in probes.items()]
+    grid = [g for g in grid if g[1] > 1 or g[2] > 1]
+    grids = F.broadcast(exact.sparkSession.createDataFrame(grid, "key long, across int, down int"))
+    words = [c for c in columns if c not in ("node", "tree")]
+    rows = both.join(grids, "key", "left").withColumns({"across": F.coalesce("across", F.lit(1)), "down": F.coalesce("down", F.lit(1))})
+    rows = rows.withColumns({"i": F.pmod(F.xxhash64(*words), F.col("across")), "j": F.pmod(F.xxhash64(*words, F.lit(1)), F.col("down"))})
+    # as a probe in all blocks of stored rows; as a stored row in all blocks of probes
+    cell = lambda i, j, held: F.struct((i * F.col("down") + j).cast("int").alias("block"), held.alias("stored"))
+    probing = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda x: cell(x, F.col("j"), F.col("stored") & (x == F.col("i"))))
+    holding = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda x: cell(F.col("i"), x, F.lit(True)))
+    holding = F.filter(holding, lambda c: F.col("stored") & (c["block"] != F.col("i") * F.col("down") + F.col("j")))
+    return rows.withColumn("cell", F.explode(F.concat(probing, holding))).select("key", *columns, F.col("cell.stored").alias("stored"), F.col("cell.block").alias("block"))
 
 
 def near_links(nodes: DataFrame, plan: list[Segment], distance: int, sure: int, hot_rows: int = 8192, nearest: int = 1) -> DataFrame:
@@ -131,22 +174,12 @@ def near_links(nodes: DataFrame, plan: list[Segment], distance: int, sure: int,
     labelled = "tree" in nodes.columns
     words = list(dict.fromkeys(s.column for s in plan))
     columns = ["tree", *words] if labelled else words
-    nodes = nodes.where("node is not null").select("node", *columns)
-    exact = nodes.select("node", *columns, F.explode(_stored_keys(plan)).alias("key"), F.lit(True).alias("exact"))
-    balls = nodes.select("node", *columns, F.explode(_ball_keys(plan)).alias("key"), F.lit(False).alias("exact"))
-    probes = exact.union(balls)
-    sizes = exact.groupBy("key").agg(F.count("*").alias("n"))
-    # at most len(plan) * 1000 keys can have over a thousandth of the nodes, so their list is small
-    most = max(hot_rows, (nodes.count() + 999) // 1000)
-    hot = sizes.where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("blocks")).collect()
-    probes = probes.select("key", F.lit(0).alias("block"), "node", F.col("exact").alias("stored"), *columns)
-    if hot:
-        blocks = F.broadcast(nodes.sparkSession.createDataFrame(hot, "key long, blocks int"))
-        own_block = F.pmod(F.xxhash64(*words), F.col("blocks")) == F.col("block")
-        split = probes.drop("block").join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        split = split.select("key", "block", "node", (F.col("stored") & own_block).alias("stored"), *columns)
-        probes = probes.join(blocks, "key", "left_anti").union(split)
-    dealt = probes.repartition("key", "block").sortWithinPartitions("key", "block")
+    nodes = nodes.select("node", *columns)
+    exact = nodes.select("node", *columns, F.explode(_stored_keys(plan)).alias("key"))
+    balls = nodes.select("node", *columns, F.explode(_ball_keys(plan)).alias("key"))
+    most = max(hot_rows, -(-nodes.count() // 1000))
+    dealt = _dealt(exact, balls, plan, most).select("key", "block", "node", "stored", *columns)
+    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
     kind = nodes.schema["node"].dataType.simpleString()
     return dealt.mapInArrow(_bucket_links(distance, sure, nearest, labelled), f"a {kind}, b {kind}").distinct()
 
@@ -306,24 +339,30 @@ def simhash_components(
     text_col: str = "text",
     shingle_words: int = 4,
     distance: int = 4,
-    segments: int = 3,
 ) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, a row for each row of ``docs``.
 
     Documents link when their fingerprints differ in at most ``distance`` bits; the
     component is the least ``doc_id`` reachable. Null texts count as empty, and all
-    texts without words share fingerprint zero. Rows with a null ``doc_id`` keep
-    their fingerprint and get the component of its other documents (null if
-    none). Repeated rows are returned as often as they come. Other columns of
-    ``docs`` are not read.
+    texts without words share fingerprint zero. Rows with a null ``doc_id`` link like others;
+    a component has the least of its other ids (null if none). Repeated rows are
+    returned as often as they come. Other columns of ``docs`` are not read.
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col, shingle_words))
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    reached = connected_components(near_links(nodes, plan_segments(distance, segments), distance, distance))
-    labelled = nodes.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    plan = plan_segments(distance, nodes.count())
+    reached = connected_components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), plan, distance, distance))
+    labelled = _least_of_each(nodes.withColumn("node", F.col("fp")), reached).select("fp", "component_id")
     return fps.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _least_of_each(nodes: DataFrame, reached: DataFrame) -> DataFrame:
+    """``nodes``, ``(node, least, ..)``, with the least id of their component as ``component_id``."""
+    grouped = nodes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    return grouped.join(least, "component")
+
+
 #: Of two texts with Jaccard similarity 0.8, at most about this share of SimHash bits differs: acos(cosine) / pi,
 #: for sets of equal size (0.1476 if one holds the other).
 DIFFERING_AT_MOST = 0.1515
@@ -351,6 +390,15 @@ def _shingle_hashes(text: bytes, shingle_words: int, hashes: WordHashes, powers:
     return RollingHash(hashes.of(words), powers).windows(min(shingle_words, len(words))) if words else np.empty(0, np.uint64)
 
 
+def _text(text_col: str) -> F.Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def text_copy(text: F.Column) -> F.Column:
+    """128 bits that tell texts apart."""
+    return F.unhex(F.md5(text))
+
+
 def long_fingerprints(docs: DataFrame, words: int, shingle_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, copy, fp0, fp1, ..)``: SimHash of 64 * ``words`` bits over the set of shingles; ``copy`` is a hash of the text."""
 
@@ -370,67 +418,64 @@ def long_fingerprints(docs: DataFrame, words: int, shingle_words: int, id_col: s
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", *(f"fp{no}" for no in range(words))])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("copy"), text.alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, copy long, " + ", ".join(f"fp{no} long" for no in range(words)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_copy(_text(text_col)).alias("copy"), _text(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, copy binary, " + ", ".join(f"fp{no} long" for no in range(words)))
 
 
-def _similar(pairs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Of ``(a, b, text_a, text_b)`` the links whose texts' shingle sets have that Jaccard similarity."""
+def _shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """``(node, shingles)`` of ``(node, text)``: the sorted distinct hashes, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), Powers()
-        for part in row_slices(batches, 64):
+        for part in row_slices(batches):
+            made = [np.unique(_shingle_hashes(t, shingle_words, hashes, powers)).tobytes() for t in utf8(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links of ``(a, b)`` whose shingle sets have that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches):
             passed = []
-            for one, two in zip(utf8(part.column(2)), utf8(part.column(3)), strict=True):
-                x, y = (np.unique(_shingle_hashes(t, shingle_words, hashes, powers)) for t in (one, two))
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            for one, two in zip(part.column(2), part.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
+                both = 0
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
                 passed.append(both >= similarity * (len(x) + len(y) - both))
             keep = part.filter(pa.array(passed, pa.bool_()))
             yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], ["a", "b"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab")
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "shingles_a", "shingles_b")
+    return joined.mapInArrow(run, "a long, b long")
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = texts.join(ids, "node", "left_semi").dropDuplicates(["node"])
-    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b")
-
-
-def near_duplicate_groups(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle_words: int = 5,
-    similarity: float = 0.8,
-    recall: float = 0.98,
-) -> DataFrame:
-    """``(doc_id, component_id)`` of documents that are copies or near copies of one another.
-
-    Near copies have a Jaccard similarity of ``similarity`` at least, over their sets of
-    ``shingle_words`` words (fewer words: the whole text), A-Z lower-cased; this is verified on the
-    texts. ``recall`` is how surely the index meets a pair that is just similar enough; pairs that are more
-    alike are met almost surely. Equal texts are one node, texts without words are equal; null texts
-    count as empty. Rows with null ids get a null component unless a document has their text.
-    """
-    distinct = docs.select(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("c")).agg(F.approx_count_distinct("c", 0.02)).first()[0]
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, recall: float) -> DataFrame:
+    """``(doc_id, copy, component_id)`` for each row of ``docs``."""
+    distinct = docs.select(F.xxhash64(_text(text_col)).alias("c")).agg(F.approx_count_distinct("c", 0.02)).first()[0]
     plan = plan_recall(max(1, distinct), recall)
     words = len({s.column for s in plan})
     fps = [f"fp{no}" for no in range(words)]
     rows = checkpointed(long_fingerprints(docs, words, shingle_words, id_col, text_col))
-    nodes = checkpointed(rows.groupBy("copy", *fps).agg(F.min("doc_id").alias("node")))
+    own = rows.groupBy("copy").agg(F.min("doc_id").alias("least"), *[F.first(f).alias(f) for f in fps])
+    nodes = checkpointed(own.withColumn("node", F.monotonically_increasing_id()))
     bits = BITS * words
     distance = candidate_distance(bits)
-    texts = docs.select(F.col(id_col).alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("text_id"), text_copy(_text(text_col)).alias("text_copy"), _text(text_col).alias("text"))
     at, nearest, links, tried = nodes, 1, None, None
     while True:
         met = checkpointed(near_links(at, plan, distance, sure=int(bits * 0.07), nearest=nearest))
         pairs = met.where("b is not null")
         new = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
-        passed = _similar(_with_texts(new, texts), shingle_words, similarity)
+        asked = new.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        # the text of a node is that of one document, so that copies don't gather
+        whose = nodes.join(asked, "node", "left_semi").select("node", "copy", "least")
+        own = texts.join(whose, (F.col("text_copy") == F.col("copy")) & F.col("text_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
+        passed = _similar(new, _shingle_sets(own, shingle_words), similarity)
         links = checkpointed(passed if links is None else links.union(passed))
         reached = connected_components(links)
         left = met.where("b is null").select(F.col("a").alias("node"))
@@ -441,12 +486,35 @@ def near_duplicate_groups(
         tree = F.coalesce("component", "node").alias("tree")
         at = checkpointed(nodes.join(left, "node", "left_semi").join(reached, "node", "left").select("node", tree, *fps))
         nearest *= 8
-    labelled = nodes.join(reached, "node", "left").select("copy", *fps, F.coalesce("component", "node").alias("component_id"))
-    return rows.join(labelled, ["copy", *fps]).select("doc_id", "component_id")
+    labelled = _least_of_each(nodes, reached).select("copy", "component_id")
+    return rows.select("doc_id", "copy").join(labelled, "copy")
+
+
+def near_duplicate_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = 5,
+    similarity: float = 0.8,
+    recall: float = 0.98,
+) -> DataFrame:
+    """``(doc_id, component_id)`` of documents that are copies or near copies of one another.
+
+    Near copies have a Jaccard similarity of ``similarity`` at least, over their sets of
+    ``shingle_words`` words (fewer words: the whole text), A-Z lower-cased; this is verified on the
+    texts. ``recall`` is how surely the index meets a pair that is just similar enough; pairs that are more
+    alike are met almost surely. Of a large bucket the nearest pairs are verified first, then, round by
+    round, all pairs across what isn't joined yet; so none that the index meets is left out. Equal texts
+    are one node, texts without words are equal; null texts count as empty. Rows with null ids link
+    like others; a component has the least of its other ids (null if none).
+    """
+    return _groups(docs, id_col, text_col, shingle_words, similarity, recall).select("doc_id", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents whose group has one of a smaller id. Rows with null ids stay."""
-    groups = near_duplicate_groups(docs, id_col, text_col, **options)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone__")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone__"), "left_anti")
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
+    """``docs`` without the rows whose group has a document of a smaller id. Rows with null ids stay, and so do
+    repeated rows of a document that stays; of rows with one id and different texts each has its own group."""
+    groups = _groups(docs, id_col, text_col, shingle_words, similarity, recall)
+    gone, which = free_name(docs, "gone_id"), free_name(docs, "gone_copy")
+    lost = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(gone), F.col("copy").alias(which)).distinct()
+    return docs.join(lost, (F.col(id_col) == F.col(gone)) & (text_copy(_text(text_col)) == F.col(which)), "left_anti")

@@ -141,7 +141,16 @@ def test_simhash(spark, docs):
     assert got == {i: (fp[i], want[i]) for i in fp}
 
 
-def test_simhash_hot_bucket(spark):
+@pytest.mark.parametrize("nodes", [10, 10**9, 10**11])
+@pytest.mark.parametrize("distance", [0, 1, 4, 7])
+def test_plan_finds_all(distance, nodes):
+    plan = simhash.plan_segments(distance, nodes)
+    assert sum(s.width for s in plan) == 64 and sum(s.radius + 1 for s in plan) >= distance + 1
+    assert distance == 0 or any(s.radius for s in plan)
+
+
+@pytest.mark.parametrize(("size", "hot"), [(300, 50), (300, 3), (10**9, 5), (300, 10_000)])
+def test_simhash_hot_bucket(spark, size, hot):
     rng = random.Random(3)
     base = rng.getrandbits(64)
     fps = {base}
@@ -149,7 +158,7 @@ def test_simhash_hot_bucket(spark):
         fps.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))))
     rows = [(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(sorted(fps))]
     nodes = spark.createDataFrame(rows, "node long, fp long")
-    links = simhash.near_links(nodes, simhash.plan_segments(4, 3), 4, 4, hot_rows=50).collect()
+    links = simhash.near_links(nodes, simhash.plan_segments(4, size), 4, 4, hot_rows=hot).collect()
     fp = dict(rows)
     assert all(((fp[r.a] ^ fp[r.b]) & ((1 << 64) - 1)).bit_count() <= 4 for r in links)
     near = {(r.a, r.b) for r in links} | {(r.b, r.a) for r in links}
@@ -202,6 +211,70 @@ def test_near_copies_in_a_template(spark):
     assert len(alike) > 100 and met >= 0.98 * len(alike)
 
 
+def near_copy_brute_force(rows):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in rows}
+    return sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+
+def test_near_copies_group_at_the_threshold(spark):
+    """One large group whose texts are about 0.8 alike, so that many of its pairs link and many don't."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(200)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for p in rng.sample(range(200), rng.choice([2, 3, 3, 3, 4])):
+            words[p] = word()
+        rows.append((i, words))
+    sets, near = near_copy_brute_force(rows)
+    want = components(range(500), near)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    groups = len(set(want.values()))
+    assert 30 < groups < 400 and all(want[i] == want[c] for i, c in got.items())
+    assert len(set(got.values())) <= groups + 0.02 * 500
+
+
+def test_near_copies_planted_at_the_threshold(spark):
+    """Recall of lone pairs with a Jaccard similarity of 0.80 to 0.82."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, pairs = [], []
+    while len(pairs) < 600:
+        one = [word() for _ in range(rng.randrange(100, 260))]
+        two = list(one)
+        for p in rng.sample(range(len(one)), rng.randrange(1, 9)):
+            two[p] = word()
+        sets, _ = near_copy_brute_force([(0, one), (1, two)])
+        if 0.80 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.82:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(two))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    met = sum(got[a] == got[b] for a, b in pairs)
+    print(f"planted pairs at 0.80 to 0.82: {met} of {len(pairs)} met")
+    assert met >= 0.95 * len(pairs)
+
+
+def test_near_copies_odd_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(2, text), (5, text), (5, "another text altogether"), (None, text + " x"), (7, text + " x y"), (9, None), (3, ""), (2, text)]
+    df = spark.createDataFrame(rows, "gone_id long, text string").withColumn("gone_copy", F.lit("c"))
+    kept = [(r.gone_id, r.text) for r in simhash.keep_one_of_each(df, "gone_id").collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, [(2, text), (2, text), (5, "another text altogether"), (None, text + " x"), (3, "")]))
+
+
+def test_simhash_null_id_links(spark):
+    """A chain through a text that has no id holds."""
+    rng = random.Random(0)
+    words = [f"word{rng.randrange(10**6)}" for _ in range(4000)]
+    steps = [" ".join(words[:2000] + [f"x{rng.randrange(9)}" for _ in range(k)] + words[2000:]) for k in range(0, 12, 1)]
+    fps = [brute_fingerprint(t) for t in steps]
+    far = next(k for k in range(len(fps)) if (fps[0] ^ fps[k]).bit_count() > 4) if any((fps[0] ^ f).bit_count() > 4 for f in fps) else len(fps)
+    rows = [(1 if k == 0 else 2 if k == far else None, t) for k, t in enumerate(steps[: far + 1])]
+    got = {r.doc_id: r.component_id for r in simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {1}
+
+
 def test_near_copy_with_a_repeated_sentence(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
