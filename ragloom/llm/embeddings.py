@@ -7,10 +7,13 @@ most 2r further from p than from its own pivot, and, as the metric is Euclidean,
 most r beyond the bisecting hyperplane of the two pivots; it is replicated to the
 cells for which both bounds hold. Cells then join independently.
 
-Hot groups: equal vectors of a label are one row with a multiplicity. A cell with more
-own rows than ``block_rows`` is dealt in blocks that each see the cell's other rows in
-turn, so no task holds more than two blocks; a block returns counts and a spanning
-forest, never pairs.
+Every label with two distinct vectors has pivots. The first level's are bounded in
+number and broadcast; a cell that is still large gets pivots of its own, which travel
+with its rows, and is dealt once more by the same two bounds.
+
+Hot groups: equal vectors of a label are one row with a multiplicity. A cell that stays
+large is dealt in blocks that each see the cell's other rows in turn, so no task holds
+more than two blocks; a block returns counts and a spanning forest, never pairs.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, FloatType, MapType, StructType
 
 from .common import checkpointed
 from .components import connected_components
@@ -41,29 +45,33 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _group(label: F.Column, kind: DataType) -> F.Column:
+    """A string that is equal for equal labels of this type, and for no others."""
+    if isinstance(kind, (FloatType, DoubleType)):
+        return (label + F.lit(0.0).cast(kind)).cast("string")  # minus zero is zero
+    if isinstance(kind, BinaryType):
+        return F.hex(label)
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.to_json(F.struct(label))
+    return label.cast("string")
+
+
 def choose_pivots(points: DataFrame, cell_rows: int, max_pivots: int = MAX_PIVOTS) -> dict[tuple, np.ndarray]:
-    """Unit pivots of each (label, dimension), picked by hash: about one for ``cell_rows`` vectors
-    and ``max_pivots`` in all at most; the rows that come to the driver are no more."""
-    sizes = points.groupBy("label", "dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label", "dim").limit(max_pivots).collect()
-    left, wanted = max_pivots, {}
+    """Unit pivots of each (group, dimension), picked by hash: about one for ``cell_rows`` vectors, two at least,
+    and ``max_pivots`` in all at most; the rows that come to the driver are no more than twice as many."""
+    # more groups than half the pivots: the largest ones get theirs, and the rest has cells of one group
+    sizes = points.groupBy("label", "dim").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "label", "dim").limit(max_pivots // 2).collect()
     total = sum(r.n for r in sizes) or 1
-    for r in sizes:
-        wanted[r.label, r.dim] = max(0, min(r.n // cell_rows, max_pivots * r.n // total, left))
-        left -= wanted[r.label, r.dim]
-    wanted = {k: n for k, n in wanted.items() if n > 1}
+    share = max_pivots - 2 * len(sizes)
+    wanted = {(r.label, r.dim): 2 + min(max(0, r.n // cell_rows - 2), share * r.n // total) for r in sizes}
     if not wanted:
         return {}
-    share = points.sparkSession.createDataFrame([(k, d, n) for (k, d), n in wanted.items()], "label long, dim int, pivots int")
-    size = {(r.label, r.dim): r.n for r in sizes}
-    # a hash sample of about twice the number, cut to it by hash order
-    rate = points.sparkSession.createDataFrame([(k, d, min(1.0, 2.0 * n / size[k, d])) for (k, d), n in wanted.items()], "label long, dim int, rate double")
-    drawn = points.join(F.broadcast(rate.join(share, ["label", "dim"])), ["label", "dim"])
-    drawn = drawn.withColumn("h", F.xxhash64("node", F.lit(7))).where(F.pmod("h", F.lit(1 << 30)) < F.col("rate") * (1 << 30))
-    rows = drawn.select("label", "dim", "h", "vector").toPandas()
-    out = {}
-    for key, own in rows.groupby(["label", "dim"]):
-        out[int(key[0]), int(key[1])] = _matrix(own.sort_values("h")["vector"].head(wanted[int(key[0]), int(key[1])]))
-    return out
+    # a hash sample of about twice the number and some, cut to it by hash order
+    rows = [(r.label, r.dim, min(1.0, (2.0 * wanted[r.label, r.dim] + 12) / r.n)) for r in sizes]
+    rate = F.broadcast(points.sparkSession.createDataFrame(rows, "label string, dim int, rate double"))
+    drawn = points.join(rate, ["label", "dim"]).withColumn("h", F.xxhash64("node", F.lit(7)))
+    drawn = drawn.where(F.pmod("h", F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("label", "dim", "h", "vector").toPandas()
+    return {(k, int(d)): _matrix(own.sort_values("h")["vector"].head(wanted[k, int(d)])) for (k, d), own in drawn.groupby(["label", "dim"])}
 
 
 def near_duplicate_vectors(
@@ -74,10 +82,11 @@ def near_duplicate_vectors(
     min_cosine: float = 0.98,
     cell_rows: int = 1024,
     block_rows: int = 2048,
+    max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row for each row of ``vectors``.
 
-    Vectors with equal, non-null labels and equal dimensions link at cosine >= ``min_cosine``,
+    Vectors with equal, non-null labels (of any type) and equal dimensions link at cosine >= ``min_cosine``,
     in double precision. Null or zero vectors, and those with null or non-finite components,
     link with nothing: they have no links and are their own component, as have rows with a null
     label. Rows with a null id link, but no component is named after them unless it has no other
@@ -85,16 +94,14 @@ def near_duplicate_vectors(
     of their own. Other columns are not read.
     """
     radius = float(np.sqrt(2 - 2 * min_cosine)) * (1 + 1e-9) + 1e-12
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    label = _group(F.col(label_col), vectors.schema[label_col].dataType)
+    rows = vectors.select(F.col(id_col).alias("vec_id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.withColumn("usable", _usable(F.col("vector")) & F.col("label").isNotNull())
     rows = rows.withColumn("code", F.when(F.col("usable"), F.sha2(F.array_join(F.transform("vector", lambda x: F.hex(F.when(x == 0, F.lit(0.0)).otherwise(x).cast("string"))), ","), 256)))
-    points = checkpointed(
-        rows.where("usable").groupBy("label", "code").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-        .withColumn("node", F.xxhash64("label", "code"))
-        .withColumn("dim", F.size("vector"))
-    )
-    pivots = choose_pivots(points, cell_rows)
-    linked = checkpointed(_cell_joins(points, pivots, radius, min_cosine, block_rows))
+    points = rows.where("usable").groupBy("label", "code").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    # numbered once and for all: the checkpoint keeps the numbers
+    points = checkpointed(points.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("vector")}))
+    linked = checkpointed(_cell_joins(points, radius, min_cosine, cell_rows, block_rows, max_pivots))
     counts = linked.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     reached = connected_components(linked.where("kind = 1").select("a", "b"))
     seen = points.select("label", "code", "node", "least", "copies").join(counts, "node", "left").join(reached, "node", "left")
@@ -110,7 +117,25 @@ def near_duplicate_vectors(
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _cell_joins(points: DataFrame, pivots: dict[tuple, np.ndarray], radius: float, min_cosine: float, block_rows: int) -> DataFrame:
+DEALT = "label string, dim int, node long, copies long, vector array<double>, cell string, own boolean"
+HOT_CELL = 16
+SALT_ROWS = 1 << 16
+
+
+def _homes(x: np.ndarray, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pivot, whether it is the row's nearest) of all cells that a row goes to."""
+    d2 = np.maximum(2 - 2 * x @ centres.T, 0)
+    d = np.sqrt(d2)
+    home = d.argmin(axis=1)
+    between = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))[home]
+    near = np.arange(len(x)), home
+    inside = (d <= d[near][:, None] + 2 * radius) & (d2 - d2[near][:, None] <= 2 * radius * between + 1e-9)
+    inside[near] = True
+    i, c = np.nonzero(inside)
+    return i, c, c == home[i]
+
+
+def _first_cells(points: DataFrame, pivots: dict[tuple, np.ndarray], radius: float) -> DataFrame:
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -119,29 +144,70 @@ def _cell_joins(points: DataFrame, pivots: dict[tuple, np.ndarray], radius: floa
             take, cell, own = [], [], []
             for key, rows in frame.groupby(["label", "dim"]):
                 at = rows.index.to_numpy()
-                centres = pivots.get((int(key[0]), int(key[1])))
+                centres = pivots.get((key[0], int(key[1])))
                 if centres is None:
-                    take.append(at), cell.append(np.zeros(len(at), np.int64)), own.append(np.ones(len(at), bool))
-                    continue
-                x = _matrix(rows["vector"])
-                d2 = np.maximum(2 - 2 * x @ centres.T, 0)
-                d = np.sqrt(d2)
-                home = d.argmin(axis=1)
-                between = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))[home]
-                near = np.arange(len(at)), home
-                inside = (d <= d[near][:, None] + 2 * radius) & (d2 - d2[near][:, None] <= 2 * radius * between + 1e-9)
-                inside[near] = True
-                i, c = np.nonzero(inside)
-                take.append(at[i]), cell.append(c), own.append(c == home[i])
+                    i, c, mine = np.arange(len(at)), np.zeros(len(at), np.int64), np.ones(len(at), bool)
+                else:
+                    i, c, mine = _homes(_matrix(rows["vector"]), centres, radius)
+                take.append(at[i]), cell.append(c), own.append(mine)
             take, cell, own = map(np.concatenate, (take, cell, own))
             part = batch.take(pa.array(take))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell), pa.array(own)], [*part.schema.names, "cell", "own"])
-
-    dealt = points.select("label", "dim", "node", "copies", "vector").mapInArrow(cells, "label long, dim int, node long, copies long, vector array<double>, cell long, own boolean")
-    dealt = checkpointed(dealt)
-    sizes = dealt.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(str)), pa.array(own)], [*part.schema.names, "cell", "own"])
+
+    return points.select("label", "dim", "node", "copies", "vector").mapInArrow(cells, DEALT)
+
+
+def _split_cells(dealt: DataFrame, large: DataFrame, cell_rows: int, most: int, radius: float) -> DataFrame:
+    """The rows of the cells of ``large``, (label, dim, cell, n), dealt once more: each of these cells has pivots
+    of its own, one for ``cell_rows`` rows and ``most`` at most, picked by hash from the rows that live there.
+
+    A cell's pivots go before its rows, in each of the parts that a very large one is dealt in, so that a
+    task keeps the pivots of one cell and a batch of its rows."""
+    keys = ["label", "dim", "cell"]
+    rows = dealt.join(large, keys).withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SALT_ROWS)).cast("int"))
+    wanted = F.greatest(F.lit(2), F.least(F.lit(most), F.ceil(F.col("n") / cell_rows)))
+    drawn = rows.where("own").withColumn("h", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 30)))
+    # a few more than wanted by a threshold on the hash, then the least hashes
+    drawn = drawn.where(F.col("h") < (2.0 * wanted + 12) / F.col("n") * (1 << 30))
+    drawn = drawn.withColumn("no", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "node"))).where(F.col("no") <= wanted)
+    drawn = drawn.withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SALT_ROWS).cast("int") - 1)))
+    columns = ["label", "dim", "node", "copies", "vector", "cell", "own", "salt"]
+    both = drawn.select(*columns, F.lit(True).alias("pivot")).union(rows.select(*columns, F.lit(False).alias("pivot")))
+    both = both.repartition(*keys, "salt").sortWithinPartitions(*keys, "salt", F.desc("pivot"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, centres = None, []
+        for batch in batches:
+            frame = batch.to_pandas()
+            for key, rows in frame.groupby([*keys, "salt"], sort=False):
+                if key != at:
+                    at, centres = key, []
+                chosen = rows["pivot"].to_numpy()
+                if chosen.any():
+                    centres.append(_matrix(rows["vector"][chosen]))
+                place = rows.index.to_numpy()[~chosen]
+                if not len(place):
+                    continue
+                i, c, home = _homes(_matrix(rows["vector"][~chosen]), np.concatenate(centres), radius) if centres else (np.arange(len(place)), np.zeros(len(place), np.int64), np.ones(len(place), bool))
+                part = batch.take(pa.array(place[i]))
+                cell = [f"{key[2]}.{k}" for k in c.tolist()]
+                own = frame["own"].to_numpy()[place[i]] & home
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(cell, pa.string()), pa.array(own)], part.schema.names[:7])
+
+    return both.mapInArrow(run, DEALT)
+
+
+def _cell_joins(points: DataFrame, radius: float, min_cosine: float, cell_rows: int, block_rows: int, max_pivots: int) -> DataFrame:
+    keys = ["label", "dim", "cell"]
+    dealt = checkpointed(_first_cells(points, choose_pivots(points, cell_rows, max_pivots), radius))
+    sizes = checkpointed(dealt.groupBy(*keys).agg(F.count("*").alias("n")))
+    large = sizes.where(F.col("n") > HOT_CELL * cell_rows)
+    if not large.isEmpty():
+        again = _split_cells(dealt, large, cell_rows, max_pivots, radius)
+        dealt = checkpointed(dealt.join(large, keys, "left_anti").unionByName(again))
+        sizes = checkpointed(dealt.groupBy(*keys).agg(F.count("*").alias("n")))
     sized = sizes.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
-    rows = dealt.join(sized.drop("n"), ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = dealt.join(sized.drop("n"), keys).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a task has two blocks, or one that meets itself; each pair of blocks is one task
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other")
