@@ -7,9 +7,12 @@ overlapping bands of diagonals of width 2(k+1), each k+1 on from the last: one o
 has all of an occurrence. Bands with enough q-grams are verified by an alignment of
 the whole passage that keeps to the band's diagonals.
 
-Texts are compared lower-cased, with runs of white space as one space. Documents
-are read once, where they lie, and nothing is shuffled. The benchmark comes to the
-tasks in blocks of bounded size, one pass of the same scan after another.
+Texts are compared lower-cased, with runs of white space as one space. A passage too short
+for its budget at the usual q has grams of its own, as short as it takes, so none is left out.
+
+Documents are read once, where they lie, and nothing is shuffled. The benchmark is cut into
+blocks of bounded size, each a broadcast variable; the driver holds one at a time, and a task
+holds one at a time with a bounded buffer of texts.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import free_name, row_slices
+from .common import row_slices
 
 _FACTOR = 0xD6E8FEB86659FD93 | 1
 _BITS = 22
@@ -56,28 +60,47 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Match:
-    item: int
+    item: object
     start: int
     end: int
     edits: int
 
 
 class PassageIndex:
-    """q-grams of a block of passages with a bitmap in front."""
+    """q-grams of a block of passages, an index for each length that grams have."""
+
+    def __init__(self, items: list[tuple[object, str]], q: int = 8, edit_rate: float = 0.08):
+        of_size: dict[int, list[tuple[object, np.ndarray, int]]] = {}
+        for item, text in items:
+            codes = _codes(normalised(text or ""))
+            if m := len(codes):
+                edits = min(int(m * edit_rate), m - 1)
+                # the longest grams of which one is shared at that budget
+                of_size.setdefault(min(q, m // (edits + 1)), []).append((item, codes, edits))
+        self.parts = [GramIndex(size, kept) for size, kept in sorted(of_size.items())]
+
+    def find(self, text: str) -> list[Match]:
+        """The best verified occurrence of each passage."""
+        if not self.parts:
+            return []
+        codes = _codes(normalised(text))
+        return [m for part in self.parts for m in part.find(codes)]
+
 
-    def __init__(self, items: list[tuple[int, str]], q: int = 8, edit_rate: float = 0.08):
+class GramIndex:
+    """Grams of one length of passages ``(item, codes, edits)``, with a bitmap in front."""
+
+    def __init__(self, q: int, kept: list[tuple[object, np.ndarray, int]]):
         self.q = q
-        kept = [(i, t) for i, t in ((i, normalised(t or "")) for i, t in items) if len(t) >= q]
-        self.ids = [i for i, _ in kept]
-        self.codes = [_codes(t) for _, t in kept]
+        self.ids = [i for i, _, _ in kept]
+        self.codes = [c for _, c, _ in kept]
         self.sizes = np.array([len(c) for c in self.codes], np.int64)
-        # a budget at which at least one q-gram must be shared
-        self.edits = np.minimum((self.sizes * edit_rate).astype(np.int64), (self.sizes - q) // q)
+        self.edits = np.array([k for _, _, k in kept], np.int64)
         self.least = self.sizes + 1 - q - self.edits * q
         grams = [gram_hashes(c, q) for c in self.codes]
-        hashes = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+        hashes = np.concatenate(grams)
         item = np.repeat(np.arange(len(kept)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
+        place = np.concatenate([np.arange(len(g)) for g in grams])
         order = np.argsort(hashes, kind="stable")
         self.grams, first = np.unique(hashes[order], return_index=True)
         self.first = np.append(first, len(hashes))
@@ -85,11 +108,9 @@ class PassageIndex:
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[(self.grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def find(self, text: str) -> list[Match]:
-        """The best verified occurrence of each passage, by passage."""
-        if not self.ids or len(text) < self.q:
+    def find(self, codes: np.ndarray) -> list[Match]:
+        if len(codes) < self.q:
             return []
-        codes = _codes(normalised(text))
         hashes = gram_hashes(codes, self.q)
         at = np.flatnonzero(self.bitmap[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])
         if not len(at):
@@ -162,16 +183,14 @@ def banded_alignment(pattern: np.ndarray, text: np.ndarray, diagonal: int, width
     return len(pattern) + int(lane[best]), int(cost[best])
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks that hold about ``block_chars`` characters."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str, int]]]:
+    """The benchmark's distinct ``(item, text, rows)`` in blocks that hold about ``block_chars`` characters."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    items = items.groupBy("item", "text").agg(F.count("*").alias("n"))
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = total // block_chars + 1
     for no in range(blocks):
-        yield [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == no).collect()]
-
-
-MATCHES = "array<struct<item:bigint,start:bigint,end:bigint,edits:bigint>>"
+        yield [(r.item, r.text, r.n) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == no).collect()]
 
 
 def find_leaks(
@@ -183,37 +202,58 @@ def find_leaks(
     q: int = 8,
     edit_rate: float = 0.08,
     block_chars: int = 4_000_000,
+    buffer_bytes: int = 32 << 20,
     into: str = "leaks",
 ) -> DataFrame:
     """``docs`` with a column ``into`` added (replaced if it is there): the benchmark passages that occur
-    in the text with at most ``edit_rate`` edits a character, each with its best occurrence
+    in the text with at most ``edit_rate`` edits a character (rounded down), each with its best occurrence
     as (item, start, end, edits) in the lower-cased text with single spaces.
 
-    Null texts have none; passages that are null, have a null id or fewer than ``q`` characters are
-    never found; items that repeat an id are passages of their own, reported once for each. An empty
+    Null texts have none; passages that are null or empty, or have a null id, are never found; items that
+    repeat an id are passages of their own, reported once for each. Ids may be of any type. An empty
     benchmark finds nothing. All other columns and repeated rows are kept as they are.
+
+    The benchmark is dealt into blocks of ``block_chars`` characters. With several, a task takes
+    ``buffer_bytes`` of texts at a time through all of them.
     """
     held = docs.drop(into)
     names = held.columns
-    out = held.withColumn(into, F.array().cast(MATCHES))
-    kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item", "start", "end", "edits")]))
+    item = benchmark.schema[item_col].dataType
+    out = held.withColumn(into, F.array().cast(f"array<struct<item:{item.simpleString()},start:bigint,end:bigint,edits:bigint>>"))
+    kind = pa.list_(pa.struct([("item", to_arrow_type(item)), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
     text_at = names.index(text_col)
-
-    def scan(index: PassageIndex):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in row_slices(batches):
-                found = []
-                for text, before in zip(part.column(text_at).to_pylist(), part.column(len(names)).to_pylist(), strict=True):
-                    now = [{"item": m.item, "start": m.start, "end": m.end, "edits": m.edits} for m in index.find(text or "")]
-                    found.append((before or []) + now)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, kind)], schema=part.schema.set(len(names), pa.field(into, kind)))
-
-        return run
-
+    context = docs.sparkSession.sparkContext
+    indexes = []
     for block in _blocks(benchmark, item_col, item_text_col, block_chars):
         if block:
-            out = out.mapInArrow(scan(PassageIndex(block, q, edit_rate)), out.schema)
-    return out
+            copies = {(i, t): n for i, t, n in block if n > 1}
+            rows = [(i, t) for i, t, _ in block] + [(i, t) for (i, t), n in copies.items() for _ in range(n - 1)]
+            indexes.append(context.broadcast(PassageIndex(rows, q, edit_rate)))
+    if not indexes:
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for part in row_slices(batches):
+            waiting.append(part)
+            size += part.nbytes
+            if len(indexes) == 1 or size >= buffer_bytes:
+                yield from scan(waiting)
+                waiting, size = [], 0
+        yield from scan(waiting)
+
+    def scan(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [[[] for _ in range(part.num_rows)] for part in parts]
+        for index in indexes if parts else []:
+            for part, rows in zip(parts, found, strict=True):
+                for text, row in zip(part.column(text_at).to_pylist(), rows, strict=True):
+                    row += [{"item": m.item, "start": m.start, "end": m.end, "edits": m.edits} for m in index.value.find(text or "")]
+            if len(indexes) > 1:
+                del index._value  # the worker keeps no more than one block; it is on disk
+        for part, rows in zip(parts, found, strict=True):
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, kind)], schema=part.schema.set(len(names), pa.field(into, kind)))
+
+    return out.mapInArrow(run, out.schema)
 
 
 def leak_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

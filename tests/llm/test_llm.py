@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from decimal import Decimal
 
 import duckdb
 import numpy as np
@@ -299,13 +300,14 @@ def test_recall_of_index_and_bound(nodes):
 
 
 # --- 4 ----------------------------------------------------------------------------------------
-def test_embeddings_cells(spark):
+@pytest.mark.parametrize("sizes", [{"cell_rows": 40, "block_rows": 30}, {"cell_rows": 4, "max_pivots": 6}, {}])
+def test_embeddings_cells(spark, sizes):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(60, 16))
     x = np.concatenate([base + rng.normal(scale=0.05, size=base.shape) for _ in range(12)] + [base[:5], base[:5]])
     rows = [(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)]
     rows += [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, x[0].tolist(), None), (1004, [None] * 16, 0), (1005, [], 0)]
-    got = {r.vec_id: r for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), cell_rows=40, block_rows=30).collect()}
+    got = {r.vec_id: r for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), **sizes).collect()}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (unit @ unit.T >= 0.98) & (np.arange(len(x))[:, None] % 2 == np.arange(len(x))[None, :] % 2)
     np.fill_diagonal(near, False)
@@ -316,6 +318,25 @@ def test_embeddings_cells(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_embeddings_labels_and_ids(spark):
+    """Labels of any type are compared as they are; repeated and null ids; extra columns; exact copies."""
+    v = [1.0, 2.0, 3.0]
+    for kind, one, two in [("double", 1.2, 1.7), ("string", "x", "y"), ("string", "1", "01"), ("binary", b"\xff", b"\xfe"), ("array<int>", [1], [2]), ("boolean", True, False), ("decimal(10,2)", Decimal("1.00"), Decimal("1.01"))]:
+        rows = [(1, v, one, "a"), (2, v, two, "b"), (3, v, one, "c"), (None, v, two, "d"), (1, v, one, "e"), (None, [0.0], None, "f")]
+        got = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}, node string"))
+        want = [(1, 2, 1, True), (1, 2, 1, True), (3, 2, 1, False), (2, 1, 2, True), (None, 1, 2, False), (None, 0, None, False)]
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)), kind
+    rows = [(1, v, 0.0), (2, v, -0.0), (3, v, float("nan")), (4, v, float("nan"))]
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label double"))
+    assert {r.vec_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_embeddings_have_pivots(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("string").alias("label"), F.col("vec_id").alias("node"), F.col("embedding").alias("vector"))
+    pivots = embeddings.choose_pivots(rows.withColumn("dim", F.size("vector")), 1024)
+    assert len(pivots) == 10 and all(len(p) == 2 for p in pivots.values())
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -550,7 +571,7 @@ def test_leaks_brute_force():
         t = decontam.normalised(" ".join(word() for _ in range(rng.randrange(20))) + " " + "".join(changed) + " " + " ".join(word() for _ in range(10)))
         got = {m.item: m for m in index.find(t)}
         for i, p in items:
-            k = int(index.edits[i])
+            k = int(len(p) * 0.08)
             edits = best_edits(p, t)
             assert (i in got) == (edits <= k), (trial, i, edits, k)
             if i in got:
@@ -559,12 +580,70 @@ def test_leaks_brute_force():
     assert hits > 20
 
 
+def best_edits_all(pattern, text):
+    """As ``best_edits``, a row at a time."""
+    codes, ramp = decontam._codes(text), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for i, letter in enumerate(decontam._codes(pattern), 1):
+        now = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (codes != letter)))
+        row = np.minimum.accumulate(now - ramp) + ramp
+    return int(row.min())
+
+
+def test_leaks_query_brute_force(spark):
+    """The query on a small fixture: real documents, some with passages that were changed."""
+    sf = "/root/testdata/sf0.001"
+    rng = random.Random(3)
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet").limit(12)
+    items = [(r.item_id, decontam.normalised(r.text)) for r in benchmark.collect()]
+    rows = [(i, t[:1500]) for i, t in texts(spark.read.parquet(f"{sf}/documents.parquet"))][:70]
+    for i in range(30):
+        passage = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(0, 20)):
+            passage[rng.randrange(len(passage))] = rng.choice(["", "#", "ab"])
+        rows.append((1000 + i, rows[i][1][:300] + " " + "".join(passage) + rows[i][1][300:600]))
+    got = {r.doc_id: r for r in decontam.leak_digest(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    hits = 0
+    for i, t in rows:
+        t = decontam.normalised(t)
+        edits = {no: best_edits_all(p, t) for no, p in items}
+        want = [no for no, p in items if edits[no] <= int(len(p) * 0.08)]
+        assert got[i].items == ",".join(map(str, sorted(want))) and (got[i].contaminated, got[i].n_items) == (bool(want), len(want))
+        for told in filter(None, got[i].spans.split(",")):
+            no, start, end, k = map(int, told.split(":"))
+            assert k == edits[no] == best_edits(dict(items)[no], t[start:end])
+            hits += 1
+    assert 12 < hits
+
+
+def test_leaks_short_passages():
+    """Passages shorter than a gram, and those whose budget asks for shorter grams."""
+    rng = random.Random(9)
+    items = [(i, "".join(rng.choice("abcd") for _ in range(n))) for i, n in enumerate([1, 2, 3, 7, 8, 9, 12, 13, 14, 15, 16, 20, 26, 30])]
+    for rate in (0.08, 0.2):
+        index, found = decontam.PassageIndex(items, 8, rate), 0
+        for _ in range(150):
+            body = list(rng.choice(items)[1])
+            for _ in range(rng.randrange(3)):
+                body[rng.randrange(len(body))] = rng.choice(["", "x", "ba"])
+            t = "".join(rng.choice("abcd") for _ in range(rng.randrange(12))) + "".join(body) + "".join(rng.choice("abcd") for _ in range(rng.randrange(12)))
+            got = {m.item: m.edits for m in index.find(t)}
+            want = {i: e for i, p in items if (e := best_edits(p, t)) <= min(int(len(p) * rate), len(p) - 1)}
+            assert got == want
+            found += len(want)
+        assert found > 300
+
+
 def test_leaks_odd(spark, odd, none):
-    items = spark.createDataFrame([(1, "no id but words"), (None, "same words here"), (2, None), (3, "x"), (1, "no id but words")], "item_id long, text string")
+    items = spark.createDataFrame([(1, "no id but words"), (None, "same words here"), (2, None), (3, "x"), (1, "no id but words"), (4, " \n")], "item_id long, text string")
     found = decontam.find_leaks(odd, items)
     assert found.columns == [*odd.columns, "leaks"] and found.count() == len(ODD)
-    assert [r.doc_id for r in found.where("size(leaks) > 0").collect()] == [None]
-    assert decontam.find_leaks(odd, items, block_chars=8).where("size(leaks) > 0").count() == 1
+    told = lambda df: sorted((str(r.doc_id), [m.item for m in r.leaks]) for r in df.where("size(leaks) > 0").collect())
+    assert told(found) == [("6", [3]), ("None", [1, 1])]
+    blocks = decontam.find_leaks(odd.withColumn("leaks", F.lit(1)), items, block_chars=8, buffer_bytes=100)
+    assert told(blocks) == told(found) and blocks.columns == found.columns
+    named = decontam.find_leaks(odd, items.withColumn("item_id", F.concat(F.lit("n"), "item_id")))
+    assert told(named) == [("6", ["n3"]), ("None", ["n1", "n1"])]
     assert decontam.find_leaks(none, items).count() == 0 and decontam.find_leaks(odd, items.limit(0)).where("size(leaks) > 0").count() == 0
 
 
