@@ -3,10 +3,10 @@
 Documents are tokenised where they lie; only lengths and checksums travel. Pieces
 of full length are sequences of their own. The rest are dealt into shards by a hash
 of their identity (so a hot source or id can't gather in one), and each shard is
-packed on its own: best-fit decreasing, then local search among its underfull bins,
+packed on its own: best fit in hash order, then local search among its underfull bins,
 which moves a document, or exchanges one for one or two for one, whenever that
 raises the sum of squared fills, and so drains the emptiest bins until they vanish.
-A shard wastes at most about one bin, and its size bounds memory and time.
+A shard wastes less than one bin where that can be reached; its size bounds the memory.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,13 +130,12 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tok
     return rows.mapInArrow(run, f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int, rounds: int = 4) -> list[list[int]]:
-    """Bins of indices: best-fit decreasing, then local search. No length exceeds ``capacity``."""
+def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins of indices: each length, in the order given, goes to the open bin where it leaves the least room."""
     bins: list[list[int]] = []
     rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
     open_rooms = 0  # bit r: some bin has r left
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[i])
+    for i, n in enumerate(lengths.tolist()):
         fitting = open_rooms >> n
         if fitting:
             room = n + (fitting & -fitting).bit_length() - 1
@@ -150,71 +149,147 @@ def pack_lengths(lengths: np.ndarray, capacity: int, rounds: int = 4) -> list[li
         if room - n:
             rooms[room - n].append(b)
             open_rooms |= 1 << (room - n)
-    return local_search(bins, lengths, capacity, rounds)
+    return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 4) -> list[list[int]]:
-    """Moves and swaps between underfull bins while they raise the sum of squared fills.
+def pack_lengths(lengths: np.ndarray, capacity: int, steps: dict[str, int] | None = None) -> list[list[int]]:
+    """Bins of indices: best fit in the order given, then local search. No length exceeds ``capacity``."""
+    return LocalSearch(best_fit(lengths, capacity), lengths, capacity).run(steps)
 
-    From the emptiest bin on, each of its documents looks for the bin where it, or an
-    exchange that brings a larger load to that bin, leaves the least room. Every step
-    raises the squared fills, so the search ends; ``rounds`` bounds the passes.
+
+@lru_cache(256)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+class LocalSearch:
+    """Steps between two underfull bins that raise the sum of squared fills, from the emptiest bin on.
+
+    A step takes load from one bin (the poor one) to a fuller one whose room it fits in: one document (move), one for
+    a smaller one that comes back (one_for_one), or two for one (two_for_one). Of all steps that its
+    documents have, with whatever document of whatever fuller bin, the one that takes most is made. When none is
+    left, the next emptiest bin has its turn. The search ends when less than one bin's room is free (no packing
+    has fewer bins), or when a pass over all underfull bins finds no step. As the squares are integers
+    that rise with each step, it does end; nothing else bounds it.
+
+    A document of size s in a bin with room r can be replaced by loads up to s + r, and a bin's room r can take
+    loads up to r (as a document of size 0). ``top`` has the smallest size for each such limit, so that the best
+    step for every load comes from one suffix minimum. Bins that change get a new version; their
+    old entries go when they are met.
     """
-    fill = [int(lengths[b].sum()) if len(b) else 0 for b in bins]
-    for _ in range(rounds):
-        # with nothing but one bin's room free there is nothing left to gain
-        if capacity * len(bins) - sum(fill) < capacity:
-            break
-        changed = False
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
-        for poor in under[: max(1, len(under) // 2)]:
-            changed |= _drain(poor, under, bins, fill, lengths, capacity)
-        bins, fill = [b for b in bins if b], [f for b, f in zip(bins, fill, strict=True) if b]
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _drain(poor: int, under: list[int], bins: list[list[int]], fill: list[int], lengths: np.ndarray, capacity: int) -> bool:
-    changed = False
-    for rich in reversed(under):
-        if rich == poor or not bins[poor] or fill[rich] < fill[poor] or fill[rich] == capacity:
-            continue
-        while bins[poor] and (step := _best_step(bins[poor], bins[rich], lengths, capacity - fill[rich])):
-            gain, out, back = step
-            for i in out:
-                bins[poor].remove(i), bins[rich].append(i)
-            for i in back:
-                bins[rich].remove(i), bins[poor].append(i)
-            fill[poor] -= gain
-            fill[rich] += gain
-            changed = True
-    return changed
-
-
-def _best_step(poor: list[int], rich: list[int], lengths: np.ndarray, room: int) -> tuple[int, list[int], list[int]] | None:
-    """The move or exchange that adds most to the fuller bin, of those that fit into its room."""
-    if not room:
-        return None
-    best: tuple[int, list[int], list[int]] | None = None
-    mine = sorted(poor, key=lambda i: -lengths[i])
-    for i in mine:
-        if lengths[i] <= room and (best is None or lengths[i] > best[0]):
-            best = (int(lengths[i]), [i], [])
-            break
-    if best and best[0] == room:
-        return best
-    theirs = np.array(rich)
-    sizes = lengths[theirs]
-    for out in [[i] for i in mine] + [[i, j] for k, i in enumerate(mine[:32]) for j in mine[k + 1 : 32]]:
-        gains = int(lengths[out].sum()) - sizes
-        gains[(gains > room) | (gains <= 0)] = 0
-        k = int(gains.argmax())
-        if gains[k] > (best[0] if best else 0):
-            best = (int(gains[k]), out, [int(theirs[k])])
-            if best[0] == room:
-                break
-    return best
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
+        self.bins = [list(b) for b in bins if b]
+        self.lengths, self.capacity = np.asarray(lengths, np.int64), capacity
+        self.fill = [int(self.lengths[b].sum()) for b in self.bins]
+        self.version = [0] * len(self.bins)
+
+    def run(self, steps: dict[str, int] | None = None) -> list[list[int]]:
+        counted = {"move": 0, "one_for_one": 0, "two_for_one": 0}
+        free = self.capacity * len(self.bins) - sum(self.fill)
+        changed = True
+        while (changed or self._repack()) and free >= self.capacity:
+            changed = False
+            free = self.capacity * len(self.bins) - sum(self.fill)
+            self.least = None
+            self.top = np.full(self.capacity + 1, self.capacity + 1, np.int64)
+            self.heaps: list[list[tuple[int, int, int, int]]] = [[] for _ in range(self.capacity + 1)]
+            self.queue: list[tuple[int, int]] = []
+            for b in range(len(self.bins)):
+                self._enter(b)
+            passed = set()
+            while self.queue:
+                fill, poor = heappop(self.queue)
+                if poor in passed or fill != self.fill[poor]:
+                    continue
+                passed.add(poor)
+                self.version[poor] += 1  # what is passed over is no place to go to until the next pass
+                while self.bins[poor] and (step := self._step(self.bins[poor])):
+                    counted[self._make(poor, *step)] += 1
+                    changed = True
+                if not self.bins[poor]:
+                    free -= self.capacity
+                    if free < self.capacity:
+                        break
+        if steps is not None:
+            for kind, n in counted.items():
+                steps[kind] = steps.get(kind, 0) + n
+        return [b for b in self.bins if b]
+
+    def _repack(self) -> bool:
+        """When no step is left: lets the underfull bins and the full ones with the smallest documents go and packs
+        these best-fit decreasing, if that saves a bin; first few full ones, then twice as many, until all are in."""
+        self.bins = [b for b in self.bins if b]
+        self.fill = [int(self.lengths[b].sum()) for b in self.bins]
+        self.version = [0] * len(self.bins)
+        order = sorted(range(len(self.bins)), key=lambda b: (self.fill[b] == self.capacity, self.lengths[self.bins[b]].min()))
+        if self.capacity * len(self.bins) - sum(self.fill) < self.capacity:
+            return False
+        taken = 2 * sum(f < self.capacity for f in self.fill)
+        while True:
+            gone = order[:taken]
+            loose = np.array([i for b in gone for i in self.bins[b]])
+            loose = loose[np.argsort(-self.lengths[loose], kind="stable")]
+            made = best_fit(self.lengths[loose], self.capacity)
+            if len(made) < len(gone):
+                stay = set(order[taken:])
+                self.bins = [b for no, b in enumerate(self.bins) if no in stay] + [loose[b].tolist() for b in made]
+                self.fill = [int(self.lengths[b].sum()) for b in self.bins]
+                self.version = [0] * len(self.bins)
+                return True
+            if taken >= len(order):
+                return False
+            taken *= 2
+
+    def _enter(self, b: int) -> None:
+        if room := self.capacity - self.fill[b]:
+            heappush(self.queue, (self.fill[b], b))
+            now = self.version[b]
+            for size, i in [(0, -1), *zip(self.lengths[self.bins[b]].tolist(), self.bins[b], strict=True)]:
+                heappush(self.heaps[size + room], (size, i, b, now))
+                if size < self.top[size + room]:
+                    self.top[size + room] = size
+                    self.least = None
+
+    def _make(self, poor: int, rich: int, out: list[int], back: list[int]) -> str:
+        for i in out:
+            self.bins[poor].remove(i), self.bins[rich].append(i)
+        for i in back:
+            self.bins[rich].remove(i), self.bins[poor].append(i)
+        taken = int(self.lengths[out].sum() - self.lengths[back].sum())
+        self.fill[poor] -= taken
+        self.fill[rich] += taken
+        self.version[rich] += 1
+        self._enter(rich)
+        return "move" if not back else "one_for_one" if len(out) == 1 else "two_for_one"
+
+    def _step(self, mine: list[int]) -> tuple[int, list[int], list[int]] | None:
+        """(other bin, documents that go, documents that come back) of the step that takes most."""
+        own = self.lengths[mine]
+        one, two = _pairs(len(mine))
+        pairs = own[one] + own[two]
+        fit = np.flatnonzero(pairs <= self.capacity)
+        loads = np.concatenate([own, pairs[fit]])
+        while True:
+            if self.least is None:
+                self.least = np.minimum.accumulate(self.top[::-1])[::-1]
+            taken = loads - self.least[loads]
+            best = int(taken.argmax())
+            if taken[best] <= 0:
+                return None
+            limit = int(loads[best]) + int(self.top[loads[best] :].argmin())  # the tightest of equals
+            heap = self.heaps[limit]
+            while heap and self.version[heap[0][2]] != heap[0][3]:
+                heappop(heap)
+            if heap and heap[0][0] == self.top[limit]:
+                _, i, rich, _ = heap[0]
+                out = [mine[best]] if best < len(mine) else [mine[x[fit[best - len(mine)]]] for x in (one, two)]
+                # two documents that both just move are two steps
+                if i < 0 and len(out) == 2:
+                    out = [max(out, key=self.lengths.__getitem__)]
+                return rich, out, [i] if i >= 0 else []
+            self.top[limit] = heap[0][0] if heap else self.capacity + 1
+            self.least = None
 
 
 def pack_documents(
@@ -223,7 +298,7 @@ def pack_documents(
     text_col: str = "text",
     capacity: int = 2048,
     tokenizer: str | None = None,
-    shard_pieces: int = 16_384,
+    shard_pieces: int = 8_192,
 ) -> DataFrame:
     """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
@@ -238,15 +313,15 @@ def pack_documents(
     # equal rows (a repeated document) are dealt by a number of their own
     dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row", "piece", F.monotonically_increasing_id()), F.lit(shards)))
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "ids_crc32", "doc_id"], ascending=False, ignore_index=True)
-        lengths = rows["length"].to_numpy()
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("ids_crc32", "ascending"), ("length", "ascending"), ("row", "ascending"), ("piece", "ascending")])
+        lengths = rows.column("length").to_numpy()
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         for b, members in enumerate(pack_lengths(lengths, capacity)):
-            sequence[members] = (int(rows["shard"].iloc[0]) << 32) + b
+            sequence[members] = (rows.column("shard")[0].as_py() << 32) + b
             offset[members] = np.cumsum(lengths[members]) - lengths[members]
-        return rows.drop(columns="shard").assign(sequence_id=sequence, offset=offset)
+        return rows.drop_columns("shard").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    packed = dealt.groupBy("shard").applyInPandas(pack, f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed = dealt.groupBy("shard").applyInArrow(pack, f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return whole.unionByName(packed).drop("row")
