@@ -26,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, row_slices, utf8
+from .common import checkpointed, free_name, hot_blocks, join_dealt, row_slices, utf8
 from .components import connected_components
 from .text_kernels import Powers, RollingHash, WordHashes, mix
 
 BITS = 64
-#: Buckets with more stored fingerprints than this give links that are linear in their rows.
+#: Buckets with more stored fingerprints than this give a spanning forest; both ways join the same nodes.
 FEW_STORED = 8
 PAIRS_AT_ONCE = 1 << 18
 
@@ -162,33 +162,25 @@ def _dealt(exact: DataFrame, balls: DataFrame, plan: list[Segment], most: int) -
     return rows.withColumn("cell", F.explode(F.concat(probing, holding))).select("key", *columns, F.col("cell.stored").alias("stored"), F.col("cell.block").alias("block"))
 
 
-def near_links(nodes: DataFrame, plan: list[Segment], distance: int, sure: int, hot_rows: int = 8192, nearest: int = 1) -> DataFrame:
+def near_links(nodes: DataFrame, plan: list[Segment], distance: int, hot_rows: int = 8192) -> DataFrame:
     """Links ``(a, b)`` between nodes ``(node, fingerprint columns)`` that share a bucket and are within
-    ``distance`` bits in all. Of a bucket of over ``FEW_STORED`` stored ones come a spanning forest of the
-    links within ``sure`` bits, and of the others the link of each row to the nearest stored
-    node of another tree (see ``_first_links``). With ``sure = distance`` nothing is left out; else a
-    row ``(node, null)`` comes for each node of a link that was left out.
-
-    Nodes with a column ``tree`` are linked across trees only, in a bucket of over ``FEW_STORED`` stored
-    ones each row to its ``nearest`` ones (see ``_nearest_stored``)."""
-    labelled = "tree" in nodes.columns
+    ``distance`` bits in all: every one of a bucket with few stored fingerprints, a spanning forest of the others'."""
     words = list(dict.fromkeys(s.column for s in plan))
-    columns = ["tree", *words] if labelled else words
-    nodes = nodes.select("node", *columns)
-    exact = nodes.select("node", *columns, F.explode(_stored_keys(plan)).alias("key"))
-    balls = nodes.select("node", *columns, F.explode(_ball_keys(plan)).alias("key"))
+    nodes = nodes.select("node", *words)
+    exact = nodes.select("node", *words, F.explode(_stored_keys(plan)).alias("key"))
+    balls = nodes.select("node", *words, F.explode(_ball_keys(plan)).alias("key"))
     most = max(hot_rows, -(-nodes.count() // 1000))
-    dealt = _dealt(exact, balls, plan, most).select("key", "block", "node", "stored", *columns)
+    dealt = _dealt(exact, balls, plan, most).select("key", "block", "node", "stored", *words)
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
     kind = nodes.schema["node"].dataType.simpleString()
-    return dealt.mapInArrow(_bucket_links(distance, sure, nearest, labelled), f"a {kind}, b {kind}").distinct()
+    return dealt.mapInArrow(_bucket_links(distance), f"a {kind}, b {kind}").distinct()
 
 
 def _distance(fps: list[np.ndarray], i: np.ndarray | slice, j: np.ndarray | int) -> np.ndarray:
     return sum(np.bitwise_count(fp[i] ^ fp[j]).astype(np.int16) for fp in fps)
 
 
-def _bucket_links(distance: int, sure: int, nearest: int, labelled: bool) -> Callable:
+def _bucket_links(distance: int) -> Callable:
     """Streams sorted buckets; the rows of the last key of a batch wait for the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +203,6 @@ def _bucket_links(distance: int, sure: int, nearest: int, labelled: bool) -> Cal
         key, block, node, stored, *words = rows
         if len(key) < 2:
             return
-        tree = words.pop(0) if labelled else None
         fps = [w.view(np.uint64) for w in words]
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
@@ -221,88 +212,26 @@ def _bucket_links(distance: int, sure: int, nearest: int, labelled: bool) -> Cal
         at = np.flatnonzero(stored)
         at = at[(held_by[owner[at]] <= FEW_STORED) & (sizes[owner[at]] > 1)]
         ends = np.cumsum(sizes[owner[at]])
-        found, waiting = [], []
+        found = []
         for part in np.split(at, np.flatnonzero(np.diff(ends // PAIRS_AT_ONCE)) + 1):
             many = sizes[owner[part]]
             i = np.repeat(part, many)
             j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[owner[part]], many)
             near = _distance(fps, i, j) <= distance
-            if labelled:
-                near &= tree[i] != tree[j]
             found.append(np.stack([node[i[near]], node[j[near]]], 1))
         for g in np.flatnonzero(held_by > FEW_STORED):
             span = slice(starts[g], starts[g] + sizes[g])
-            own = [fp[span] for fp in fps]
-            if labelled:
-                links, left_out = _nearest_stored(node[span], own, stored[span], tree[span], distance, nearest)
-            else:
-                links, left_out = _first_links(node[span], own, stored[span], distance, sure)
-            found += links
-            waiting += left_out
+            found.append(_forest(node[span], [fp[span] for fp in fps], stored[span], distance))
         pairs = np.concatenate(found) if found else np.empty((0, 2), node.dtype)
         pairs = np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1)
         for i in range(0, len(pairs), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 50_000, 0]), pa.array(pairs[i : i + 50_000, 1])], ["a", "b"])
-        if waiting:
-            left = pa.array(np.unique(np.concatenate(waiting)))
-            yield pa.RecordBatch.from_arrays([left, pa.nulls(len(left), left.type)], ["a", "b"])
 
     return run
 
 
-def _first_links(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distance: int, sure: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The links of a forest and of each row the link to the nearest stored node that isn't in its tree,
-    of a probe only within 3/8 of ``distance``, as probes of a large group meet it in a hundred buckets;
-    and the nodes of all other links. By number, so that the trees of different buckets are stars around
-    the same few nodes."""
-    order = np.argsort(node, kind="stable")
-    node, fps, stored = node[order], [fp[order] for fp in fps], stored[order]
-    links, tree = _forest(node, fps, stored, sure)
-    if sure >= distance:
-        return [links], []
-    found, waiting = [links], []
-    for i, tables, far in _to_stored(node, fps, stored):
-        within = far <= distance
-        far[tree[i][:, None] == tree[tables][None, :]] = np.iinfo(np.int16).max
-        best = far.argmin(axis=1)
-        near = far[np.arange(len(i)), best] <= np.where(stored[i], distance, distance * 3 // 8)
-        found.append(np.stack([node[i[near]], node[tables[best[near]]]], 1))
-        within[np.flatnonzero(near), best[near]] = False
-        waiting += [node[i[within.any(axis=1)]], node[tables[within.any(axis=0)]]]
-    return found, waiting
-
-
-def _nearest_stored(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, tree: np.ndarray, distance: int, nearest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of each row the links to the ``nearest`` stored nodes within ``distance`` that aren't in its tree,
-    and the nodes of all other such links."""
-    found, waiting = [], []
-    for i, tables, far in _to_stored(node, fps, stored):
-        far[tree[i][:, None] == tree[tables][None, :]] = np.iinfo(np.int16).max
-        within = far <= distance
-        over = np.flatnonzero(within.sum(axis=1) > nearest)
-        if len(over):
-            waiting += [node[i[over]], node[tables[within[over].any(axis=0)]]]
-            best = np.argpartition(far[over], nearest - 1, axis=1)[:, :nearest]
-            within[over] = False
-            within[over[:, None], best] = True
-        x, y = np.nonzero(within)
-        found.append(np.stack([node[i[x]], node[tables[y]]], 1))
-    return found, waiting
-
-
-def _to_stored(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of rows, the stored rows, and the distances between them (no node is near itself)."""
-    tables = np.flatnonzero(stored)
-    step = max(1, PAIRS_AT_ONCE // len(tables))
-    for start in range(0, len(node), step):
-        i = np.arange(start, min(start + step, len(node)))
-        far = _distance(fps, i[:, None], tables[None, :])
-        far[node[i][:, None] == node[tables][None, :]] = np.iinfo(np.int16).max
-        yield i, tables, far
-
-
-def _forest(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of a bucket's links of stored nodes, and the tree of each row."""
+def _forest(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distance: int) -> np.ndarray:
+    """A spanning forest of a bucket's links of stored nodes."""
     parent = np.arange(len(node))
 
     def root(i: int) -> int:
@@ -322,7 +251,7 @@ def _forest(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distanc
                 out.append((node[t], node[j]))
         if no % 16 == 0:
             parent[:] = _flattened(parent)
-    return np.array(out, node.dtype).reshape(-1, 2), _flattened(parent)
+    return np.array(out, node.dtype).reshape(-1, 2)
 
 
 def _flattened(parent: np.ndarray) -> np.ndarray:
@@ -351,7 +280,7 @@ def simhash_components(
     fps = checkpointed(fingerprints(docs, id_col, text_col, shingle_words))
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     plan = plan_segments(distance, nodes.count())
-    reached = connected_components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), plan, distance, distance))
+    reached = connected_components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), plan, distance))
     labelled = _least_of_each(nodes.withColumn("node", F.col("fp")), reached).select("fp", "component_id")
     return fps.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -400,92 +329,170 @@ def text_copy(text: F.Column) -> F.Column:
 
 
 def long_fingerprints(docs: DataFrame, words: int, shingle_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, copy, fp0, fp1, ..)``: SimHash of 64 * ``words`` bits over the set of shingles; ``copy`` is a hash of the text."""
+    """``(doc_id, copy, n, fp0, fp1, ..)``: SimHash of 64 * ``words`` bits over the set of ``n`` shingles; ``copy`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), Powers()
         for part in row_slices(batches):
-            fps = np.zeros((part.num_rows, words), np.uint64)
+            fps, sizes = np.zeros((part.num_rows, words), np.uint64), np.zeros(part.num_rows, np.int64)
             for i, text in enumerate(utf8(part.column(2))):
                 h = np.unique(_shingle_hashes(text, shingle_words, hashes, powers))
+                sizes[i] = len(h)
                 for no in range(words if len(h) else 0):
                     ones = np.zeros(BITS, np.int64)
                     for k in range(0, len(h), 1 << 16):
                         ones += np.unpackbits(h[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
                     fps[i, no] = int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
                     h = mix(h + np.uint64(no + 1))
-            columns = [part.column(0), part.column(1), *(pa.array(fps[:, no].view(np.int64)) for no in range(words))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", *(f"fp{no}" for no in range(words))])
+            columns = [part.column(0), part.column(1), pa.array(sizes), *(pa.array(fps[:, no].view(np.int64)) for no in range(words))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "n", *(f"fp{no}" for no in range(words))])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_copy(_text(text_col)).alias("copy"), _text(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, copy binary, " + ", ".join(f"fp{no} long" for no in range(words)))
+    return rows.mapInArrow(run, f"doc_id {kind}, copy binary, n long, " + ", ".join(f"fp{no} long" for no in range(words)))
 
 
 def _shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
-    """``(node, shingles)`` of ``(node, text)``: the sorted distinct hashes, eight bytes each."""
+    """``texts`` with the sorted distinct shingle hashes, eight bytes each, in place of their last column, the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), Powers()
         for part in row_slices(batches):
-            made = [np.unique(_shingle_hashes(t, shingle_words, hashes, powers)).tobytes() for t in utf8(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["node", "shingles"])
+            made = [np.unique(_shingle_hashes(t, shingle_words, hashes, powers)).tobytes() for t in utf8(part.column(part.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.binary())], [*part.schema.names[:-1], "shingles"])
+
+    return texts.mapInArrow(run, texts.drop("text").withColumn("shingles", F.lit(b"")).schema)
+
+
+class GroupLinks:
+    """Verified links of one group, a spanning forest of them: nodes within ``distance`` bits whose shingle
+    sets have the Jaccard ``similarity``. Pairs that are joined already aren't looked at; of the others
+    the nearest by fingerprint come first, and all have their turn."""
+
+    def __init__(self, similarity: float, distance: int):
+        self.similarity, self.distance = similarity, distance
+
+    def hold(self, node: np.ndarray, fps: list[np.ndarray], sets: list[np.ndarray]) -> Iterator[tuple]:
+        """Takes the nodes to compare with and gives the links among them."""
+        self.node, self.fps = node, fps
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.known, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.member = np.zeros(len(self.known), bool)
+        self.tree = np.arange(len(node))
+        for i in range(1, len(node)):
+            own = self.ids[self.starts[i] : self.starts[i] + self.sizes[i]]
+            yield from self._links(i, int(self.tree[i]), [fp[i] for fp in fps], own, int(self.sizes[i]), node[i])
+
+    def meet(self, node: int, fps: list[np.uint64], shingles: np.ndarray) -> Iterator[tuple]:
+        """Links of one more node, which isn't kept, with those that are held."""
+        at = np.minimum(np.searchsorted(self.known, shingles), max(0, len(self.known) - 1))
+        own = at[self.known[at] == shingles] if len(self.known) else at[:0]
+        yield from self._links(len(self.node), -1, fps, own, len(shingles), node)
+
+    def _links(self, before: int, tree: int, fps: list[np.uint64], own: np.ndarray, size: int, node: int) -> Iterator[tuple]:
+        far = sum(np.bitwise_count(held[:before] ^ fp).astype(np.int16) for held, fp in zip(self.fps, fps, strict=True))
+        sizes = self.sizes[:before]
+        met = np.flatnonzero((far <= self.distance) & (self.tree[:before] != tree) & (np.minimum(sizes, size) >= self.similarity * np.maximum(sizes, size)))
+        met = met[np.argsort(far[met], kind="stable")]
+        self.member[own] = True
+        step = 8
+        while len(met):
+            part, met = met[:step], met[step:]
+            both = self._shared(part)
+            for j in part[both >= self.similarity * (self.sizes[part] + size - both)].tolist():
+                if self.tree[j] != tree:
+                    yield node, self.node[j]
+                    if tree >= 0:
+                        self.tree[self.tree == self.tree[j]] = tree
+                    tree = int(self.tree[j])
+            met = met[self.tree[met] != tree]
+            step = min(4 * step, 4096)
+        self.member[own] = False
+
+    def _shared(self, part: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[part]
+        at = np.repeat(self.starts[part] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.bincount(np.repeat(np.arange(len(part)), sizes), self.member[self.ids[at]], len(part))
+
+
+def _verified(similarity: float, distance: int, words: int) -> Callable:
+    """Streams sorted rows ``(group, block, visits, node, fp.., shingles)``: the nodes of a block, then its visitors."""
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, links, waiting, found = None, GroupLinks(similarity, distance), [], []
 
+        def settle() -> None:
+            if waiting:
+                node, sets = np.array([w[0] for w in waiting]), [w[2] for w in waiting]
+                found.extend(links.hold(node, [np.array([w[1][k] for w in waiting]) for k in range(words)], sets))
+                waiting.clear()
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links of ``(a, b)`` whose shingle sets have that Jaccard similarity."""
+        for batch in batches:
+            group, block, visits, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
+            fps = [c.to_numpy().view(np.uint64) for c in batch.columns[4 : 4 + words]]
+            for i in range(batch.num_rows):
+                if (key := (group[i], block[i])) != at:
+                    settle()
+                    at = key
+                shingles = np.frombuffer(batch.column(4 + words)[i].as_py(), np.uint64)
+                own = [fp[i] for fp in fps]
+                if visits[i]:
+                    settle()
+                    found.extend(links.meet(node[i], own, shingles))
+                else:
+                    waiting.append((node[i], own, shingles))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                found = []
+        settle()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in row_slices(batches):
-            passed = []
-            for one, two in zip(part.column(2), part.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
-                both = 0
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                passed.append(both >= similarity * (len(x) + len(y) - both))
-            keep = part.filter(pa.array(passed, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], ["a", "b"])
-
-    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab")
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "shingles_a", "shingles_b")
-    return joined.mapInArrow(run, "a long, b long")
-
-
-def _groups(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, recall: float) -> DataFrame:
+    return run
+
+
+def _blocks_met(block: F.Column, blocks: F.Column) -> F.Column:
+    """The blocks that a row of ``block`` visits: of ``blocks`` in a ring half of those before it, so that each two meet once."""
+    half = F.floor((blocks - 1) / 2).cast("int")
+    opposite = (blocks % 2 == 0) & (block < blocks / 2)
+    steps = F.sequence(F.lit(0), half + F.when(opposite, 1).otherwise(0))
+    return F.transform(F.filter(steps, lambda d: d > 0), lambda d: F.pmod(block - d, blocks).cast("int"))
+
+
+def _verify_groups(nodes: DataFrame, groups: DataFrame, texts: DataFrame, shingle_words: int, similarity: float, distance: int, words: int, block_bytes: int) -> DataFrame:
+    """Links ``(a, b)`` between nodes of one group (``groups``: node, component) whose texts are similar enough.
+
+    A group is dealt into blocks of about ``block_bytes`` of shingles; a task holds one block, and rows of others pass by."""
+    fps = [f"fp{no}" for no in range(words)]
+    grouped = checkpointed(nodes.join(groups.withColumnRenamed("component", "group"), "node").select("group", "node", "copy", "least", "n", *fps))
+    sizes = checkpointed(grouped.groupBy("group").agg(F.count("*").alias("n"), F.ceil(F.sum("n") * 8 / block_bytes).cast("int").alias("parts")))
+    hot = hot_blocks(sizes.select("group", "n"), "group")
+    sized = sizes.select("group", F.greatest("parts", F.lit(1)).alias("parts"))
+    placed = join_dealt(grouped.drop("n"), sized, "group", hot, ["node"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # the text of a node is that of one document, so that copies don't gather
+    held = texts.join(placed, (F.col("text_copy") == F.col("copy")) & F.col("text_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
+    sets = _shingle_sets(held.select("group", "own", "parts", "node", *fps, "text"), shingle_words)
+    seat = lambda block, visits: F.struct(block.alias("block"), visits.alias("visits"))
+    seats = F.concat(F.array(seat(F.col("own"), F.lit(False))), F.transform(_blocks_met(F.col("own"), F.col("parts")), lambda b: seat(b, F.lit(True))))
+    rows = sets.withColumn("seat", F.explode(seats)).select("group", "seat.block", "seat.visits", "node", *fps, "shingles")
+    rows = rows.repartition("group", "block").sortWithinPartitions("group", "block", "visits")
+    return rows.mapInArrow(_verified(similarity, distance, words), "a long, b long")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, recall: float, block_bytes: int = 32 << 20) -> DataFrame:
     """``(doc_id, copy, component_id)`` for each row of ``docs``."""
     distinct = docs.select(F.xxhash64(_text(text_col)).alias("c")).agg(F.approx_count_distinct("c", 0.02)).first()[0]
     plan = plan_recall(max(1, distinct), recall)
     words = len({s.column for s in plan})
     fps = [f"fp{no}" for no in range(words)]
     rows = checkpointed(long_fingerprints(docs, words, shingle_words, id_col, text_col))
-    own = rows.groupBy("copy").agg(F.min("doc_id").alias("least"), *[F.first(f).alias(f) for f in fps])
+    own = rows.groupBy("copy").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", *fps)])
     nodes = checkpointed(own.withColumn("node", F.monotonically_increasing_id()))
-    bits = BITS * words
-    distance = candidate_distance(bits)
+    distance = candidate_distance(BITS * words)
+    groups = connected_components(near_links(nodes, plan, distance))
     texts = docs.select(F.col(id_col).alias("text_id"), text_copy(_text(text_col)).alias("text_copy"), _text(text_col).alias("text"))
-    at, nearest, links, tried = nodes, 1, None, None
-    while True:
-        met = checkpointed(near_links(at, plan, distance, sure=int(bits * 0.07), nearest=nearest))
-        pairs = met.where("b is not null")
-        new = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
-        asked = new.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        # the text of a node is that of one document, so that copies don't gather
-        whose = nodes.join(asked, "node", "left_semi").select("node", "copy", "least")
-        own = texts.join(whose, (F.col("text_copy") == F.col("copy")) & F.col("text_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
-        passed = _similar(new, _shingle_sets(own, shingle_words), similarity)
-        links = checkpointed(passed if links is None else links.union(passed))
-        reached = connected_components(links)
-        left = met.where("b is null").select(F.col("a").alias("node"))
-        if left.isEmpty():
-            break
-        # links of large buckets that were left out: those across what is joined by now, the nearest ones first
-        tried = pairs if tried is None else tried.union(pairs)
-        tree = F.coalesce("component", "node").alias("tree")
-        at = checkpointed(nodes.join(left, "node", "left_semi").join(reached, "node", "left").select("node", tree, *fps))
-        nearest *= 8
+    reached = connected_components(_verify_groups(nodes, groups, texts, shingle_words, similarity, distance, words, block_bytes))
     labelled = _least_of_each(nodes, reached).select("copy", "component_id")
     return rows.select("doc_id", "copy").join(labelled, "copy")
 
@@ -497,18 +504,18 @@ def near_duplicate_groups(
     shingle_words: int = 5,
     similarity: float = 0.8,
     recall: float = 0.98,
+    block_bytes: int = 32 << 20,
 ) -> DataFrame:
     """``(doc_id, component_id)`` of documents that are copies or near copies of one another.
 
     Near copies have a Jaccard similarity of ``similarity`` at least, over their sets of
     ``shingle_words`` words (fewer words: the whole text), A-Z lower-cased; this is verified on the
     texts. ``recall`` is how surely the index meets a pair that is just similar enough; pairs that are more
-    alike are met almost surely. Of a large bucket the nearest pairs are verified first, then, round by
-    round, all pairs across what isn't joined yet; so none that the index meets is left out. Equal texts
-    are one node, texts without words are equal; null texts count as empty. Rows with null ids link
+    alike are met almost surely. What the index joins is a group, and in a group every two texts within
+    the distance are compared unless others join them already. Equal texts are one node, texts without words are equal; null texts count as empty. Rows with null ids link
     like others; a component has the least of its other ids (null if none).
     """
-    return _groups(docs, id_col, text_col, shingle_words, similarity, recall).select("doc_id", "component_id")
+    return _groups(docs, id_col, text_col, shingle_words, similarity, recall, block_bytes).select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:

@@ -105,11 +105,43 @@ def test_packing(spark, docs, odd, none):
 
 def test_local_search_drains_bins():
     lengths = np.array([6, 6, 5, 3, 2, 2, 4, 4, 4, 4])
-    bins = packing.local_search([[i] for i in range(10)], lengths, 10)
+    search = packing.LocalSearch([[i] for i in range(10)], lengths, 10)
+    bins = search.run()
     assert sorted(i for b in bins for i in b) == list(range(10)) and len(bins) <= 5
     assert all(lengths[b].sum() <= 10 for b in bins)
 
 
+@pytest.mark.parametrize(("low", "high", "more"), [(1, 2048, 32), (100, 700, 1), (500, 1101, 60), (3, 4, 0), (1100, 1101, 10**6)])
+def test_local_search_steps(low, high, more):
+    """Every step raises the squared fills; bins stay whole and near the bound."""
+    lengths = np.random.default_rng(low).integers(low, high, 1500)
+    start = packing.best_fit(lengths, 2048)
+    search = packing.LocalSearch(start, lengths, 2048)
+    make, squares = search._make, []
+
+    def watched(*step):
+        before = sum(f * f for f in search.fill)
+        kind = make(*step)
+        squares.append(sum(f * f for f in search.fill) - before)
+        return kind
+
+    search._make = watched
+    bins = search.run()
+    assert all(gain > 0 for gain in squares)
+    assert sorted(i for b in bins for i in b) == list(range(1500)) and all(lengths[b].sum() <= 2048 for b in bins)
+    assert len(bins) <= min(len(start), -(-lengths.sum() // 2048) + more)
+
+
+def test_local_search_on_documents(spark):
+    """Moves, one for one and two for one all occur on the given documents, and no more bins are left than must be."""
+    pieces = packing.token_pieces(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), "doc_id", "text", 2048, packing.tokenizer_path())
+    lengths = np.array([r.length for r in pieces.where("length < 2048").orderBy("ids_crc32", "doc_id", "piece").collect()])[:8192]
+    steps = {}
+    start, bins = packing.best_fit(lengths, 2048), packing.pack_lengths(lengths, 2048, steps)
+    assert min(steps.values()) > 0 and set(steps) == {"move", "one_for_one", "two_for_one"}
+    assert len(bins) <= -(-lengths.sum() // 2048) + 1 < len(start)
+
+
 # --- 3 ----------------------------------------------------------------------------------------
 def brute_fingerprint(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
@@ -159,7 +191,7 @@ def test_simhash_hot_bucket(spark, size, hot):
         fps.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))))
     rows = [(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(sorted(fps))]
     nodes = spark.createDataFrame(rows, "node long, fp long")
-    links = simhash.near_links(nodes, simhash.plan_segments(4, size), 4, 4, hot_rows=hot).collect()
+    links = simhash.near_links(nodes, simhash.plan_segments(4, size), 4, hot_rows=hot).collect()
     fp = dict(rows)
     assert all(((fp[r.a] ^ fp[r.b]) & ((1 << 64) - 1)).bit_count() <= 4 for r in links)
     near = {(r.a, r.b) for r in links} | {(r.b, r.a) for r in links}
@@ -217,7 +249,8 @@ def near_copy_brute_force(rows):
     return sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
 
 
-def test_near_copies_group_at_the_threshold(spark):
+@pytest.mark.parametrize("block_bytes", [32 << 20, 60_000, 150_000])
+def test_near_copies_group_at_the_threshold(spark, block_bytes):
     """One large group whose texts are about 0.8 alike, so that many of its pairs link and many don't."""
     rng = random.Random(13)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
@@ -230,7 +263,7 @@ def test_near_copies_group_at_the_threshold(spark):
         rows.append((i, words))
     sets, near = near_copy_brute_force(rows)
     want = components(range(500), near)
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"), block_bytes=block_bytes).collect()}
     groups = len(set(want.values()))
     assert 30 < groups < 400 and all(want[i] == want[c] for i, c in got.items())
     assert len(set(got.values())) <= groups + 0.02 * 500
