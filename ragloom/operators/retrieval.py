@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The public defaults of Okapi BM25 and of reciprocal rank fusion.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+QUERY_PREFIX = "为这个句子生成表示以用于检索相关文章："
 
 
 def tokens(text: Column) -> Column:
@@ -32,18 +37,141 @@ def term_idf(posted: DataFrame, sizes: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """``query_id, term, qtf``."""
+    return queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def bm25_hits(scored: DataFrame, top_k: int) -> DataFrame:
+    """The best hits from rows ``query_id, qtf, idf, avgdl, id, tf, dl``."""
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hits = scored.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    return ranked(hits, top_k)
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, top_k: int = 20) -> DataFrame:
     """``query_id, id, score, rank`` of positive hits; repeated query terms count again. Scores are
-    rounded to 6 places before ranking, and equal ones go by id.
+    rounded to 6 places before ranking, and equal ones go by id. For many searches of one corpus, see ``LexicalIndex``.
 
     A query's terms are aggregated before they meet the postings, so the join has one row for
-    each (query, term, document)."""
+    each (query, term, document); postings that no query asks for go before that."""
     posted, sizes = postings(corpus), lengths(corpus)
-    asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    scored = asked.join(term_idf(posted, sizes), "term").join(posted, "term").join(sizes, "id")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = scored.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    return ranked(hits, top_k)
+    asked = query_terms(queries)
+    weighed = asked.join(term_idf(posted, sizes), "term")
+    wanted = posted.join(asked.select("term").distinct(), "term", "left_semi")
+    return bm25_hits(weighed.join(wanted, "term").join(sizes, "id"), top_k)
+
+
+class LexicalIndex:
+    """Postings, lengths and term weights of a corpus, stored under a folder; one subfolder a version.
+
+    Postings are written by buckets of their term, so a search reads only the buckets that its terms are in.
+    ``build`` publishes a new version (Spark's commit) and searches use the last one; ``expire`` removes
+    those that are older than ``keep`` versions, the stored twin of dropping a cache."""
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def versions(self) -> list[int]:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(self.path)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return []
+        names = [status.getPath() for status in files.listStatus(root)]
+        return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v") and files.exists(hadoop.Path(p, "terms/_SUCCESS")))
+
+    def build(self, corpus: DataFrame) -> int:
+        no = max(self.versions(), default=0) + 1
+        base = f"{self.path}/v{no}"
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int")
+        sizes = lengths(corpus)
+        sizes.write.mode("overwrite").parquet(f"{base}/lengths")
+        sizes = self.spark.read.parquet(f"{base}/lengths")
+        posted = postings(corpus).join(sizes, "id").withColumn("bucket", bucket)
+        posted.repartition("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/postings")
+        term_idf(self.spark.read.parquet(f"{base}/postings"), sizes).write.mode("overwrite").parquet(f"{base}/terms")
+        return no
+
+    def search(self, queries: DataFrame, top_k: int = 20) -> DataFrame:
+        """As ``bm25`` over the corpus of the last version."""
+        if not self.versions():
+            raise ValueError("the index has no version yet")
+        base = f"{self.path}/v{self.versions()[-1]}"
+        asked = query_terms(queries).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
+        weighed = asked.join(self.spark.read.parquet(f"{base}/terms"), "term")
+        return bm25_hits(weighed.join(self.spark.read.parquet(f"{base}/postings"), ["bucket", "term"]), top_k)
+
+    def expire(self, keep: int = 1) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for no in self.versions()[:-keep]:
+            old = hadoop.Path(f"{self.path}/v{no}")
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+class VectorIndex:
+    """Cells around centres that k-means fits on a bounded hash sample (``sample`` vectors); every vector is stored in
+    the cell of its nearest centre. A query looks through its ``probes`` nearest cells: approximate, and exact
+    with as many probes as centres."""
+
+    def __init__(self, vectors: DataFrame, cells: int = 16, sample: int = 20_000, rounds: int = 10):
+        """``vectors``: (id, v) of unit vectors."""
+        rate = min(1.0, sample / max(1, vectors.count()))
+        drawn = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(rate * (1 << 30))).orderBy(F.xxhash64("id")).select("v").toArrow()
+        x = np.array(drawn.column("v").to_pylist(), np.float64).reshape(drawn.num_rows, -1)
+        centres = x[: min(cells, len(x))].copy()
+        for _ in range(rounds):
+            home = (x @ centres.T).argmax(axis=1)
+            for c in range(len(centres)):
+                own = x[home == c].sum(axis=0) if (home == c).any() else centres[c]
+                centres[c] = own / (np.sqrt(own @ own) or 1.0)
+        self.centres = centres
+        self.rows = vectors.withColumn("cell", F.get(self._nearest(F.col("v"), 1), F.lit(0)))
+
+    def _nearest(self, v: Column, n: int) -> Column:
+        centres = self.centres
+
+        @F.pandas_udf("array<int>")
+        def nearest(column: pd.Series) -> pd.Series:
+            if not len(column) or not len(centres):
+                return pd.Series([[0]] * len(column))
+            far = np.stack(column.to_numpy()).astype(np.float64) @ centres.T
+            return pd.Series(list(np.argsort(-far, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+        return nearest(v)
+
+    def search(self, queries: DataFrame, top_k: int = 20, probes: int = 4) -> DataFrame:
+        """``query_id, id, score, rank`` of ``(query_id, q)``."""
+        asked = queries.withColumn("cell", F.explode(self._nearest(F.col("q"), probes)))
+        hits = self.rows.join(asked, "cell").select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
+        return ranked(hits, top_k)
+
+
+def encode(rows: DataFrame, text: str, into: str, model: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, prefix: str = "", batch: int = 32) -> DataFrame:
+    """Adds unit vectors of a text column, null texts as empty. ``model`` is called once for each worker's task and
+    gives a function from texts to vectors; without one, the deterministic hash embedding. Queries take a
+    ``prefix`` (see ``QUERY_PREFIX``), passages none."""
+    told = F.concat(F.lit(prefix), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    if model is None:
+        return rows.withColumn(into, hash_vector(told))
+
+    @F.pandas_udf("array<double>")
+    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = model()
+        for part in parts:
+            texts = part.tolist()
+            yield pd.Series([v for i in range(0, len(texts), batch) for v in run(texts[i : i + batch])])
+
+    return rows.withColumn(into, embed(told)).withColumn(into, unit(F.col(into)))
+
+
+def check_cardinality(vectors: DataFrame, chunks: DataFrame) -> None:
+    """Raises unless there are as many vectors as child chunks."""
+    have, want = vectors.count(), chunks.where("chunk_type = 'child'").count()
+    if have != want:
+        raise ValueError(f"{have} vectors for {want} child chunks")
 
 
 def ranked(hits: DataFrame, top_k: int) -> DataFrame:
@@ -124,6 +252,103 @@ def attention_order(index: Column, n: Column) -> Column:
     return F.when(index == 1, 1).when(index == 2, n).otherwise(index - 1)
 
 
+def ready_scope(catalog: DataFrame, user_id: str, requested: list | None = None) -> DataFrame:
+    """The documents of a user that are READY; an empty or missing list asks for all of them."""
+    rows = catalog.where((F.col("user_id") == user_id) & (F.col("status") == "READY"))
+    return rows.where(F.col("doc_id").isin(*requested)) if requested else rows
+
+
+def by_score(candidates: DataFrame, top_n: int = 5) -> DataFrame:
+    """What takes the place of re-ranking when that is off: the best by the fused score."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
+    return candidates.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_n)
+
+
+def retrieve(
+    children: DataFrame,
+    queries: DataFrame,
+    parents: DataFrame,
+    where: Column | None = None,
+    top_k: int = 20,
+    final_top_k: int = 5,
+    min_score: float = 0.0,
+    scorer: Callable[[Column, Column], Column] | None = None,
+    reranked: bool = True,
+    model: Callable | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The whole chain: filtered children (id, parent_id, content) by vectors and by words, fused, one of each parent,
+    re-ranked (``scorer`` of question and content; the share of common terms by default), with their parents'
+    texts. Gives ``contexts`` (query_id, index, id, parent_id, content, score, snippet) and ``outcomes`` (query_id,
+    top_score, refused, reason) of every query; refused ones have no contexts."""
+    corpus = children if where is None else children.where(where)
+    asked = encode(queries, "question", "q", model, QUERY_PREFIX if model else "").select("query_id", "q")
+    vectors = encode(corpus, "content", "v", model).select("id", "v")
+    fused = fuse([("vector", vector_search(vectors, asked, top_k)), ("bm25", bm25(corpus, queries, top_k))])
+    held = fused.join(corpus.select("id", "parent_id", "content"), "id")
+    best = dedupe_parents(held)
+    if reranked:
+        rows = best.join(queries, "query_id")
+        chosen = rerank(rows, F.col("question"), F.col("content"), final_top_k, scorer)
+    else:
+        chosen = by_score(best, final_top_k)
+    chosen = chosen.drop("rank").withColumnRenamed("place", "rank")
+    outcomes = refusals(queries, chosen.withColumn("score", F.coalesce("score", F.lit(0.0))), min_score)
+    told = chosen.join(outcomes.where("not refused").select("query_id"), "query_id", "left_semi")
+    return contexts(told, parents, final_top_k), outcomes
+
+
+def context_block(rows: DataFrame) -> DataFrame:
+    """``query_id, context_block`` of contexts (query_id, index, content, score, filename, page_start, page_end,
+    section_path): the best first, the second best last, each under a line that names its source."""
+    pages = F.concat(F.col("page_start").cast("string"), F.when(F.col("page_end") != F.col("page_start"), F.concat(F.lit("-"), F.col("page_end").cast("string"))).otherwise(""))
+    section = F.when(F.coalesce("section_path", F.lit("")) != "", F.concat(F.lit(" | 章节: "), "section_path")).otherwise("")
+    head = F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] 来源: "), "filename", F.lit(" 第 "), pages, F.lit(" 页"), section)
+    own = Window.partitionBy("query_id")
+    by_rank = F.row_number().over(own.orderBy(F.desc("score"), "index"))
+    placed = rows.select("query_id", F.concat(head, F.lit("\n"), "content").alias("part"), by_rank.alias("r"), F.count("*").over(own).alias("n"), "index")
+    # up to two contexts keep their order
+    place = F.when(F.col("n") <= 2, F.col("index")).otherwise(attention_order(F.col("r"), F.col("n")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), "part"))), lambda x: x["part"])
+    return placed.groupBy("query_id").agg(F.array_join(parts, "\n\n---\n\n").alias("context_block"))
+
+
+def user_prompt(question: Column, block: Column) -> Column:
+    """What a model is asked: the numbered contexts, then the question."""
+    return F.concat(F.lit("【参考资料】\n"), F.coalesce(block, F.lit("（无参考资料）")), F.lit("\n\n【用户问题】\n"), question, F.lit("\n\n请依据上述参考资料回答，并在每个论断后标注来源编号。"))
+
+
+def rewrite_prompt(question: Column, history: Column) -> Column:
+    """The request to rewrite a follow-up question; ``history``: array of (role, content), of which the last six count."""
+    line = lambda m: F.concat(F.when(m["role"] == "user", "用户").otherwise("助手"), F.lit(": "), m["content"])
+    recent = F.slice(history, F.greatest(F.lit(1), F.size(history) - 5), 6)
+    return F.concat(F.lit("【最近的对话】\n"), F.array_join(F.transform(recent, line), "\n"), F.lit("\n\n【用户的新问题】\n"), question, F.lit("\n\n请输出改写后的、自包含的检索查询："))
+
+
+def answer(queries: DataFrame, contexts_of: DataFrame, outcomes: DataFrame, generate: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row for each query: ``prompt``, ``answer`` without invented citations, ``citations`` (index, id, snippet) by
+    index, ``refused`` and ``reason``. ``generate`` stands for a model; without one the answer cites the first context."""
+    from ragloom.functions.text import strip_citations, valid_citations
+
+    named = contexts_of.select("*", F.col("id").cast("string").alias("filename"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit("").alias("section_path"))
+    listed = contexts_of.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("index", F.col("id").cast("string").alias("id"), "snippet"))).alias("given"))
+    rows = queries.join(outcomes, "query_id").join(context_block(named), "query_id", "left").join(listed, "query_id", "left")
+    rows = rows.withColumn("prompt", user_prompt(F.col("question"), F.col("context_block")))
+    said = generate(F.col("prompt")) if generate else F.concat(F.get("given", F.lit(0))["snippet"], F.lit(" [1]"))
+    rows = rows.withColumn("said", F.when(~F.col("refused"), said))
+    n = F.coalesce(F.size("given"), F.lit(0))
+    valid, _ = valid_citations(F.col("said"), n)
+    cited = F.filter(F.coalesce("given", F.array().cast(listed.schema["given"].dataType)), lambda g: F.array_contains(valid, g["index"]))
+    return rows.select("query_id", "question", "prompt", strip_citations(F.col("said"), n).alias("answer"), F.when(~F.col("refused"), cited).alias("citations"), "refused", "reason")
+
+
+def answer_events(answers: DataFrame) -> DataFrame:
+    """``query_id, seq, event, data``: what a client would be sent for each answer, in order."""
+    one = lambda name, data: F.struct(F.lit(name).alias("event"), data.alias("data"))
+    told = F.array(one("sources", F.to_json("citations")), one("token", F.col("answer")), one("citations", F.to_json(F.transform("citations", lambda c: c["index"]))), one("done", F.lit("{}")))
+    refused = F.array(one("refused", F.col("reason")), one("done", F.lit("{}")))
+    return answers.select("query_id", F.posexplode(F.when(F.col("refused"), refused).otherwise(told)).alias("seq", "e")).select("query_id", "seq", "e.event", "e.data")
+
+
 def refusals(queries: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
     top = hits.groupBy("query_id").agg(F.max("score").alias("top_score"))
     rows = queries.select("query_id").join(top, "query_id", "left")
@@ -131,14 +356,18 @@ def refusals(queries: DataFrame, hits: DataFrame, threshold: float) -> DataFrame
     return rows.select("query_id", F.coalesce("top_score", F.lit(0.0)).alias("top_score"), reason.isNotNull().alias("refused"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 
-def rerank(candidates: DataFrame, question: Column, content: Column, top_n: int = 5) -> DataFrame:
-    """The best ``top_n`` of each query by the share of common terms, with ``score`` and ``place``.
+def common_terms(question: Column, content: Column) -> Column:
+    """The share of common terms, null for a pair without any term: a lexical scorer in place of a model."""
+    asked, have = tokens(question), tokens(content)
+    return F.round(F.try_divide(F.size(F.array_intersect(asked, have)), F.size(F.array_union(asked, have))), 6)
+
 
-    A lexical scorer in place of a model; ties keep the order of ``rank``, and a pair
-    without any term scores null and goes last.
+def rerank(candidates: DataFrame, question: Column, content: Column, top_n: int = 5, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The best ``top_n`` of each query by ``scorer`` (``common_terms`` by default), with ``score`` and ``place``.
+
+    Ties keep the order of ``rank``, and a null score goes last.
     """
-    asked, have = tokens(question), tokens(content)
-    score = F.round(F.try_divide(F.size(F.array_intersect(asked, have)), F.size(F.array_union(asked, have))), 6)
+    score = (scorer or common_terms)(question, content)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
     return candidates.withColumn("score", score).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_n)
 

@@ -48,7 +48,7 @@ def average_tokens(s, d):
 x AS (SELECT query_id, id, rank, round(len(list_intersect(want, have)) / len(list_distinct(list_concat(want, have)))::DOUBLE, 6) AS score FROM c)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS place FROM x QUALIFY place <= 5""")
 def rerank_lexical(s, d):
-    rows = _bm25(s, d).select("query_id", "id", "rank").join(_corpus(s, d), "id").join(F.broadcast(_queries(s, d)), "query_id")
+    rows = _bm25(s, d).select("query_id", "id", "rank").join(_corpus(s, d), "id").join(_queries(s, d), "query_id")
     return retrieval.rerank(rows, F.col("question"), F.col("content"), 5).select("query_id", "id", "score", "place")
 
 
@@ -69,7 +69,7 @@ def delete_listed(s, d):
 
 
 # --- chunks ---------------------------------------------------------------------------------
-@query(f"WITH {CHUNKS} SELECT doc_id, no, CASE WHEN no = 0 THEN s ELSE s - least(50, floor(min(e - s) OVER (PARTITION BY doc_id) * 0.5)::BIGINT) END AS start, e AS \"end\" FROM chunks")
+@query(f"WITH {CHUNKS} SELECT doc_id, no, CASE WHEN no = 0 THEN s ELSE least(s, greatest(no, s - least(50, floor(min(e - s) OVER (PARTITION BY doc_id) * 0.5)::BIGINT))) END AS start, e AS \"end\" FROM chunks")
 def chunk_overlap(s, d):
     return chunking.overlap_spans(chunking.fixed_chunks(load(s, d, "documents")).select("doc_id", "no", "start", "end"), 50)
 

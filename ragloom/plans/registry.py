@@ -73,7 +73,8 @@ fused AS (
   SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, string_agg(DISTINCT source, '+' ORDER BY source) AS sources, min(list_no * 1000 + rank) AS first FROM every GROUP BY ALL),
 rrf AS (SELECT query_id, id, score, sources, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, id) AS rank FROM fused)"""
 )
-GOLDEN = "golden AS (SELECT item_id, text AS evidence FROM benchmark)"
+#: Every fourth passage is asked about without an answer.
+GOLDEN = "golden AS (SELECT item_id, text AS evidence FROM benchmark WHERE item_id % 4 <> 3)"
 RANKS = f"""{GOLDEN}, top AS (SELECT query_id AS item_id, rank, text AS content FROM bm JOIN documents ON id = doc_id),
 pairs AS (SELECT item_id, rank, contains(lower(regexp_replace(content, '\\s+', '', 'g')), lower(regexp_replace(evidence, '\\s+', '', 'g'))) AS hit FROM golden LEFT JOIN top USING (item_id)),
 ranks AS (SELECT item_id, min(rank) FILTER (WHERE hit) AS hit_rank, count(rank) AS retrieved, count(*) FILTER (WHERE hit) AS matched FROM pairs GROUP BY item_id)"""
@@ -134,9 +135,9 @@ def chunk_fixed(s, d):
     return chunking.fixed_chunks(load(s, d, "documents"))
 
 
-@query(f"WITH {CHUNKS} SELECT doc_id, count(*) AS chunks, min(length(content)) AS min_chars, max(length(content)) AS max_chars, median(length(content)) AS median_chars FROM chunks GROUP BY doc_id")
+@query(f"WITH {CHUNKS} SELECT doc_id, count(*) AS chunks, min(length(content)) AS min_chars, max(length(content)) AS max_chars, median(length(content)) AS median_chars, round_even(avg(length(content)), 1) AS avg_chars FROM chunks GROUP BY doc_id")
 def chunk_stats(s, d):
-    return chunking.chunk_stats(chunking.fixed_chunks(load(s, d, "documents"))).drop("avg_chars")
+    return chunking.chunk_stats(chunking.fixed_chunks(load(s, d, "documents")))
 
 
 @query("""WITH a AS (SELECT doc_id, unnest(string_split(replace(text, chr(10), chr(10) || chr(1)), chr(1))) AS piece, generate_subscripts(string_split(replace(text, chr(10), chr(10) || chr(1)), chr(1)), 1) AS i, length(text) AS total, text FROM documents WHERE text <> ''),
@@ -150,12 +151,15 @@ def chunk_recursive(s, d):
 
 @query()
 def chunk_parent_child(s, d):
-    return chunking.parent_child_chunks(load(s, d, "documents"), chunking.ChunkParams())
+    return chunking.parent_child_chunks(chunking.marked_paragraphs(load(s, d, "documents")), chunking.ChunkParams())
 
 
 @query(f"""WITH {CHUNKS}, g AS (
-  SELECT *, greatest(1, sum((length(content) >= 280)::INT) OVER (PARTITION BY doc_id ORDER BY no)) AS g FROM chunks)
-SELECT doc_id, (g - 1)::BIGINT AS no, min(no) AS first_no, count(*) AS n_merged, string_agg(content, chr(10) ORDER BY no) AS content FROM g GROUP BY doc_id, g""")
+  SELECT *, sum((length(content) >= 280)::INT) OVER (PARTITION BY doc_id ORDER BY no) AS g FROM chunks
+), h AS (
+  SELECT *, sum(CASE WHEN g = 0 THEN length(content) ELSE 0 END) OVER (PARTITION BY doc_id) AS head, max(g) OVER (PARTITION BY doc_id) AS last FROM g
+), t AS (SELECT *, CASE WHEN g = 0 AND head < 280 AND last > 0 THEN 1 ELSE g END AS t FROM h)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY t) - 1 AS no, min(no) FILTER (WHERE g = t) AS first_no, count(*) AS n_merged, string_agg(content, '' ORDER BY no) AS content FROM t GROUP BY doc_id, t""")
 def coalesce_short(s, d):
     return chunking.coalesce_short(chunking.fixed_chunks(load(s, d, "documents")).select("doc_id", "no", "content"), 280)
 
@@ -176,12 +180,14 @@ def sections(s, d):
     return chunking.sections(rows).select("doc_id", "seq", "section_path")
 
 
-@query(f"""WITH {PARAS}, f AS (SELECT doc_id, text AS head FROM paras QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq) = 1)
-SELECT doc_id, seq, CASE WHEN starts_with(ltrim(text), head) THEN text ELSE head || chr(10) || text END AS embedding_text FROM paras JOIN f USING (doc_id)""")
+@query(f"""WITH {PARAS}, f AS (SELECT doc_id, seq, text, CASE WHEN page_no % 3 = 0 THEN '' ELSE 'Part > ' || first_value(text) OVER (PARTITION BY doc_id ORDER BY seq) END AS path FROM paras)
+SELECT doc_id, seq, CASE WHEN path = '' OR starts_with(ltrim(text), string_split(path, ' > ')[-1]) THEN text ELSE path || chr(10) || text END AS embedding_text FROM f""")
 def embedding_text(s, d):
-    first = Window.partitionBy("doc_id").orderBy("seq")
-    rows = _paras(s, d).withColumn("head", F.first("text").over(first))
-    return rows.select("doc_id", "seq", F.when(F.startswith(F.ltrim("text"), F.col("head")), F.col("text")).otherwise(F.concat_ws("\n", "head", "text")).alias("embedding_text"))
+    """Paths of two levels, of which every third page has none; the first paragraph starts with its leaf."""
+    head = F.first("text").over(Window.partitionBy("doc_id").orderBy("seq"))
+    path = F.when(F.col("page_no") % 3 == 0, "").otherwise(F.concat(F.lit("Part > "), head))
+    rows = _paras(s, d).withColumn("path", path)
+    return rows.select("doc_id", "seq", chunking.embedding_text(F.col("text"), F.col("path")).alias("embedding_text"))
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, no // 5 AS parent_no, count(*) AS children, string_agg(no::VARCHAR, ',' ORDER BY no) AS child_nos, min(s) AS start FROM chunks GROUP BY ALL")
@@ -307,13 +313,14 @@ def dedupe_parent(s, d):
     return retrieval.dedupe_parents(rows).select("query_id", F.col("id").cast("long").alias("id"), "parent_id", "score", "rank")
 
 
-@query(f"""WITH {FUSED}, t AS (SELECT * FROM rrf WHERE rank <= 5), x AS (SELECT query_id, rank, id, regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g') AS one FROM t JOIN documents ON doc_id = id)
-SELECT query_id, rank AS "index", id, CASE WHEN length(one) > 120 THEN substr(one, 1, 120) || '…' ELSE one END AS snippet FROM x""")
+@query(f"""WITH {FUSED}, t AS (SELECT * FROM rrf WHERE rank <= 5), x AS (SELECT query_id, rank, id, text, regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g') AS one FROM t JOIN documents ON doc_id = id)
+SELECT query_id, rank AS "index", id, CASE WHEN length(one) > 120 THEN substr(one, 1, 120) || '…' ELSE one END AS snippet, md5(CASE WHEN id % 2 = 0 THEN 'parent of ' || text ELSE text END) AS content_md5 FROM x""")
 def context_build(s, d):
+    """Parents of the even ids are there; the others fall back to their own text."""
     docs = _corpus(s, d).select(F.col("id"), "content")
     rows = _rrf(s, d).where("rank <= 5").join(docs, "id").withColumn("parent_id", F.col("id"))
-    parents = docs.select(F.col("id").alias("parent_id"), "content")
-    return retrieval.contexts(rows, parents).select("query_id", "index", "id", "snippet")
+    parents = docs.where("id % 2 = 0").select(F.col("id").alias("parent_id"), F.concat(F.lit("parent of "), "content").alias("content"))
+    return retrieval.contexts(rows, parents).select("query_id", "index", "id", "snippet", F.md5("content").alias("content_md5"))
 
 
 @query(f"WITH {BM25}, t AS (SELECT query_id, max(score) AS top FROM bm GROUP BY ALL) SELECT item_id AS query_id, coalesce(top, 0) AS top_score, coalesce(top < 60, true) AS refused FROM benchmark LEFT JOIN t ON query_id = item_id")
@@ -342,8 +349,14 @@ def prompt_context(s, d):
 
 
 # --- evaluation -----------------------------------------------------------------------------
+def _golden(s, d):
+    answered = F.col("item_id") % 4 != 3
+    evidences = F.when(answered | (F.col("item_id") % 8 == 3), F.array("text")).otherwise(F.array().cast("array<string>"))
+    return load(s, d, "benchmark").select("item_id", F.when(answered | (F.col("item_id") % 8 != 3), "fact").otherwise("no_answer").alias("category"), evidences.alias("evidences"))
+
+
 def _eval_tables(s, d):
-    evidences = load(s, d, "benchmark").select("item_id", F.lit(1).alias("evidence_no"), F.col("text").alias("evidence"))
+    evidences = evaluation.golden_evidences(_golden(s, d))
     retrieved = _bm25(s, d).join(_corpus(s, d), "id").select(F.col("query_id").alias("item_id"), "rank", "content")
     return evidences, retrieved
 
@@ -366,18 +379,18 @@ def misses(s, d):
     return evaluation.evidence_ranks(*_eval_tables(s, d)).where("coalesce(hit_rank, 99) > 5").select("item_id")
 
 
-@query("""SELECT d.doc_id, list_sort(list(item_id)) AS items FROM documents d JOIN benchmark b ON contains(lower(regexp_replace(d.text, '\\s+', '', 'g')), lower(regexp_replace(b.text, '\\s+', '', 'g'))) GROUP BY d.doc_id""".replace("list_sort(list(item_id)) AS items", "string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items"))
+@query("SELECT d.doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items FROM documents d JOIN benchmark b ON contains(lower(regexp_replace(d.text, '\\s+', '', 'g')), lower(regexp_replace(b.text, '\\s+', '', 'g'))) GROUP BY d.doc_id")
 def evidence_hits(s, d):
-    docs = load(s, d, "documents").select("doc_id", evaluation.evidence_key(F.col("text")).alias("t"))
-    items = load(s, d, "benchmark").select("item_id", evaluation.evidence_key(F.col("text")).alias("e"))
-    hits = docs.join(items, F.contains("t", "e"))
+    hits = evaluation.evidence_hits(load(s, d, "documents"), load(s, d, "benchmark"))
     return hits.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("items"))
 
 
-@query("SELECT count(*) FILTER (WHERE toxic = 0) AS answerable, count(*) FILTER (WHERE toxic = 1) AS no_answer, count(*) FILTER (WHERE toxic = 0 AND quality = 0) AS false_refusals, count(*) FILTER (WHERE toxic = 1 AND quality = 1) AS false_answers FROM labels")
+@query("""SELECT count(*) FILTER (WHERE toxic = 0) AS answerable, count(*) FILTER (WHERE toxic = 1) AS no_answer, count(*) FILTER (WHERE toxic = 0 AND quality = 0) AS false_refusals, count(*) FILTER (WHERE toxic = 1 AND quality = 1) AS false_answers,
+  round_even(coalesce(count(*) FILTER (WHERE toxic = 0 AND quality = 0) / nullif(count(*) FILTER (WHERE toxic = 0), 0)::DOUBLE, 0), 4) AS false_refusal_rate,
+  round_even(coalesce(count(*) FILTER (WHERE toxic = 1 AND quality = 1) / nullif(count(*) FILTER (WHERE toxic = 1), 0)::DOUBLE, 0), 4) AS false_answer_rate FROM labels""")
 def refusal_rates(s, d):
     rows = load(s, d, "labels").select((F.col("toxic") == 0).alias("answerable"), (F.col("quality") == 0).alias("refused"))
-    return evaluation.refusal_rates(rows).select("answerable", "no_answer", "false_refusals", "false_answers")
+    return evaluation.refusal_rates(rows)
 
 
 _SCORED = "sc AS (SELECT (toxic = 0) AS answerable, round(n_chars / 1000.0::DOUBLE, 1) AS s FROM labels JOIN documents USING (doc_id))"
@@ -390,9 +403,9 @@ def threshold_sweep(s, d):
     return evaluation.threshold_sweep(rows)
 
 
-@query("SELECT count(value) AS n, round(quantile_cont(value, 0.5), 1) AS p50, round(quantile_cont(value, 0.95), 1) AS p95, round(quantile_cont(value, 0.99), 1) AS p99, round(max(value), 1) AS max FROM events")
+@query("SELECT count(value) AS n, round(quantile_cont(value, 0.5), 1) AS p50, round(quantile_cont(value, 0.95), 1) AS p95, round(quantile_cont(value, 0.99), 1) AS p99, round(max(value), 1) AS max, round(avg(value), 1) AS avg FROM events")
 def latency_percentiles(s, d):
-    return evaluation.latency(load(s, d, "events"), "value").drop("avg")
+    return evaluation.latency(load(s, d, "events"), "value")
 
 
 @query("SELECT event_type, m AS mrr, round(m - lag(m) OVER (ORDER BY event_type), 6) AS delta FROM (SELECT event_type, round(avg(value), 4) AS m FROM events GROUP BY event_type)")
@@ -408,9 +421,10 @@ def golden_dedupe(s, d):
 
 
 # --- catalog, conversations, text -------------------------------------------------------------
-@query("SELECT count(DISTINCT conv_id) AS conversations, count(*) AS messages, count(*) FILTER (WHERE role = 'assistant' AND starts_with(text, 'No ')) AS refused FROM conversations")
+@query("""SELECT count(DISTINCT conv_id) AS conversations, count(*) AS messages, count(*) FILTER (WHERE role = 'assistant' AND starts_with(text, 'No ')) AS refused,
+  round_even(coalesce(count(*) FILTER (WHERE role = 'assistant' AND starts_with(text, 'No ')) / nullif(count(*), 0)::DOUBLE, 0), 3) AS refused_rate FROM conversations""")
 def conversation_stats(s, d):
-    return catalog.conversation_stats(_messages(s, d)).drop("refused_rate")
+    return catalog.conversation_stats(_messages(s, d))
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE text ILIKE '%than%' ORDER BY conv_id, turn LIMIT 50")
@@ -428,21 +442,32 @@ def conversation_title(s, d):
     return _messages(s, d).select("conv_id", "turn", T.title(F.col("text")).alias("title"))
 
 
-@query("SELECT conv_id, turn, length(trim(text)) <= 8 AS rewrite FROM conversations WHERE role = 'user'")
+_HINTED = "text || CASE conv_id % 5 WHEN 0 THEN '它' WHEN 1 THEN ' 那么' WHEN 2 THEN '其' ELSE '' END"
+
+
+@query(f"SELECT conv_id, turn, length(trim(t)) <= 8 OR len(list_filter([{', '.join(repr(h) for h in T.REWRITE_HINTS)}], lambda h: contains(t, h))) > 0 AS rewrite FROM (SELECT conv_id, turn, {_HINTED} AS t FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, -1, '  why  ' FROM conversations WHERE turn = 0)")
 def needs_rewrite(s, d):
-    return _messages(s, d).where("role = 'user'").select("conv_id", "turn", T.needs_rewrite(F.col("text")).alias("rewrite"))
+    """User turns, some with a hint word, and a short question for each conversation."""
+    c = F.col("conv_id") % 5
+    hinted = _messages(s, d).where("role = 'user'").select("conv_id", "turn", F.concat("text", F.when(c == 0, "它").when(c == 1, " 那么").when(c == 2, "其").otherwise("")).alias("t"))
+    short = _messages(s, d).where("turn = 0").select("conv_id", F.lit(-1).alias("turn"), F.lit("  why  ").alias("t"))
+    return hinted.unionByName(short).select("conv_id", "turn", T.needs_rewrite(F.col("t")).alias("rewrite"))
 
 
 def _cited():
-    return F.concat(F.col("text"), F.lit(" ["), F.col("turn").cast("string"), F.lit("] and ["), (F.col("turn") + 1).cast("string"), F.lit("-"), (F.col("turn") + 3).cast("string"), F.lit("]"))
+    """A list, a range, a reversed range, one that is too wide, a repeat and something that is no citation."""
+    turn = F.col("turn")
+    told = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    return told(F.col("text"), " [", turn, ", ", turn + 7, "] and [", turn + 1, "-", turn + 3, "], [9-", turn, "] [", turn, "-", turn + 30, "] [", turn, "] [x]")
 
 
-@query("SELECT conv_id, turn, concat_ws(',', turn, turn + 1, turn + 2, turn + 3) AS numbers FROM conversations")
+@query("SELECT conv_id, turn, concat_ws(',', turn, turn + 7, turn + 1, turn + 2, turn + 3) || CASE WHEN turn >= 9 THEN (SELECT coalesce(string_agg(',' || x, '' ORDER BY x), '') FROM (SELECT unnest(range(9, turn + 1)) AS x) WHERE x NOT IN (turn, turn + 7, turn + 1, turn + 2, turn + 3)) ELSE '' END AS numbers FROM conversations")
 def citations_parse(s, d):
     return _messages(s, d).select("conv_id", "turn", F.array_join(T.cited_numbers(_cited()), ",").alias("numbers"))
 
 
-@query("SELECT conv_id, turn, list_aggregate(list_filter([turn, turn + 1, turn + 2, turn + 3], lambda x: x BETWEEN 1 AND 3), 'count') AS n_valid, list_aggregate(list_filter([turn, turn + 1, turn + 2, turn + 3], lambda x: NOT x BETWEEN 1 AND 3), 'count') AS n_invalid FROM conversations")
+@query("""WITH n AS (SELECT conv_id, turn, list_distinct(list_concat([turn, turn + 7, turn + 1, turn + 2, turn + 3], CASE WHEN turn >= 9 THEN range(9, turn + 1) ELSE [] END)) AS n FROM conversations)
+SELECT conv_id, turn, len(list_filter(n, lambda x: x BETWEEN 1 AND 3))::BIGINT AS n_valid, len(list_filter(n, lambda x: NOT x BETWEEN 1 AND 3))::BIGINT AS n_invalid FROM n""")
 def citation_validate(s, d):
     valid, invalid = T.valid_citations(_cited(), F.lit(3))
     return _messages(s, d).select("conv_id", "turn", F.size(valid).cast("long").alias("n_valid"), F.size(invalid).cast("long").alias("n_invalid"))
@@ -455,22 +480,35 @@ def citation_payload(s, d):
     return ctx.withColumnRenamed("rank", "index").join(named, ["query_id", "index"]).orderBy("source", "id").select("query_id", "index", "id", "source")
 
 
-@query("SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9+#.-]+'), lambda t: lower(trim(t, '.-'))), lambda t: length(t) >= 3 AND t NOT IN ('the', 'and', 'for', 'with', 'that', 'this'))))::BIGINT AS n_terms FROM documents")
-def terms_traceability(s, d):
-    rows = load(s, d, "documents").select("doc_id", "text", T.terms(F.col("text")).alias("t"))
-    return rows.select("doc_id", F.size(T.grounded(F.col("t"), F.col("text"))).cast("long").alias("n_terms"))
+_TERMS = f"""list_filter(list_transform(regexp_extract_all({{}}, '[A-Za-z][A-Za-z0-9+#.-]+'), lambda t: trim(t, '.-')),
+  lambda t: length(t) >= 2 AND lower(t) NOT IN ({', '.join(repr(w) for w in T.STOP_TERMS)}) AND (length(t) >= 3 OR lower(t) <> t))"""
 
 
-@query()
-def spoken_text(s, d):
-    return _messages(s, d).select("conv_id", "turn", T.cut_at_sentence(T.spoken(F.col("text")), 400).alias("spoken"))
+@query(f"""WITH f AS (SELECT doc_id, {_TERMS.format("text")} AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM f),
+k AS (SELECT doc_id, lower(t) AS k, arg_min(t, i) AS t FROM e GROUP BY ALL)
+SELECT d.doc_id, count(k)::BIGINT AS n_terms, md5(coalesce(string_agg(t, ' ' ORDER BY k), '')) AS terms_md5 FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id""")
+def term_extraction(s, d):
+    rows = load(s, d, "documents").select("doc_id", T.terms(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.md5(F.array_join("t", " ")).alias("terms_md5"))
+
 
+@query(f"""WITH q AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'user') AS q, lower(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role <> 'user'), '')) AS r FROM conversations GROUP BY conv_id),
+t AS (SELECT conv_id, r, list_distinct(list_transform({_TERMS.format("q")}, lambda t: lower(t))) AS t FROM q)
+SELECT conv_id, len(list_filter(t, lambda x: contains(r, x)))::BIGINT AS n_grounded, len(list_filter(t, lambda x: NOT contains(r, x)))::BIGINT AS n_unknown, len(list_filter(t, lambda x: NOT contains(r, x))) = 0 AS ok FROM t""")
+def terms_traceability(s, d):
+    """Terms of a conversation's user turns against what the others say."""
+    user = F.col("role") == "user"
+    said = lambda which: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("turn", "text")))), lambda x: x["text"]), " ")
+    rows = _messages(s, d).groupBy("conv_id").agg(said(user).alias("q"), said(~user).alias("r"))
+    rows = rows.select("conv_id", T.traceability(F.col("q"), F.col("r")).alias("t"))
+    return rows.select("conv_id", F.size("t.grounded").cast("long").alias("n_grounded"), F.size("t.unknown").cast("long").alias("n_unknown"), "t.ok")
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '\\b1[3-9][0-9]{9}\\b'))::BIGINT AS phones, len(list_filter(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), lambda m: NOT lower(string_split(m, '@')[-1]) IN ('example.com', 'example.org', 'example.net')))::BIGINT AS emails FROM documents")
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '\\b1[3-9][0-9]{9}\\b'))::BIGINT AS phones, len(list_filter(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), lambda m: NOT lower(string_split(m, '@')[-1]) IN ('example.com', 'example.org', 'example.net')))::BIGINT AS emails, len(regexp_extract_all(text, '\\b[0-9]{17}[0-9Xx]\\b'))::BIGINT AS ids FROM documents")
 def pii_scan(s, d):
     rows = load(s, d, "documents").select("doc_id", T.personal_data(F.col("text")).alias("p"))
     count = lambda kind: F.size(F.filter("p", lambda x: x["kind"] == kind)).cast("long")
-    return rows.select("doc_id", count("phone").alias("phones"), count("email").alias("emails"))
+    return rows.select("doc_id", count("phone").alias("phones"), count("email").alias("emails"), count("id").alias("ids"))
 
 
 @query("""SELECT event_id, CASE WHEN user_id % 4 >= 3 THEN 'NEXT_TOPIC' WHEN event_id % 3 = 0 AND event_id % 2 = 0 AND event_id % 10 / 10.0 >= 0.7 THEN 'NEXT_TOPIC'
@@ -493,13 +531,15 @@ def orphans(s, d):
     return catalog.orphans(load(s, d, "labels").select("doc_id"), load(s, d, "documents").where("lang = 'en'"))
 
 
-@query("""WITH c AS (SELECT DISTINCT source, md5(text) AS h FROM documents JOIN labels USING (doc_id)), u AS (SELECT doc_id, source, md5(text) AS h FROM documents)
-SELECT doc_id, CASE WHEN c.h IS NULL THEN 'insert' ELSE 'reuse' END AS action FROM u LEFT JOIN c USING (source, h)""")
+@query("""WITH u AS (SELECT doc_id, source, md5(text) AS h FROM documents), c AS (SELECT source, h, min(doc_id) AS first FROM u JOIN labels USING (doc_id) GROUP BY ALL)
+SELECT doc_id, CASE WHEN c.h IS NULL THEN 'insert' WHEN first % 4 = 0 THEN 'revive' WHEN first % 4 = 1 THEN 'retry' ELSE 'reuse' END AS action, c.h IS NULL OR first % 4 < 2 AS created FROM u LEFT JOIN c USING (source, h)""")
 def idempotent_upsert(s, d):
-    """All documents are uploads; those with a label are in the catalog already."""
+    """All documents are uploads; those with a label are in the catalog already, in every state."""
     docs = load(s, d, "documents").select("doc_id", F.col("source").alias("user_id"), F.md5("text").alias("file_md5"))
-    known = docs.join(load(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select("user_id", "file_md5").distinct().withColumn("status", F.lit("READY"))
-    return catalog.plan_uploads(docs, known).select("doc_id", "action")
+    known = docs.join(load(s, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("user_id", "file_md5").agg(F.min("doc_id").alias("first"))
+    at = F.col("first") % 4
+    known = known.withColumn("status", F.when(at == 0, "DELETED").when(at == 1, "FAILED").when(at == 2, "PARSING").otherwise("READY"))
+    return catalog.plan_uploads(docs, known).select("doc_id", "action", "created")
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 100 WHEN 1 THEN 35 WHEN 2 THEN 0 END AS progress FROM documents WHERE doc_id % 4 <> 3")
@@ -514,10 +554,15 @@ def seeded_sample(s, d):
     return catalog.seeded_sample(load(s, d, "documents").select("doc_id"), "doc_id", 100, 42)
 
 
-@query("SELECT event_id, least(1.0, greatest(0.0, value / 100.0)) AS faithfulness, substr(event_type, 1, 200) AS reason FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE least(1.0, greatest(0.0, value / 100.0)) END AS faithfulness, CASE WHEN event_id % 7 = 0 OR event_id % 3 = 0 THEN 0 ELSE 1 END::DOUBLE AS correctness,
+  CASE WHEN event_id % 7 = 0 THEN '' ELSE substr(event_type, 1, 200) END AS reason, event_id % 7 <> 0 AS graded FROM events""")
 def judge_parse(s, d):
-    told = F.concat(F.lit("```json\n"), F.to_json(F.struct((F.col("value") / 100.0).alias("faithfulness"), F.col("event_type").alias("reason"))), F.lit("\n```"))
-    return load(s, d, "events").select("event_id", T.judge_scores(told).alias("j")).select("event_id", "j.faithfulness", "j.reason")
+    """Fenced, bare and embedded objects, values beyond the range or no numbers, and garbage."""
+    e = F.col("event_id")
+    correct = F.when(e % 3 == 0, "n/a").otherwise("1.7")
+    body = F.to_json(F.struct((F.col("value") / 100.0).alias("faithfulness"), correct.alias("correctness"), F.col("event_type").alias("reason")))
+    told = F.when(e % 7 == 0, "no object here").when(e % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(e % 5 == 0, F.concat(F.lit("Sure: "), body, F.lit(" ."))).otherwise(body)
+    return load(s, d, "events").select("event_id", T.judge_scores(told).alias("j")).select("event_id", "j.*")
 
 
 @query("SELECT doc_id, md5(text) AS file_md5, strlen(text)::BIGINT AS size FROM documents")
@@ -526,9 +571,9 @@ def content_hash(s, d):
 
 
 # --- beyond the retrieval operators: windows, sessions, rollups ------------------------------
-@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def event_windows(s, d):
-    return jobs.event_windows(load(s, d, "events")).drop("total")
+    return jobs.event_windows(load(s, d, "events"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -37,3 +40,20 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(path, path.relative_to(here.parent))
     context.addPyFile(target)
     _SHIPPED.add(context.applicationId)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share, under ``spark.checkpoint.dir``; only a local session may do without that."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="ragloom-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def timed(action: Callable[[], object]) -> tuple[object, float]:
+    """What an action gives, and the milliseconds it took."""
+    began = time.monotonic()
+    found = action()
+    return found, (time.monotonic() - began) * 1000

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ragloom.operators.chunking import ChunkParams, chunk
 
@@ -28,6 +32,37 @@ def event_windows(events: DataFrame, size: str = "1 day", lateness: str | None =
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    out = events.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"))
+def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str | None = None) -> DataFrame:
+    """Events of a user without a gap; with ``lateness`` for a stream."""
+    rows = events.withWatermark("ts", lateness) if lateness else events
+    out = rows.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("s.start").alias("session_start"), "n")
+
+
+def conversation_state(messages: DataFrame) -> DataFrame:
+    """Running state of each conversation of a stream of messages (conv_id, turn, role, text, ts): count, last time
+    and first user text, a row for each conversation that a batch changes (update mode)."""
+    user = F.col("role") == "user"
+    first = F.min_by(F.when(user, F.col("text")), F.when(user, F.col("turn")))
+    return messages.groupBy("conv_id").agg(F.count("*").alias("message_count"), F.max("ts").alias("last_at"), first.alias("first_text"))
+
+
+INTERVIEW = "key long, turn int, topic long, depth long, turns long, finished boolean"
+
+
+def interview_states(turns: DataFrame, max_turns: int = 20) -> DataFrame:
+    """The states of ``interview.states`` over a stream of turns (key long, turn int, action string): a keyed state
+    machine. Turns of a key within a batch apply in order of ``turn``."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        topic, depth, seen = state.get if state.exists else (0, 0, 0)
+        rows = pd.concat(list(parts)).sort_values("turn")
+        out = []
+        for turn, action in zip(rows["turn"], rows["action"], strict=True):
+            opens = action != "FOLLOW_UP"
+            topic, depth, seen = topic + opens, 0 if opens else depth + 1, seen + 1
+            out.append((key[0], turn, topic, depth, seen, seen >= max_turns))
+        state.update((topic, depth, seen))
+        yield pd.DataFrame(out, columns=["key", "turn", "topic", "depth", "turns", "finished"])
+
+    return turns.groupBy("key").applyInPandasWithState(step, INTERVIEW, "topic long, depth long, turns long", "append", GroupStateTimeout.NoTimeout)
