@@ -31,7 +31,8 @@ from .components import connected_components
 from .text_kernels import Powers, RollingHash, WordHashes, mix
 
 BITS = 64
-#: Buckets with more stored fingerprints than this give a spanning forest; both ways join the same nodes.
+#: Buckets with more stored fingerprints than this link each node with the least one that it is joined with there,
+#: the others all pairs; both ways join the same nodes.
 FEW_STORED = 8
 PAIRS_AT_ONCE = 1 << 18
 
@@ -163,8 +164,13 @@ def _dealt(exact: DataFrame, balls: DataFrame, plan: list[Segment], most: int) -
 
 
 def near_links(nodes: DataFrame, plan: list[Segment], distance: int, hot_rows: int = 8192) -> DataFrame:
-    """Links ``(a, b)`` between nodes ``(node, fingerprint columns)`` that share a bucket and are within
-    ``distance`` bits in all: every one of a bucket with few stored fingerprints, a spanning forest of the others'."""
+    """Links ``(a, b)`` that join the nodes ``(node, fingerprint columns)`` which share a bucket and are within
+    ``distance`` bits in all, or which others in it join by such steps.
+
+    A node of a large group is met in a hundred buckets, in each with another least node. Of its links
+    only that to the least of these is kept, and the others are linked with that one: as many links as
+    nodes and pairs of least nodes, not as nodes and buckets. What comes together there is one node's links
+    to smaller ones, of which a bucket has one (or a few stored ones)."""
     words = list(dict.fromkeys(s.column for s in plan))
     nodes = nodes.select("node", *words)
     exact = nodes.select("node", *words, F.explode(_stored_keys(plan)).alias("key"))
@@ -173,7 +179,11 @@ def near_links(nodes: DataFrame, plan: list[Segment], distance: int, hot_rows: i
     dealt = _dealt(exact, balls, plan, most).select("key", "block", "node", "stored", *words)
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
     kind = nodes.schema["node"].dataType.simpleString()
-    return dealt.mapInArrow(_bucket_links(distance), f"a {kind}, b {kind}").distinct()
+    met = dealt.mapInArrow(_bucket_links(distance), f"a {kind}, b {kind}")
+    below = met.groupBy("b").agg(F.collect_set("a").alias("below")).select("b", "below", F.array_min("below").alias("least"))
+    others = F.transform(F.filter("below", lambda x: x != F.col("least")), lambda x: F.struct(F.col("least").alias("a"), x.alias("b")))
+    links = F.concat(F.array(F.struct(F.col("least").alias("a"), F.col("b").alias("b"))), others)
+    return below.select(F.explode(links).alias("link")).select("link.*").distinct()
 
 
 def _distance(fps: list[np.ndarray], i: np.ndarray | slice, j: np.ndarray | int) -> np.ndarray:
@@ -231,7 +241,9 @@ def _bucket_links(distance: int) -> Callable:
 
 
 def _forest(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distance: int) -> np.ndarray:
-    """A spanning forest of a bucket's links of stored nodes."""
+    """Links of each node of a bucket with the least one that it is joined with by links of stored nodes."""
+    order = np.argsort(node, kind="stable")
+    node, fps, stored = node[order], [fp[order] for fp in fps], stored[order]
     parent = np.arange(len(node))
 
     def root(i: int) -> int:
@@ -240,7 +252,6 @@ def _forest(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distanc
             i = parent[i]
         return i
 
-    out = []
     for no, t in enumerate(np.flatnonzero(stored).tolist()):
         near = np.flatnonzero(_distance(fps, slice(None), t) <= distance)
         near = near[parent[near] != parent[t]]
@@ -248,10 +259,9 @@ def _forest(node: np.ndarray, fps: list[np.ndarray], stored: np.ndarray, distanc
             a, b = root(t), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                out.append((node[t], node[j]))
         if no % 16 == 0:
             parent[:] = _flattened(parent)
-    return np.array(out, node.dtype).reshape(-1, 2)
+    return np.stack([node[_flattened(parent)], node], 1)
 
 
 def _flattened(parent: np.ndarray) -> np.ndarray:
