@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain over word-presence features.
 
 Categories are predicted one after the other. Each has a logistic regression over the
-words that tell it apart best, the text's length, and the log-odds of the earlier
+words that tell it apart best, the text's length, and the probabilities of the earlier
 categories; in training these are out-of-fold predictions, so a later model sees
 earlier ones as wrong as they will be on new texts. Models are fitted on the driver
 from a bounded sample of labelled rows; every document is then scored where it lies.
@@ -32,7 +32,7 @@ def text_words(text: bytes) -> tuple[int, set[bytes]]:
 
 @dataclass
 class LinearModel:
-    """Log-odds = bias + length * log(1 + words) + the weights of the words present + chain."""
+    """Log-odds = bias + length * log(1 + words) + the weights of the words present + chain * earlier probabilities."""
 
     bias: float = -10.0
     length: float = 0.0
@@ -125,7 +125,7 @@ def fit_chain(sizes: np.ndarray, words: list[np.ndarray], targets: dict[str, np.
         if y.min() == y.max():
             share = float(np.clip(y.mean(), 1e-4, 1 - 1e-4))
             models[name] = LinearModel(float(np.log(share / (1 - share))), 0.0, {}, [0.0] * len(earlier))
-            earlier.append(np.full(n, models[name].bias))
+            earlier.append(np.full(n, share))
             continue
         score = np.zeros(n)
         for k in range(folds):
@@ -140,17 +140,19 @@ def fit_chain(sizes: np.ndarray, words: list[np.ndarray], targets: dict[str, np.
         rest = w[len(chosen) :]
         p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         models[name] = LinearModel(float(rest[-1]), float(rest[0]), dict(zip(vocabulary[chosen].tolist(), w[: len(chosen)].tolist(), strict=True)), rest[1:-1].tolist(), _best_threshold(p, y))
-        earlier.append(np.clip(score, -30, 30))
+        earlier.append(p)
     return models
 
 
-def labelled_words(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], max_labelled: int):
-    """(sizes, word hashes, targets) of a hash sample of about ``max_labelled`` labelled documents at most."""
-    known = labels.select(F.col("doc_id").alias("label_id"), *[c.cast("int").alias(n) for n, c in categories.items()]).where("label_id is not null")
+def labelled_words(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], max_labelled: int, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id"):
+    """(sizes, word hashes, targets) of a hash sample of ``max_labelled`` labelled documents at most; of several
+    texts with one id the first in their order counts."""
+    known = labels.select(F.col(label_id_col).alias("label_id"), *[c.cast("int").alias(n) for n, c in categories.items()]).where("label_id is not null")
     known = known.groupBy("label_id").agg(*[F.max(n).alias(n) for n in categories]).dropna()
     # the count is of narrow rows; the sample is cut by hash, so it is the same on every run
-    rate = min(1.0, max_labelled / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("label_id", F.lit(11)), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    rate = min(1.0, 1.2 * max_labelled / max(1, known.count()))
+    place = F.pmod(F.xxhash64("label_id", F.lit(11)), F.lit(1 << 30))
+    drawn = known.where(place < int(rate * (1 << 30))).orderBy(place, "label_id").limit(max_labelled)
 
     names = list(categories)
 
@@ -160,8 +162,9 @@ def labelled_words(docs: DataFrame, labels: DataFrame, categories: dict[str, F.C
             found = [sorted({_hash(w) for w in words}) for _, words in seen]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in seen], pa.int64()), pa.array(found, pa.list_(pa.int32())), part.column(0), *part.columns[2:]], ["size", "words", "doc_id", *names])
 
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(drawn, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", *names)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = texts.join(drawn, F.col("doc_id") == F.col("label_id")).groupBy("doc_id", *names).agg(F.min("text").alias("text")).select("doc_id", "text", *names)
+    kind = docs.schema[id_col].dataType.simpleString()
     rows = texts.mapInArrow(run, f"size long, words array<int>, doc_id {kind}, " + ", ".join(f"{n} int" for n in categories)).toArrow().sort_by("doc_id")
     words = rows.column("words").combine_chunks()
     cut = words.offsets.to_numpy()
@@ -181,35 +184,39 @@ def score_toxicity(
     verdict: str = "toxic",
     max_labelled: int = 10_000,
     into: str = "toxicity",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_id_col: str = "doc_id",
 ) -> DataFrame:
     """``docs`` with a struct column ``into`` added (replaced if there): the probability of each category
     and ``rejected``, whether that of ``verdict`` reaches its threshold.
 
     ``max_labelled`` bounds the labelled rows that are fitted on (a hash sample); all documents are
     scored on their whole texts. Null texts are empty, labels with nulls are left out, a document's
-    repeated labels count as their greatest. Without labels nothing is rejected. All other
-    columns and repeated rows are kept.
+    repeated labels count as their greatest, and of repeated labelled rows one counts. Words that tell equally
+    much are taken by their hash. Without labels nothing is rejected. All other columns and repeated
+    rows are kept.
     """
     categories = categories or default_categories()
-    models = fit_chain(*labelled_words(docs, labels, categories, max_labelled))
+    models = fit_chain(*labelled_words(docs, labels, categories, max_labelled, id_col, text_col, label_id_col))
     places = {name: i for i, name in enumerate(models)}
     held = docs.drop(into)
     text = free_name(held, "scored_text")
-    rows = held.withColumn(text, F.col("text").cast("string"))
+    rows = held.withColumn(text, F.col(text_col).cast("string"))
     fields = [*[(n, pa.float64()) for n in models], ("rejected", pa.bool_())]
     kind = pa.struct(fields)
     every = {h for m in models.values() for h in m.words}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches):
-            out = np.zeros((part.num_rows, len(models)))
+            out, p = np.zeros((part.num_rows, len(models))), np.zeros((part.num_rows, len(models)))
             for i, content in enumerate(utf8(part.column(part.num_columns - 1))):
                 size, words = text_words(content)
                 present = {h for h in map(_hash, words) if h in every}
                 for no, m in enumerate(models.values()):
                     own = m.words
-                    out[i, no] = m.bias + m.length * np.log1p(size) + sum([own[h] for h in present if h in own]) + float(np.dot(m.chain, np.clip(out[i, :no], -30, 30)))
-            p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+                    out[i, no] = m.bias + m.length * np.log1p(size) + sum([own[h] for h in present if h in own]) + float(np.dot(m.chain, p[i, :no]))
+                    p[i, no] = 1 / (1 + np.exp(-min(30.0, max(-30.0, out[i, no]))))
             last = models[verdict]
             rejected = (p[:, places[verdict]] >= last.threshold) & bool(last.words)
             scores = pa.StructArray.from_arrays([*[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(rejected)], fields=[pa.field(n, t) for n, t in fields])
