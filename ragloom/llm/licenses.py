@@ -3,8 +3,9 @@
 The automaton accepts every run of tokens of every template. A file is streamed
 through it once: its state gives, at each word, the longest match that ends there
 (the matching statistics). A match that can't grow is kept if it has ``min_match``
-words; matches of one template that advance in both texts are chained into a span, and
-a span that covers enough of the template is a finding.
+words, with every place that it has in a template; matches of one template that advance in
+both texts are chained so that they cover most of it, and a chain that covers enough is a
+finding.
 
 Only runs of words that templates have can match, so words are mapped to template
 token numbers first, and only runs of at least ``min_match`` of these are streamed.
@@ -16,6 +17,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -51,22 +53,24 @@ def license_words(text: str) -> list[str]:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over integer tokens; a state knows one template and end for each
-    of the templates that it occurs in (the first there)."""
+    """Generalised suffix automaton over integer tokens. A state knows the ends (template, end) of the runs that were
+    added at it; those of its suffix-link descendants are ends of its own too (``places``)."""
 
     def __init__(self):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[list[tuple[int, int]]] = [[]]
+        self.children: list[list[int]] = []
+        self._places: dict[int, list[tuple[int, int]]] = {}
 
     def add(self, template: int, tokens: list[int]) -> None:
         last = 0
         for end, token in enumerate(tokens, 1):
             last = self._extend(last, token)
-            self.ends[last].setdefault(template, end)
+            self.ends[last].append((template, end))
 
     def _new(self, length: int, follow: dict[int, int], link: int) -> int:
-        self.next.append(follow), self.link.append(link), self.length.append(length), self.ends.append({})
+        self.next.append(follow), self.link.append(link), self.length.append(length), self.ends.append([])
         return len(self.next) - 1
 
     def _extend(self, last: int, token: int) -> int:
@@ -91,12 +95,22 @@ class SuffixAutomaton:
         return clone
 
     def finish(self) -> SuffixAutomaton:
-        """Hands the occurrences of longer states down to their suffix links."""
-        for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for template, end in self.ends[state].items():
-                self.ends[self.link[state]].setdefault(template, end)
+        self.children = [[] for _ in self.next]
+        for state in range(1, len(self.next)):
+            self.children[self.link[state]].append(state)
         return self
 
+    def places(self, state: int) -> list[tuple[int, int]]:
+        """All (template, end) where the runs of a state occur."""
+        if state not in self._places:
+            found, todo = [], [state]
+            while todo:
+                at = todo.pop()
+                found += self.ends[at]
+                todo += self.children[at]
+            self._places[state] = sorted(found)
+        return self._places[state]
+
     def matches(self, tokens: list[int], min_match: int) -> list[tuple[int, int, int]]:
         """(start, length, state) of each match of ``min_match`` tokens that the next token ends."""
         out, state, length = [], 0, 0
@@ -131,6 +145,7 @@ class LicenseScanner:
         words = [license_words(t) for texts in templates.values() for t in texts]
         self.token = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
         self.sizes = [len(ws) for ws in words]
+        self.longest = max(self.sizes, default=0)
         self.automaton = SuffixAutomaton()
         for no, ws in enumerate(words):
             self.automaton.add(no, [self.token[w] for w in ws])
@@ -150,23 +165,50 @@ class LicenseScanner:
             if b - a < self.min_match:
                 continue
             for start, length, state in self.automaton.matches(ids[a:b].tolist(), self.min_match):
-                for template, end in self.automaton.ends[state].items():
+                for template, end in self.automaton.places(state):
                     found.setdefault(template, []).append((a + start, length, end - length))
         return sorted((f for t, ms in found.items() for f in self._chains(t, ms)), key=lambda f: (f.start, f.label))
 
     def _chains(self, template: int, matches: list[tuple[int, int, int]]) -> Iterator[Finding]:
-        """Chains matches, in text order, that advance in the template too and lie near each other."""
-        chain: list[tuple[int, int, int]] = []
-        for match in [*sorted(matches), None]:
-            if chain and (match is None or match[0] > chain[-1][0] + chain[-1][1] + self.max_gap or match[2] + match[1] <= chain[-1][2] + chain[-1][1]):
-                covered = np.zeros(self.sizes[template], bool)
-                for _, length, at in chain:
-                    covered[at : at + length] = True
-                if covered.mean() >= self.min_coverage:
-                    yield Finding(self.labels[template], chain[0][0], chain[-1][0] + chain[-1][1], float(covered.mean()))
-                chain = []
-            if match is not None:
-                chain.append(match)
+        """The chain that covers most of the template, then the best one of what lies outside its span, and so on, while
+        they cover enough. In a chain each match starts and ends after the one before, in the text and in the
+        template, and at most ``max_gap`` words lie between them in the text."""
+        size, matches = self.sizes[template], sorted(set(matches))
+        if sum(m[1] for m in matches) < self.min_coverage * size:
+            return  # not even together
+        covered, before = [], []
+        first = 0
+        for i, (start, length, at) in enumerate(matches):
+            best, link = length, -1
+            while matches[first][0] + self.longest < start - self.max_gap:
+                first += 1
+            for j in range(first, i):
+                s, n, t = matches[j]
+                if s < start and s + n < start + length and t < at and t + n < at + length and start - (s + n) <= self.max_gap:
+                    gain = covered[j] + at + length - max(at, t + n)
+                    if gain > best:
+                        best, link = gain, j
+            covered.append(best), before.append(link)
+        top = max(range(len(matches)), key=lambda i: (covered[i], -matches[i][0]))
+        if covered[top] < self.min_coverage * size:
+            return
+        end, i = matches[top][0] + matches[top][1], top
+        while before[i] >= 0:
+            i = before[i]
+        begin = matches[i][0]
+        yield Finding(self.labels[template], begin, end, covered[top] / size)
+        for rest in ([m for m in matches if m[0] + m[1] <= begin], [m for m in matches if m[0] >= end]):
+            if rest:
+                yield from self._chains(template, rest)
+
+
+def load_templates(folder: str) -> dict[str, list[str]]:
+    """Whole licence texts from a folder of text files, labelled by the files' names in lower case: a parameter for
+    ``scan_licenses``. Read on the driver; every task gets the texts, so the folder should hold some megabytes at most."""
+    files = sorted(p for p in Path(folder).iterdir() if p.is_file())
+    if sum(p.stat().st_size for p in files) > 16 << 20:
+        raise ValueError(f"{folder} holds over 16 MB of templates")
+    return {p.stem.lower() if p.suffix == ".txt" else p.name.lower(): [p.read_text(encoding="utf-8", errors="replace")] for p in files}
 
 
 @cache
