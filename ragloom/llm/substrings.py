@@ -117,12 +117,12 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     full = classes.where("n > 1").select("seed", "block", F.lit(True).alias("all"))
     told = full.join(partial, ["seed", "block"], "full_outer").select("seed", "block", F.coalesce("all", F.lit(False)).alias("all"), "nos")
     hits = found.join(told, ["seed", "block"]).select("row", F.struct("first", "all", F.when(~F.col("all"), F.col("nos")).alias("nos")).alias("hit"))
-    return hits.groupBy("row").agg(F.collect_list("hit").alias("hits"))
+    return hits.groupBy("row").agg(F.collect_set("hit").alias("hits"))  # equal rows name the same ones
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept)``, one row for each row of ``docs``; ``kept`` is the words
-    that stay, joined by one space.
+    """``(doc_id, n_words, n_removed, kept, spans)``, one row for each row of ``docs``; ``kept`` is the words
+    that stay, joined by one space, and ``spans`` the maximal repeats that went: (start, end) in words.
 
     A word goes if a window that covers it has the same words as a window that starts anywhere else,
     in the same text included; windows are judged on the input. Null texts have no words. Equal rows
@@ -132,25 +132,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _keyed(docs, id_col, text_col)
     hits = repeated_windows(rows, window)
     kind = docs.schema[id_col].dataType.simpleString()
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = _Anchors(window)
         for part in row_slices(batches):
-            n_words, n_removed, kept = [], [], []
+            n_words, n_removed, kept, spans = [], [], [], []
             for text, named in zip(utf8(part.column(1)), part.column(2).to_pylist(), strict=True):
                 words = text.split()
                 n_words.append(len(words))
-                if named:
-                    words = _without(words, named, anchors, window)
+                found = _repeats(words, named, anchors, window) if named else []
+                for start, end in reversed(found):
+                    del words[start:end]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words))
-            columns = [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
+                spans.append([{"start": a, "end": b} for a, b in found])
+            columns = [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    return rows.join(hits, "row", "left").select("doc_id", "text", "hits").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    spec = f"doc_id {kind}, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
+    return rows.join(hits, "row", "left").select("doc_id", "text", "hits").mapInArrow(run, spec)
 
 
-def _without(words: list[bytes], named: list[dict], anchors: _Anchors, window: int) -> list[bytes]:
+def _repeats(words: list[bytes], named: list[dict], anchors: _Anchors, window: int) -> list[tuple[int, int]]:
+    """Runs (start, end) of words that repeated windows cover."""
     _, first, end, _ = anchors.cut(words)
     cover = np.zeros(len(words) + window + 1, np.int64)
     at = np.searchsorted(first, [h["first"] for h in named])
@@ -162,8 +167,8 @@ def _without(words: list[bytes], named: list[dict], anchors: _Anchors, window: i
             starts = first[a] + np.array(hit["nos"])
             np.add.at(cover, starts, 1)
             np.add.at(cover, starts + window, -1)
-    stays = np.cumsum(cover)[: len(words)] == 0
-    return [w for w, s in zip(words, stays.tolist(), strict=True) if s]
+    edge = np.diff(np.concatenate([[0], np.cumsum(cover)[: len(words)] > 0, [0]]).astype(np.int8))
+    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
 def kept_digest(kept: Column) -> Column:

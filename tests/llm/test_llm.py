@@ -384,6 +384,69 @@ def test_toxicity_held_out(spark):
     assert r.tp >= 0.85 * r.p and r.fp <= 0.03 * r.tp
 
 
+def plain_fit(x, y):
+    """Ridge logistic regression by plain gradient steps; the last column isn't penalised."""
+    w = np.zeros(x.shape[1])
+    ridge = np.r_[np.ones(x.shape[1] - 1), 1e-6]
+    for _ in range(60_000):
+        g = x.T @ (1 / (1 + np.exp(-(x @ w))) - y) + ridge * w
+        w -= g / (0.25 * (x * x).sum() + 1)
+        if np.abs(g).max() < 1e-7:
+            break
+    return w
+
+
+def test_toxicity_chain_brute_force(spark):
+    """Probabilities against a chain that is refitted plainly, with ties, repeats and copies."""
+    rng = random.Random(4)
+    told, rows, labels = "good fine poor bad vile".split(), [], []
+    for i in range(90):
+        low, toxic = rng.random() < 0.5, rng.random() < 0.4
+        words = [w for w, p in zip(told, (0.2 if low else 0.8, 0.5, 0.9 if low else 0.1, 0.8 if toxic else 0.2, 0.8 if toxic else 0.1), strict=True) if rng.random() < p]
+        rows.append((i, " ".join([*words, f"own{i}"])))
+        labels.append((i, int(not low), int(toxic)))
+    docs = spark.createDataFrame([*rows, rows[3], (200, None)], "key long, body string")
+    got = toxicity.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), id_col="key", text_col="body").collect()
+
+    sets = [set(t.split()) for _, t in rows]
+    size = np.log1p([len(t.split()) for _, t in rows])
+
+    def select(train, y):
+        def cell(k, n, total, column):
+            return 2 * k * np.log(k * total / (n * column)) if k else 0.0
+
+        ratio = {}
+        for w in told:
+            total, n1 = len(train), sum(y[i] for i in train)
+            k1, k0 = sum(w in sets[i] and y[i] for i in train), sum(w in sets[i] and not y[i] for i in train)
+            ratio[w] = cell(k1, n1, total, k1 + k0) + cell(k0, total - n1, total, k1 + k0) + cell(n1 - k1, n1, total, total - k1 - k0) + cell(total - n1 - k0, total - n1, total, total - k1 - k0)
+        return [w for w in told if ratio[w] >= 10.8]
+
+    earlier, models = [], []
+    for y in (np.array([1 - q for _, q, _ in labels]), np.array([t for _, _, t in labels])):
+        def design(chosen):
+            return np.array([[*(float(w in s) for w in chosen), size[i], *(e[i] for e in earlier), 1.0] for i, s in enumerate(sets)])
+
+        held = np.zeros(90)
+        for fold in range(3):
+            train = [i for i in range(90) if i % 3 != fold]
+            chosen = select(train, y)
+            x = design(chosen)
+            w = plain_fit(x[train], y[train])
+            held[fold::3] = 1 / (1 + np.exp(-(x[fold::3] @ w)))
+        chosen = select(range(90), y)
+        models.append((chosen, plain_fit(design(chosen), y)))
+        earlier.append(held)
+    for r in got:
+        words = set((r.body or "").split())
+        p = []
+        for chosen, w in models:
+            x = np.array([*(float(c in words) for c in chosen), np.log1p(len((r.body or "").split())), *p, 1.0])
+            p.append(1 / (1 + np.exp(-float(x @ w))))
+        assert (r.toxicity.low_quality, r.toxicity.toxic) == pytest.approx(tuple(p), abs=2e-3)
+    assert len(got) == 92
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 1), (5, 0, 0), (None, 1, 1), (6, None, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.score_toxicity(odd, labels)
@@ -433,8 +496,43 @@ def test_matching_statistics():
         got = a.matches(t, 2)
         assert [(s, n) for s, n, _ in got] == want
         for s, n, state in got:
-            for no, end in a.ends[state].items():
-                assert strings[no][end - n : end] == t[s : s + n]
+            run = t[s : s + n]
+            assert a.places(state) == [(no, e) for no, x in enumerate(strings) for e in range(n, len(x) + 1) if x[e - n : e] == run]
+
+
+def test_license_chains_brute_force():
+    """Chains against the best of all sequences of matches, on templates that repeat themselves."""
+    rng = random.Random(8)
+    for _ in range(60):
+        template = [rng.choice("abcd") for _ in range(rng.randrange(8, 16))]
+        scanner = licenses.LicenseScanner({"x": [" ".join(template)]}, min_match=2, min_coverage=0.4, max_gap=3)
+        words = [rng.choice("abcdz") for _ in range(4)] + [w for w in template if rng.random() < 0.85] + [rng.choice("abcdz") for _ in range(4)]
+        ids = scanner.tokens(words).tolist()
+        matches, i = [], 0
+        for s, n, state in scanner.automaton.matches(ids, 2):
+            matches += [(s, n, e - n) for _, e in scanner.automaton.places(state)]
+        best, todo = 0, [((m,), m[1]) for m in matches]
+        while todo:
+            chain, covered = todo.pop()
+            best = max(best, covered)
+            s, n, t = chain[-1]
+            todo += [((*chain, m), covered + m[2] + m[1] - max(m[2], t + n)) for m in matches if s < m[0] and s + n < m[0] + m[1] and t < m[2] and t + n < m[2] + m[1] and m[0] - s - n <= 3]
+        found = scanner.scan(words)
+        assert max((f.coverage for f in found), default=0) == (best / len(template) if best >= 0.4 * len(template) else 0)
+
+
+def test_license_files(tmp_path):
+    (tmp_path / "Some-1.0.txt").write_text("one two three four five six seven eight nine ten")
+    scanner = licenses.LicenseScanner(licenses.load_templates(str(tmp_path)))
+    assert [(f.label, f.start, f.end, f.coverage) for f in scanner.scan("x one two three four five six y".split())] == [("some-1.0", 1, 7, 0.6)]
+    twice = "one two three four five six seven eight nine ten".split()
+    assert [(f.start, f.end) for f in scanner.scan(["a", *twice, *["b"] * 50, *twice])] == [(1, 11), (61, 71)]
+
+
+def test_license_odd(none, odd):
+    assert licenses.license_digest(licenses.scan_licenses(none)).count() == 0
+    got = licenses.license_digest(licenses.scan_licenses(odd.withColumn("label", F.lit(1)).withColumn("spans", F.lit(2))))
+    assert got.count() == len(ODD)
 
 
 # --- 7 ----------------------------------------------------------------------------------------
@@ -449,14 +547,16 @@ def test_substrings_random(spark):
             a = rng.randrange(0, 30)
             words[rng.randrange(len(words) + 1) : 0] = p[a : a + rng.randrange(20, 60)]
         rows.append((i, " ".join(words)))
-    rows += [(100, "z " * 80), (101, rows[3][1]), (101, rows[3][1]), (None, rows[5][1]), (102, None)]
+    rows += [(100, "z " * 80), (101, rows[3][1]), *[(101, rows[3][1])] * 20, (None, rows[5][1]), (102, None)]
     got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=12).collect()
     split = [(t or "").split() for _, t in rows]
     seen = Counter(tuple(w[i : i + 12]) for w in split for i in range(len(w) - 11))
     want = []
     for (i, _), w in zip(rows, split, strict=True):
         gone = {k for s in range(len(w) - 11) if seen[tuple(w[s : s + 12])] > 1 for k in range(s, s + 12)}
-        want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+        spans = [(k, next(e for e in range(k, len(w) + 1) if e not in gone)) for k in sorted(gone) if k - 1 not in gone]
+        want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone), spans))
+    got = [(*tuple(r)[:4], [tuple(x) for x in r.spans]) for r in got]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
@@ -680,6 +780,35 @@ def test_leaks_odd(spark, odd, none):
 
 
 # --- pipeline -----------------------------------------------------------------------------------
+def test_chat_odd(spark):
+    kind = "conv_id long, turn long, role string, text string, formatted string, n_turns string"
+    empty = spark.createDataFrame([], kind)
+    assert chat.chat_digest(empty.select("conv_id", "turn", "role", "text")).count() == 0
+    more = spark.createDataFrame([(1, 0, "user", None, "x", "y"), (None, None, None, "t", "x", "y")], kind)
+    got = {r.conv_id: r for r in chat.chat_digest(more).collect()}
+    assert got[1].n_turns == 1 and got[None].loss_chars == 0
+
+
+def test_pipeline_odd(spark, tmp_path):
+    """Nulls, empty and repeated rows, repeated ids, clashing column names, and no labels or benchmark at all."""
+    import corpus_pipeline
+
+    line = "the very same line stands in every one of these"
+    rows = [(i, f"{line}\nown text number {i} " + " ".join(f"w{i}x{k}" for k in range(60))) for i in range(6)]
+    rows += [(6, None), (7, ""), (None, "without an id"), rows[2], (3, "another text of the same id"), (8, "pump " * 5000), (9, rows[4][1] + " more")]
+    for name, df in {
+        "documents": spark.createDataFrame([(*r, "en", "s", 1, "a", "b", "c") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, toxicity string, leaks string, lost_mask string"),
+        "labels": spark.createDataFrame([], "doc_id long, quality long, toxic long"), "benchmark": spark.createDataFrame([(1, None), (None, "own text")], "item_id long, text string"),
+    }.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {0, 1, 2, 3, 4, 5, 6, None, 8}
+    empty = tmp_path / "none"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(empty / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
