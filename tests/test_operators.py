@@ -49,6 +49,56 @@ def test_line_merge(spark):
     assert one(spark, layout.merge_broken_lines(F.col("v")), "设备维护的说明\n见下页") == "设备维护的说明见下页"
 
 
+def test_line_merge_cases(spark):
+    cases = {
+        "Key:\nvalue of it": "Key:\nvalue of it", "abc\ndefghi\njkl": "abc\ndefghi jkl", "one line of\n\ntext": "one line of text", "a sentence.\nnext": "a sentence.\nnext",
+        "the list has\n- first item\nof two": "the list has\n- first item of two", "见下文的说明\n第三章 维护": "见下文的说明\n第三章 维护", "long enough\nx\ny": "long enough x y", "  only ": "only", None: None,
+    }
+    for text, want in cases.items():
+        assert one(spark, layout.merge_broken_lines(F.col("v")), text) == want, text
+
+
+def test_clean_text(spark):
+    assert one(spark, layout.tidy_space(F.col("v")), "a\u200bb\ue621\u202a  c\u3000\u3000d\r\n e ") == "ab c d\ne"
+    assert [one(spark, layout.drop_page_numbers(F.col("v")), t) for t in ("[12]", "— 3 —", "12345", "p 3")] == ["", "", "12345", "p 3"]
+    assert [one(spark, layout.is_cjk(F.col("v")), t) for t in ("a", "。", "㐀", "ＡＢ")] == [False, True, True, True]
+    docs = spark.createDataFrame([(1, "3.1 Heading\nThe first line of a text\ngoes on here.\n7\n3.1 Heading\nend.")], "doc_id long, text string")
+    rows = layout.clean_documents(docs, tables.paragraphs).orderBy("seq").collect()
+    assert [(r.text, r.section_number) for r in rows][0][0].startswith("3.1 Heading The first line")
+
+
+def page_of(spark, rows, **more):
+    return spark.createDataFrame([(1, 1, i, f"b{i}", *map(float, r), 600.0) for i, r in enumerate(rows)], "doc_id long, page_no int, seq int, text string, x0 double, y0 double, x1 double, y1 double, page_width double")
+
+
+def test_columns_and_spanning_blocks(spark):
+    left, right = [(50, y, 280, y + 20) for y in (100, 130, 160)], [(320, y, 550, y + 20) for y in (105, 135, 165, 300)]
+    order = lambda rows: [r.seq for r in layout.reading_order(page_of(spark, rows)).orderBy("position").collect()]
+    assert order([*right, *left]) == [4, 5, 6, 0, 1, 2, 3]
+    assert order([*right[:2], *left]) == [2, 0, 3, 1, 4]  # five blocks: by height
+    # a wide block covers the bins of the gutter: one column
+    assert order([(50, 250, 550, 260), *right, *left])[:2] == [5, 1]
+    found = layout.gutters(page_of(spark, [*right, *left])).first()
+    assert 280 < found.gutter < 320
+    bare = page_of(spark, [(50, 250, 550, 260), *right, *left]).drop("page_width")
+    assert [r.seq for r in layout.reading_order(bare).orderBy("position").collect()] == [5, 6, 7, 1, 2, 3, 0, 4]
+    assert layout.gutters(page_of(spark, [(50, y, 290, y + 9) for y in range(0, 60, 10)] + [(320, 0, 500, 9)])).count() == 0
+
+
+def test_read_blocks(spark):
+    def reader():
+        def read(content):
+            if content == b"bad":
+                raise ValueError("broken")
+            return {"metadata": {"title": "T", "author": ""}, "pages": [(1, 600.0, [(0, 0, 10, 10, 12.0, content.decode())])]}
+
+        return read
+
+    files = spark.createDataFrame([("a.pdf", bytearray(b"text")), ("b.pdf", bytearray(b"bad"))], "path string, content binary")
+    got = {r.doc_id: r for r in tables.read_blocks(files, reader).collect()}
+    assert (got["a.pdf"].text, got["a.pdf"].metadata, got["a.pdf"].error) == ("text", {"title": "T"}, None) and got["b.pdf"].error == "ValueError: broken"
+
+
 def test_sentences(spark):
     assert one(spark, chunking.split_sentences(F.col("v")), "参见 3.2 节关于设备维护的说明") == ["参见 3.2 节关于设备维护的说明"]
     assert one(spark, chunking.split_sentences(F.col("v")), "One. Two! three") == ["One.", "Two!", "three"]
