@@ -70,11 +70,11 @@ def committed(spark: SparkSession, folder: str) -> dict[str, str]:
     return {path.getName(): path.toString() for path in found if files.exists(hadoop.Path(path, "_SUCCESS"))}
 
 
-def hot_blocks(counts: DataFrame, key: str, most: int = 1024) -> DataFrame:
+def hot_blocks(counts: DataFrame, key: str, most: int = 1024, total: int | None = None) -> DataFrame:
     """``(key, blocks)`` of the keys that have over ``most`` rows and over a thousandth of all by ``(key, n)``.
 
-    Under a thousand keys can, so the list is bounded: it is collected and broadcast."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    Under a thousand keys can, so the list is bounded: it is collected and broadcast. ``total``: all rows, if known."""
+    total = total if total is not None else counts.agg(F.sum("n")).first()[0] or 0
     most = max(most, -(-total // 1000))
     hot = counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("blocks"))
     return counts.sparkSession.createDataFrame(hot.collect(), hot.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, hot_blocks, join_dealt
 
 
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     ``edges`` may hold repeats, loops, either direction and nulls (a link with a
     null end is none). Links stay distributed; each round is checkpointed, so a
     lost executor costs one round at most. Rounds grow with the logarithm of
-    the longest chain of links.
+    the longest chain of links. The links of a node that has very many, as the middle of a
+    star, are dealt over several tasks.
     """
     links = checkpointed(
         edges.where(F.col(left) != F.col(right))
@@ -23,7 +24,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     )
     state = _state(links)
     while state[0]:
-        links = checkpointed(_small_star(_large_star(links)))
+        starred = checkpointed(_large_star(links, state[0]))
+        links = checkpointed(_small_star(starred, state[0]))
         if (now := _state(links)) == state:
             break
         state = now
@@ -36,15 +38,18 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Larger neighbours of every node go to the least node of its neighbourhood."""
     both = links.union(links.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    larger = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    hot = hot_blocks(larger.groupBy("a").agg(F.count("*").alias("n")), "a", total=total)
+    return join_dealt(larger, least, "a", hot, ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Smaller neighbours of every node, and the node, go to the least of them."""
     least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    hot = hot_blocks(links.groupBy("a").agg(F.count("*").alias("n")), "a", total=total)
+    moved = join_dealt(links, least, "a", hot, ["b"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()

@@ -174,6 +174,29 @@ def test_simhash(spark, docs):
     assert got == {i: (fp[i], want[i]) for i in fp}
 
 
+def test_components(spark):
+    """A large star, chains, loops, nulls and repeats against union by union."""
+    from ragloom.llm.components import connected_components
+
+    rng = random.Random(2)
+    edges = [(5000, i) for i in range(3000)] + [(i, i + 1) for i in range(6000, 6040)] + [(rng.randrange(7000, 7400), rng.randrange(7000, 7400)) for _ in range(300)]
+    edges += [(5000, 6040), (9, 9), (None, 3), (6000, 6001)]
+    want = {}
+
+    def root(x):
+        while want.setdefault(x, x) != x:
+            x = want[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = root(a), root(b)
+            want[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in list(want)}
+    assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("nodes", [10, 10**9, 10**11])
 @pytest.mark.parametrize("distance", [0, 1, 4, 7])
 def test_plan_finds_all(distance, nodes):
