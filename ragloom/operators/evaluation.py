@@ -272,14 +272,43 @@ def findings(configs: DataFrame, name: str, score: str) -> DataFrame:
     return configs.agg(best.alias("best"), F.max(score).alias(f"best_{score}"), F.min_by(name, F.struct(score, name)).alias("worst"), F.min(score).alias(f"worst_{score}"))
 
 
+_FACTOR = 0x9E3779B97F4A7C15 | 1
+
+
+def _windows(points: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` consecutive points, by doubling."""
+    n = len(points) - size + 1
+    out, done, power, reach = np.zeros(n, np.uint64), 0, points.astype(np.uint64), 1
+    with np.errstate(over="ignore"):
+        while True:
+            if size & reach:
+                out = out * np.uint64(pow(_FACTOR, reach, 1 << 64)) + power[done : done + n]
+                done += reach
+            if reach * 2 > size:
+                return out
+            power = power[:-reach] * np.uint64(pow(_FACTOR, reach, 1 << 64)) + power[reach:]
+            reach *= 2
+
+
+def _share_run(a: np.ndarray, b: np.ndarray, size: int) -> bool:
+    one, two = _windows(a, size), _windows(b, size)
+    order = np.argsort(two, kind="stable")
+    at = np.minimum(np.searchsorted(two[order], one), len(two) - 1)
+    # equal hashes are compared point by point
+    return any((a[i : i + size] == b[j : j + size]).all() for i in np.flatnonzero(two[order[at]] == one).tolist() for j in (order[at[i]],))
+
+
 def longest_common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common substring of two code point arrays."""
-    run = np.zeros(len(b) + 1, np.int32)
-    best = 0
-    for x in a:
-        run[1:] = np.where(b == x, run[:-1] + 1, 0)
-        best = max(best, int(run.max()))
-    return best
+    """Length of the longest common substring of two code point arrays: a shared run of some length has shared
+    runs of all smaller ones, so the length is found by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if _share_run(a, b, middle):
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def _ratio(content: str | None, evidence: str | None) -> float:
