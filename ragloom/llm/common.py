@@ -70,19 +70,22 @@ def committed(spark: SparkSession, folder: str) -> dict[str, str]:
     return {path.getName(): path.toString() for path in found if files.exists(hadoop.Path(path, "_SUCCESS"))}
 
 
-def hot_blocks(counts: DataFrame, key: str, most: int = 1024, total: int | None = None) -> DataFrame:
-    """``(key, blocks)`` of the keys that have over ``most`` rows and over a thousandth of all by ``(key, n)``.
+def hot_blocks(counts: DataFrame, key: str, most: int = 1024, total: int | None = None) -> DataFrame | None:
+    """``(key, blocks)`` of the keys that have over ``most`` rows and over a thousandth of all by ``(key, n)``; None without any.
 
     Under a thousand keys can, so the list is bounded: it is collected and broadcast. ``total``: all rows, if known."""
     total = total if total is not None else counts.agg(F.sum("n")).first()[0] or 0
     most = max(most, -(-total // 1000))
     hot = counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("blocks"))
-    return counts.sparkSession.createDataFrame(hot.collect(), hot.schema)
+    rows = hot.collect()
+    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
-def join_dealt(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+def join_dealt(many: DataFrame, one: DataFrame, key: str, hot: DataFrame | None, spread: list[str], how: str = "inner") -> DataFrame:
     """Join of ``many`` with ``one``, which has one row for a key; the rows of a key of ``hot`` are dealt
     over its blocks by the columns ``spread``, and the other side's row goes to each of them."""
+    if hot is None:
+        return many.join(one, key, how)
     hot = F.broadcast(hot)
     block = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("blocks")), F.lit(0)).cast("int")
     dealt = many.join(hot, key, "left").withColumn("block", block).drop("blocks")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed, hot_blocks, join_dealt
 
 
+#: Links of one node that a task may have, and links in a partition.
+HOT_LINKS, PART_LINKS = 1 << 16, 250_000
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """``(node, component)`` for every node that has a link; the component is its least node.
 
@@ -24,8 +28,9 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     )
     state = _state(links)
     while state[0]:
-        starred = checkpointed(_large_star(links, state[0]))
-        links = checkpointed(_small_star(starred, state[0]))
+        # few links are few partitions, whatever the session's number of these
+        parts = -(-state[0] // PART_LINKS)
+        links = checkpointed(_small_star(_large_star(links.coalesce(parts), state[0], parts), state[0], parts).coalesce(parts))
         if (now := _state(links)) == state:
             break
         state = now
@@ -38,18 +43,27 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _large_star(links: DataFrame, total: int) -> DataFrame:
+def _large_star(links: DataFrame, total: int, parts: int) -> DataFrame:
     """Larger neighbours of every node go to the least node of its neighbourhood."""
     both = links.union(links.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     larger = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    hot = hot_blocks(larger.groupBy("a").agg(F.count("*").alias("n")), "a", total=total)
-    return join_dealt(larger, least, "a", hot, ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(larger, least, total).select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts).distinct()
 
 
-def _small_star(links: DataFrame, total: int) -> DataFrame:
+def _small_star(links: DataFrame, total: int, parts: int) -> DataFrame:
     """Smaller neighbours of every node, and the node, go to the least of them."""
+    if total > HOT_LINKS:
+        links = checkpointed(links)  # it is counted first
+    links = links.coalesce(parts)
     least = links.groupBy("a").agg(F.min("b").alias("m"))
-    hot = hot_blocks(links.groupBy("a").agg(F.count("*").alias("n")), "a", total=total)
-    moved = join_dealt(links, least, "a", hot, ["b"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    moved = _with_least(links, least, total).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select("a", F.col("m").alias("b"))).coalesce(parts).distinct()
+
+
+def _with_least(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Links with ``m`` of their ``a``; those of a node with over ``HOT_LINKS`` are dealt."""
+    if total <= HOT_LINKS:
+        return links.join(least, "a")
+    hot = hot_blocks(links.groupBy("a").agg(F.count("*").alias("n")), "a", HOT_LINKS, total)
+    return join_dealt(links, least, "a", hot, ["b"])

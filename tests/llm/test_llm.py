@@ -174,9 +174,13 @@ def test_simhash(spark, docs):
     assert got == {i: (fp[i], want[i]) for i in fp}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [1 << 16, 500])
+def test_components(spark, monkeypatch, hot):
     """A large star, chains, loops, nulls and repeats against union by union."""
-    from ragloom.llm.components import connected_components
+    from ragloom.llm import components as module
+
+    connected_components = module.connected_components
+    monkeypatch.setattr(module, "HOT_LINKS", hot)
 
     rng = random.Random(2)
     edges = [(5000, i) for i in range(3000)] + [(i, i + 1) for i in range(6000, 6040)] + [(rng.randrange(7000, 7400), rng.randrange(7000, 7400)) for _ in range(300)]
