@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embeddings, licenses, lines, packing, secrets, simhash, substrings, toxicity
+from . import audit, chat, decontam, embeddings, licenses, lines, packing, secrets, simhash, substrings, toxicity
 from .common import table
 
 
@@ -66,9 +66,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leak_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     found = [op1_chat_format, op2_best_fit_packing, op3_simhash_dedup, op4_embedding_dedup, op5_toxicity]
-    found += [op6_license_scan, op7_substring_dedup, op8_line_dedup, op9_secret_scan, op10_decontamination]
+    found += [op6_license_scan, op7_substring_dedup, op8_line_dedup, op9_secret_scan, op10_decontamination, op12_filter_audit]
     return {f.__name__: f for f in found}
 
 
@@ -168,6 +172,38 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE doc_id < last
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE last IS NULL OR doc_id >= last), '')) AS kept_sha256
 FROM keyed LEFT JOIN many USING (k) GROUP BY doc_id
 """.replace("LOWERED", _ASCII_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")),
+    "op12_filter_audit": r"""
+WITH RECURSIVE told AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), masked AS (
+  SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+         + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS m FROM told
+), lab AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, m, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad FROM masked LEFT JOIN lab USING (doc_id) GROUP BY ALL
+), orders(o) AS (
+  SELECT '' UNION ALL SELECT o || x FROM orders, (SELECT unnest(string_split('ABCDE', '')) AS x) WHERE NOT contains(o, x)
+), steps AS (
+  SELECT o, step, 1 << (ascii(o[step]) - 65) AS own,
+         list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(o[i]) - 65))) AS prior
+  FROM (SELECT o, unnest(range(1, 6)) AS step FROM orders WHERE length(o) = 5)
+), facts AS (
+  SELECT part, o, step, own, m, n, good, bad, (m & own) <> 0 AS fails, (m & coalesce(prior, 0)::BIGINT) <> 0 AS gone FROM steps, cells
+), walked AS (
+  SELECT part, o AS filter_order, step, own, coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (WHERE fails AND gone), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE m = own), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE fails AND NOT gone), 0) AS good_lost,
+         coalesce(sum(bad) FILTER (WHERE fails AND NOT gone), 0) AS toxic_lost
+  FROM facts GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM walked
+""",
     "op9_secret_scan": """
 WITH said AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
