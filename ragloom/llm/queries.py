@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, decontam, embeddings, licenses, lines, packing, secrets, simhash, substrings, toxicity
+from . import audit, chat, decontam, embeddings, licenses, lines, packing, scoring, secrets, simhash, substrings, toxicity
 from .common import table
 
 
@@ -66,13 +66,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leak_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_filters(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
     found = [op1_chat_format, op2_best_fit_packing, op3_simhash_dedup, op4_embedding_dedup, op5_toxicity]
-    found += [op6_license_scan, op7_substring_dedup, op8_line_dedup, op9_secret_scan, op10_decontamination, op12_filter_audit]
+    found += [op6_license_scan, op7_substring_dedup, op8_line_dedup, op9_secret_scan, op10_decontamination, op11_lm_scoring, op12_filter_audit]
     return {f.__name__: f for f in found}
 
 
