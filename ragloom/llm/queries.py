@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, decontam, embeddings, licenses, lines, packing, scoring, secrets, simhash, substrings, toxicity
+from . import audit, chat, decontam, embeddings, licenses, lines, packing, phrases, scoring, secrets, simhash, substrings, toxicity
 from .common import table
 
 
@@ -74,9 +74,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_filters(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def queries() -> dict:
     found = [op1_chat_format, op2_best_fit_packing, op3_simhash_dedup, op4_embedding_dedup, op5_toxicity]
-    found += [op6_license_scan, op7_substring_dedup, op8_line_dedup, op9_secret_scan, op10_decontamination, op11_lm_scoring, op12_filter_audit]
+    found += [op6_license_scan, op7_substring_dedup, op8_line_dedup, op9_secret_scan, op10_decontamination, op11_lm_scoring, op12_filter_audit, op13_phrase_mining]
     return {f.__name__: f for f in found}
 
 
@@ -208,6 +212,37 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
        (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
 FROM walked
 """,
+    "op13_phrase_mining": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(LOWERED, '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\t]+'), lambda w: w <> '') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+), counts AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), cand AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1
+), cuts AS (
+  SELECT c.lang, c.phrase, a, c.w, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f::HUGEINT + y.f) AS score, j
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : j], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1 :], ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inside AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM cand, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY ALL
+), kept AS (
+  SELECT b.lang, b.phrase, a, l, r, score FROM best b LEFT JOIN inside i ON b.lang = i.lang AND b.phrase = i.phrase
+  WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+""".replace("LOWERED", _ASCII_LOWER.format("coalesce(text, '')")),
     "op9_secret_scan": """
 WITH said AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
