@@ -30,6 +30,8 @@ from .common import row_slices
 
 _FACTOR = 0xD6E8FEB86659FD93 | 1
 _BITS = 22
+#: Places of grams that are expanded at once, bands that are counted at once, diagonals that are aligned at once.
+EXPANDED, CELLS, WIDEST = 1 << 21, 1 << 22, 1 << 17
 
 
 def normalised(text: str) -> str:
@@ -118,39 +120,100 @@ class GramIndex:
         gram = np.minimum(np.searchsorted(self.grams, hashes[at]), len(self.grams) - 1)
         same = self.grams[gram] == hashes[at]
         at, gram = at[same], gram[same]
-        count = self.first[gram + 1] - self.first[gram]
-        entry = np.repeat(self.first[gram] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        item = self.item[entry]
         # passages that the whole text hasn't enough q-grams for
-        enough = (np.bincount(item, minlength=len(self.ids)) >= self.least)[item]
-        if not enough.any():
-            return []
-        item, diagonal = item[enough], (np.repeat(at, count)[enough] - self.place[entry[enough]])
-        step = self.edits[item] + 1
-        band = diagonal // step
-        low = int(band.min())
-        span = int(band.max()) - low + 3
-        key, hits = np.unique(item * span + (band - low), return_counts=True)
-        # a band and the next one together; its own key may be that of no hit
-        both = np.unique(np.concatenate([key, key - 1]))
-        found = np.searchsorted(key, both), np.searchsorted(key, both + 1)
-        total = sum(np.where(key[np.minimum(f, len(key) - 1)] == k, hits[np.minimum(f, len(key) - 1)], 0) for f, k in zip(found, (both, both + 1), strict=True))
-        # a band's left neighbour of the first kind belongs to another passage; the spare keys keep them apart
-        owner, place = (both + 1) // span, (both + 1) % span - 1 + low
-        best: dict[int, Match] = {}
-        for i in np.flatnonzero(total >= self.least[owner]).tolist():
-            no, k = int(owner[i]), int(self.edits[owner[i]])
-            match = self._verify(codes, no, int(place[i]) * (k + 1), 2 * (k + 1), k)
+        distinct, times = np.unique(gram, return_counts=True)
+        entry, owner = self._entries(distinct)
+        enough = np.bincount(self.item[entry], times[owner], len(self.ids)) >= self.least
+        best = {no: match for no in np.flatnonzero(enough).tolist() if (match := self._whole(codes, no))}
+        enough[list(best)] = False  # nothing is better than the first place without an edit
+        count = (self.first[1:] - self.first[:-1])[gram]
+        for no, low, high in self._surviving(at, gram, count, enough) if enough.any() else []:
+            match = self._verify(codes, no, low, high - low, int(self.edits[no]))
             if match and (no not in best or (match.edits, match.start) < (best[no].edits, best[no].start)):
                 best[no] = match
         return [best[no] for no in sorted(best)]
 
+    def _entries(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every place in a passage of each of the grams, and which of these it is of."""
+        count = self.first[gram + 1] - self.first[gram]
+        owner = np.repeat(np.arange(len(gram)), count)
+        return np.arange(len(owner)) + np.repeat(self.first[gram] - np.cumsum(count) + count, count), owner
+
+    def _whole(self, codes: np.ndarray, no: int) -> Match | None:
+        """The first place where the passage stands without an edit."""
+        own, text = self.codes[no].astype("<u4").tobytes(), codes.astype("<u4").tobytes()
+        at = text.find(own)
+        while at > 0 and at % 4:
+            at = text.find(own, at + 1)
+        return Match(self.ids[no], at // 4, (at + len(own)) // 4, 0) if at >= 0 else None
+
+    def _surviving(self, at: np.ndarray, gram: np.ndarray, count: np.ndarray, enough: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """``(passage, first diagonal, end)`` of the regions of bands with enough q-grams. Places are expanded in slices of bounded
+        size, and counted either by the bands that they meet or, where they are many, in an array of all bands of some passages."""
+        step = self.edits + 1
+        slices = np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(count) // EXPANDED)) + 1)
+        if len(slices) == 1:
+            entry, owner = self._entries(gram)
+            item = self.item[entry]
+            held = enough[item]
+            item, diagonal = item[held], at[owner[held]] - self.place[entry[held]]
+            if not len(item):
+                return
+            band = diagonal // step[item]
+            low = int(band.min())
+            span = int(band.max()) - low + 3
+            key, hits = np.unique(item * span + (band - low + 1), return_counts=True)
+            yield from self._regions(key, hits, span, low - 1, np.arange(len(self.ids)))
+            return
+        chosen = np.flatnonzero(enough)
+        lowest, highest = -(self.sizes // step) - 2, int(at[-1]) // step + 2
+        width = highest - lowest + 3
+        first = 0
+        while first < len(chosen):
+            stop = first + max(1, int(np.searchsorted(np.cumsum(width[chosen[first:]]), CELLS, "right")))
+            own = chosen[first:stop]
+            span, low = int(width[own].max()), int(lowest[own].min()) - 1
+            span += int(lowest[own].max() - lowest[own].min()) + 2
+            slot = np.full(len(self.ids), -1)
+            slot[own] = np.arange(len(own))
+            hits = np.zeros(len(own) * span, np.int64)
+            for part in slices:
+                entry, owner = self._entries(gram[part])
+                held = slot[self.item[entry]] >= 0
+                entry, owner = entry[held], owner[held]
+                item = self.item[entry]
+                key = slot[item] * span + ((at[part][owner] - self.place[entry]) // step[item] - low)
+                hits += np.bincount(key, minlength=len(hits))
+            key = np.flatnonzero(hits)
+            yield from self._regions(key, hits[key], span, low, own)
+            first = stop
+
+    def _regions(self, key: np.ndarray, hits: np.ndarray, span: int, low: int, own: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Regions of bands that have enough hits together with the next one; ``key`` is slot times ``span`` plus band less ``low``,
+        and the first and last keys of a slot are those of no band."""
+        both = np.unique(np.concatenate([key, key - 1]))
+        total = np.zeros(len(both), np.int64)
+        for shift in (0, 1):
+            place = np.minimum(np.searchsorted(key, both + shift), len(key) - 1)
+            total += np.where(key[place] == both + shift, hits[place], 0)
+        owner = own[np.minimum(both // span, len(own) - 1)]
+        kept = total >= self.least[owner]
+        both, owner = both[kept], owner[kept]
+        if not len(both):
+            return
+        cut = np.flatnonzero((np.diff(both) > 2) | (np.diff(owner) != 0)) + 1
+        for part, who in zip(np.split(both, cut), np.split(owner, cut), strict=True):
+            no, size = int(who[0]), int(self.edits[who[0]]) + 1
+            for a in range(0, len(part), WIDEST // size + 1):
+                some = part[a : a + WIDEST // size + 1] % span + low
+                yield no, int(some[0]) * size, (int(some[-1]) + 2) * size
+
     def _verify(self, codes: np.ndarray, no: int, diagonal: int, width: int, edits: int) -> Match | None:
         end, distance = banded_alignment(self.codes[no], codes, diagonal - edits, width + 2 * edits)
         if distance > edits:
             return None
-        # from the end back, the same alignment finds where it starts
-        back = codes[:end][::-1]
+        # from the end back, the same alignment finds where it starts; it needs no more of the text than this
+        back = codes[max(0, end - len(self.codes[no]) - edits) : end][::-1]
         size, _ = banded_alignment(self.codes[no][::-1], back, -edits, 2 * edits + 1, anchored=True)
         return Match(self.ids[no], max(0, end - size), end, distance)
 
@@ -158,6 +221,12 @@ class GramIndex:
 def banded_alignment(pattern: np.ndarray, text: np.ndarray, diagonal: int, width: int, anchored: bool = False) -> tuple[int, int]:
     """(end in the text, edits) of the best occurrence of the whole pattern whose alignment keeps to
     ``width`` diagonals from ``diagonal`` on; ``anchored``: it starts at the start of the text."""
+    # the part of the text that the band meets
+    skip = max(0, min(diagonal, len(text)))
+    if skip and not anchored:
+        end, distance = banded_alignment(pattern, text[skip : max(skip, diagonal + width + len(pattern))], diagonal - skip, width)
+        return end + skip, distance
+    text = text[: max(0, diagonal + width + len(pattern))]
     far = len(pattern) + len(text) + 1
     lane = diagonal + np.arange(width)  # text place of a row's cell: row + lane
     padded = np.full(len(text) + len(pattern) + 2 * width + 2, np.iinfo(np.uint32).max, np.uint32)

@@ -14,9 +14,11 @@ token numbers first, and only runs of at least ``min_match`` of these are stream
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -172,34 +174,51 @@ class LicenseScanner:
     def _chains(self, template: int, matches: list[tuple[int, int, int]]) -> Iterator[Finding]:
         """The chain that covers most of the template, then the best one of what lies outside its span, and so on, while
         they cover enough. In a chain each match starts and ends after the one before, in the text and in the
-        template, and at most ``max_gap`` words lie between them in the text."""
+        template, and at most ``max_gap`` words lie between them in the text.
+
+        A chain that is taken leaves those left of it as they were. Right of it only chains that
+        began before its end are looked for anew, so the work follows the matches and not their square."""
         size, matches = self.sizes[template], sorted(set(matches))
         if sum(m[1] for m in matches) < self.min_coverage * size:
             return  # not even together
-        covered, before = [], []
-        first = 0
-        for i, (start, length, at) in enumerate(matches):
-            best, link = length, -1
-            while matches[first][0] + self.longest < start - self.max_gap:
-                first += 1
-            for j in range(first, i):
+        starts = [m[0] for m in matches]
+        covered, before, opened = [0] * len(matches), [-1] * len(matches), list(starts)
+
+        def look_back(i: int, low: int) -> None:
+            """The best chain that ends with match i and has no match before ``low``."""
+            start, length, at = matches[i]
+            covered[i], before[i], opened[i] = length, -1, start
+            for j in range(max(low, bisect_left(starts, start - self.max_gap - self.longest, 0, i)), i):
                 s, n, t = matches[j]
                 if s < start and s + n < start + length and t < at and t + n < at + length and start - (s + n) <= self.max_gap:
                     gain = covered[j] + at + length - max(at, t + n)
-                    if gain > best:
-                        best, link = gain, j
-            covered.append(best), before.append(link)
-        top = max(range(len(matches)), key=lambda i: (covered[i], -matches[i][0]))
-        if covered[top] < self.min_coverage * size:
-            return
-        end, i = matches[top][0] + matches[top][1], top
-        while before[i] >= 0:
-            i = before[i]
-        begin = matches[i][0]
-        yield Finding(self.labels[template], begin, end, covered[top] / size)
-        for rest in ([m for m in matches if m[0] + m[1] <= begin], [m for m in matches if m[0] >= end]):
-            if rest:
-                yield from self._chains(template, rest)
+                    if gain > covered[i]:
+                        covered[i], before[i], opened[i] = gain, j, opened[j]
+
+        for i in range(len(matches)):
+            look_back(i, 0)
+        best = [(-covered[i], starts[i], i) for i in range(len(matches)) if covered[i] >= self.min_coverage * size]
+        heapify(best)
+        taken = [False] * len(matches)
+        while best:
+            value, _, top = heappop(best)
+            if taken[top] or -value != covered[top]:
+                continue
+            begin, end = opened[top], matches[top][0] + matches[top][1]
+            yield Finding(self.labels[template], begin, end, covered[top] / size)
+            right = bisect_left(starts, end)
+            for i in range(bisect_left(starts, begin - self.longest), right):
+                if matches[i][0] + matches[i][1] > begin:
+                    taken[i] = True
+            reach = end + self.longest  # how far chains that began before the end go
+            for i in range(right, len(matches)):
+                if starts[i] > reach + self.max_gap:
+                    break
+                if opened[i] < end and not taken[i]:
+                    reach = max(reach, starts[i] + matches[i][1])
+                    look_back(i, right)
+                    if covered[i] >= self.min_coverage * size:
+                        heappush(best, (-covered[i], starts[i], i))
 
 
 def load_templates(folder: str) -> dict[str, list[str]]:
