@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The public defaults of Okapi BM25 and of reciprocal rank fusion.
@@ -51,7 +51,7 @@ def bm25_hits(scored: DataFrame, top_k: int) -> DataFrame:
 
 def bm25(corpus: DataFrame, queries: DataFrame, top_k: int = 20) -> DataFrame:
     """``query_id, id, score, rank`` of positive hits; repeated query terms count again. Scores are
-    rounded to 6 places before ranking, and equal ones go by id. For many searches of one corpus, see ``LexicalIndex``.
+    rounded to 6 places before ranking, and equal ones go by id. For many searches of one corpus, see ``lexical_index``.
 
     A query's terms are aggregated before they meet the postings, so the join has one row for
     each (query, term, document); postings that no query asks for go before that."""
@@ -62,93 +62,6 @@ def bm25(corpus: DataFrame, queries: DataFrame, top_k: int = 20) -> DataFrame:
     return bm25_hits(weighed.join(wanted, "term").join(sizes, "id"), top_k)
 
 
-class LexicalIndex:
-    """Postings, lengths and term weights of a corpus, stored under a folder; one subfolder a version.
-
-    Postings are written by buckets of their term, so a search reads only the buckets that its terms are in.
-    ``build`` publishes a new version (Spark's commit) and searches use the last one; ``expire`` removes
-    those that are older than ``keep`` versions, the stored twin of dropping a cache."""
-
-    BUCKETS = 64
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(self.path)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(root):
-            return []
-        names = [status.getPath() for status in files.listStatus(root)]
-        return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v") and files.exists(hadoop.Path(p, "terms/_SUCCESS")))
-
-    def build(self, corpus: DataFrame) -> int:
-        no = max(self.versions(), default=0) + 1
-        base = f"{self.path}/v{no}"
-        bucket = F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int")
-        sizes = lengths(corpus)
-        sizes.write.mode("overwrite").parquet(f"{base}/lengths")
-        sizes = self.spark.read.parquet(f"{base}/lengths")
-        posted = postings(corpus).join(sizes, "id").withColumn("bucket", bucket)
-        posted.repartition("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/postings")
-        term_idf(self.spark.read.parquet(f"{base}/postings"), sizes).write.mode("overwrite").parquet(f"{base}/terms")
-        return no
-
-    def search(self, queries: DataFrame, top_k: int = 20) -> DataFrame:
-        """As ``bm25`` over the corpus of the last version."""
-        if not self.versions():
-            raise ValueError("the index has no version yet")
-        base = f"{self.path}/v{self.versions()[-1]}"
-        asked = query_terms(queries).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
-        weighed = asked.join(self.spark.read.parquet(f"{base}/terms"), "term")
-        return bm25_hits(weighed.join(self.spark.read.parquet(f"{base}/postings"), ["bucket", "term"]), top_k)
-
-    def expire(self, keep: int = 1) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        for no in self.versions()[:-keep]:
-            old = hadoop.Path(f"{self.path}/v{no}")
-            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
-
-
-class VectorIndex:
-    """Cells around centres that k-means fits on a bounded hash sample (``sample`` vectors); every vector is stored in
-    the cell of its nearest centre. A query looks through its ``probes`` nearest cells: approximate, and exact
-    with as many probes as centres."""
-
-    def __init__(self, vectors: DataFrame, cells: int = 16, sample: int = 20_000, rounds: int = 10):
-        """``vectors``: (id, v) of unit vectors."""
-        rate = min(1.0, sample / max(1, vectors.count()))
-        drawn = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(rate * (1 << 30))).orderBy(F.xxhash64("id")).select("v").toArrow()
-        x = np.array(drawn.column("v").to_pylist(), np.float64).reshape(drawn.num_rows, -1)
-        centres = x[: min(cells, len(x))].copy()
-        for _ in range(rounds):
-            home = (x @ centres.T).argmax(axis=1)
-            for c in range(len(centres)):
-                own = x[home == c].sum(axis=0) if (home == c).any() else centres[c]
-                centres[c] = own / (np.sqrt(own @ own) or 1.0)
-        self.centres = centres
-        self.rows = vectors.withColumn("cell", F.get(self._nearest(F.col("v"), 1), F.lit(0)))
-
-    def _nearest(self, v: Column, n: int) -> Column:
-        centres = self.centres
-
-        @F.pandas_udf("array<int>")
-        def nearest(column: pd.Series) -> pd.Series:
-            if not len(column) or not len(centres):
-                return pd.Series([[0]] * len(column))
-            far = np.stack(column.to_numpy()).astype(np.float64) @ centres.T
-            return pd.Series(list(np.argsort(-far, axis=1, kind="stable")[:, :n].astype(np.int32)))
-
-        return nearest(v)
-
-    def search(self, queries: DataFrame, top_k: int = 20, probes: int = 4) -> DataFrame:
-        """``query_id, id, score, rank`` of ``(query_id, q)``."""
-        asked = queries.withColumn("cell", F.explode(self._nearest(F.col("q"), probes)))
-        hits = self.rows.join(asked, "cell").select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
-        return ranked(hits, top_k)
-
-
 def encode(rows: DataFrame, text: str, into: str, model: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, prefix: str = "", batch: int = 32) -> DataFrame:
     """Adds unit vectors of a text column, null texts as empty. ``model`` is called once for each worker's task and
     gives a function from texts to vectors; without one, the deterministic hash embedding. Queries take a
@@ -372,6 +285,46 @@ def rerank(candidates: DataFrame, question: Column, content: Column, top_n: int
     return candidates.withColumn("score", score).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_n)
 
 
+def least_cover(positions: list[int], terms: list[int]) -> int:
+    """Tokens in the smallest window with every one of the terms that are there; 0 without any. Positions are sorted."""
+    wanted, last, best = len(set(terms)), {}, 0
+    for at, term in zip(positions, terms, strict=True):
+        last.pop(term, None)
+        last[term] = at  # in order of the last place, the earliest first
+        if len(last) == wanted:
+            size = at - last[next(iter(last))] + 1
+            best = min(best or size, size)
+    return best
+
+
+def proximity(candidates: DataFrame, question: Column, content: Column) -> DataFrame:
+    """Adds ``coverage`` (the share of the question's terms that the text has), ``cover`` (tokens of the smallest window with all of these),
+    ``pairs`` (the share of the question's neighbouring terms that the text has side by side, in order) and
+    ``score`` = (5 coverage + 3 terms found / cover + 2 pairs) / 10. A question without terms and a text without any of them score 0."""
+    rows = candidates.withColumns({"__asked": tokens(question), "__have": tokens(content)}).withColumn("__terms", F.array_distinct("__asked"))
+    beside = lambda t: F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: F.concat_ws(" ", F.get(t, i), F.get(t, i + 1)))).otherwise(F.array().cast("array<string>"))
+    placed = F.filter(F.transform("__have", lambda x, i: F.struct(i.alias("at"), F.array_position("__terms", x).cast("int").alias("no"))), lambda p: p["no"] > 0)
+    rows = rows.withColumns({"__placed": placed, "__pairs": F.array_distinct(beside(F.col("__asked"))), "__beside": beside(F.col("__have"))})
+
+    @F.pandas_udf("int")
+    def cover(at: pd.Series, no: pd.Series) -> pd.Series:
+        return pd.Series([0 if a is None else least_cover(list(a), list(n)) for a, n in zip(at, no, strict=True)])
+
+    rows = rows.withColumn("cover", cover(F.col("__placed.at"), F.col("__placed.no")))
+    found = F.size(F.array_intersect("__terms", "__have"))
+    share = lambda n, of: F.coalesce(F.try_divide(n, of), F.lit(0.0))
+    rows = rows.withColumns({"coverage": share(found, F.size("__terms")), "pairs": share(F.size(F.array_intersect("__pairs", "__beside")), F.size("__pairs"))})
+    score = (5 * F.col("coverage") + 3 * share(found, F.col("cover")) + 2 * F.col("pairs")) / 10
+    rows = rows.withColumn("score", F.coalesce(F.round(score, 6), F.lit(0.0)))
+    return rows.drop("__asked", "__have", "__terms", "__placed", "__pairs", "__beside")
+
+
+def rerank_proximity(candidates: DataFrame, question: Column, content: Column, top_n: int = 5) -> DataFrame:
+    """The best ``top_n`` of each query by ``proximity``, with ``place``; ties keep the order of ``rank``."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
+    return proximity(candidates, question, content).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_n)
+
+
 def token_entropy(posted: DataFrame) -> DataFrame:
     """``id, entropy`` of each text's terms, in nats; texts without terms have no row."""
     n, tf = F.sum("tf"), F.col("tf")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
 from ragloom.operators import catalog, chunking, evaluation, interview, layout, retrieval
+from ragloom.operators.lexical_index import LexicalIndex
 from ragloom.plans.extended import ORACLES, QUERIES
 from ragloom.plans.registry import BLOCKS, BM25, CHUNKS, FUSED, _blocks, _bm25, _corpus, _golden, _messages, _queries, _rrf, _SCORED, query
 from ragloom.session import scratch_folder
@@ -119,11 +120,23 @@ def rank_by_score(s, d):
 
 @query(f"WITH {BM25} SELECT query_id, id, score, rank FROM bm")
 def bm25_stored_index(s, d):
-    """As ``bm25_topk``, by an index that is built, built anew and searched in its last version."""
-    index = retrieval.LexicalIndex(s, scratch_folder(s, "lexical-index"))
-    index.build(_corpus(s, d).where("id % 2 = 0"))
-    index.build(_corpus(s, d))
-    index.expire()
+    """As ``bm25_topk``, by an index that gets the documents in two parts."""
+    index = LexicalIndex(s, scratch_folder(s, "lexical-index"))
+    index.add(_corpus(s, d).where("id % 2 = 0"))
+    index.add(_corpus(s, d).where("id % 2 <> 0"))
+    return index.search(_queries(s, d)).select("query_id", "id", "score", "rank")
+
+
+@query(f"WITH {BM25.replace('FROM documents', 'FROM (SELECT * FROM documents WHERE doc_id % 7 <> 3)')} SELECT query_id, id, score, rank FROM bm")
+def bm25_blockmax(s, d):
+    """Documents come in five parts, of which four are merged; a seventh of all are deleted before and after that."""
+    docs = _corpus(s, d)
+    index = LexicalIndex(s, scratch_folder(s, "lexical-index"), block_docs=64)
+    for part in range(5):
+        index.add(docs.where(F.col("id") % 5 == part))
+        if part == 2:
+            index.delete(docs.where("id % 7 = 3 and id % 5 < 3").select("id"))
+    index.delete(docs.where("id % 7 = 3").select("id"))
     return index.search(_queries(s, d)).select("query_id", "id", "score", "rank")
 
 

@@ -39,6 +39,19 @@ def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str | None =
     return out.select("user_id", F.col("s.start").alias("session_start"), "n")
 
 
+def followed_by(first: DataFrame, then: DataFrame, within: str = "1 hour", lateness: str | None = None) -> DataFrame:
+    """Each event of ``first`` with every event of ``then`` of its user that comes up to ``within`` later; one without any has a row with
+    nulls. Of streams, with ``lateness``, the state holds what may still find a partner, and a row with nulls is given
+    once the watermark tells that none can come."""
+    side = lambda rows, name: rows.select(F.col("user_id").alias(f"{name}_user"), F.col("event_id").alias(f"{name}_id"), F.col("ts").alias(f"{name}_ts"))
+    left, right = side(first, "first"), side(then, "then")
+    if lateness:
+        left, right = left.withWatermark("first_ts", lateness), right.withWatermark("then_ts", lateness)
+    near = (F.col("then_ts") >= F.col("first_ts")) & (F.col("then_ts") <= F.col("first_ts") + F.expr(f"INTERVAL {within}"))
+    joined = left.join(right, (F.col("first_user") == F.col("then_user")) & near, "leftOuter")
+    return joined.select(F.col("first_user").alias("user_id"), "first_id", "first_ts", "then_id", "then_ts")
+
+
 def conversation_state(messages: DataFrame) -> DataFrame:
     """Running state of each conversation of a stream of messages (conv_id, turn, role, text, ts): count, last time
     and first user text, a row for each conversation that a batch changes (update mode)."""

@@ -318,16 +318,6 @@ def test_percentiles_and_cumulative(spark):
     assert sorted((r.k, r.before_one, r.all_one) for r in cum.collect()) == [(1, 0, 4), (1, 0, 4), (5, 2, 4), (9, 3, 4)]
 
 
-def test_vector_index_recall(spark):
-    rows = tables.load(spark, "/root/testdata/sf0.01", "embeddings").select(F.col("vec_id").alias("id"), retrieval.unit(F.col("embedding").cast("array<double>")).alias("v"))
-    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    exact = {(r.query_id, r.id) for r in retrieval.vector_search(rows, asked, 10).collect()}
-    index = retrieval.VectorIndex(rows, cells=8)
-    found = {(r.query_id, r.id) for r in index.search(asked, 10, probes=6).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
-    assert {(r.query_id, r.id) for r in index.search(asked, 10, probes=8).collect()} == exact and index.rows.count() == rows.count()
-
-
 def test_encoder_is_called_in_batches(spark):
     rows = spark.createDataFrame([(i, "x" * i if i else None) for i in range(70)], "id long, t string")
 
