@@ -17,12 +17,14 @@ each block are compared with the query exactly.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Folders of a segment, and the most cells: what a task holds of the centres is bounded by these.
 BUCKETS, MOST_CELLS = 256, 1 << 16
@@ -106,8 +108,8 @@ class Codebook:
         return out
 
 
-def _matrix(column, dims: int) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), dims)
+def _matrix(column) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
 class VectorIndex:
@@ -138,7 +140,7 @@ class VectorIndex:
         if self._book is None:
             rows = self.spark.read.schema(_CODEBOOK).parquet(f"{self.path}/codebook").collect()
             pick = lambda level: sorted((r for r in rows if r.level == level), key=lambda r: (r.part, r.no))
-            coarse = np.array([r.centre for r in pick(0)])
+            coarse = np.array([r.centre for r in pick(0)]).reshape(len(pick(0)), -1) if pick(0) else np.empty((0, 0))
             fine = {c: np.array([r.centre for r in pick(1) if r.part == c]) for c in range(len(coarse))}
             words = [np.array([r.centre for r in pick(2) if r.part == p]) for p in sorted({r.part for r in pick(2)})]
             self._book = self.spark.sparkContext.broadcast(Codebook(coarse, fine, words))
@@ -162,10 +164,10 @@ class VectorIndex:
         def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(nearest(_matrix(batch.column(0), dims), coarse)[:, 0].astype(np.int32)), batch.column(0)], ["part", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(nearest(_matrix(batch.column(0)), coarse)[:, 0].astype(np.int32)), batch.column(0)], ["part", "v"])
 
         def split(key: tuple, own: pa.Table) -> pa.Table:
-            centres = k_means(_matrix(own.column("v").combine_chunks(), dims), per)
+            centres = k_means(_matrix(own.column("v").combine_chunks()), per)
             return pa.table({"level": pa.array([1] * len(centres), pa.int32()), "no": pa.array(range(len(centres)), pa.int32()), "part": pa.array([key[0].as_py()] * len(centres), pa.int32()), "centre": pa.array(centres.tolist(), pa.list_(pa.float64()))})
 
         found = [(0, no, 0, c) for no, c in enumerate(coarse.tolist())]
@@ -195,7 +197,7 @@ class VectorIndex:
         """One segment in place of all; what was hidden is gone. Older tables go after the new one is committed."""
         segments, gone = self._state()
         no = self._next()
-        self._dealt(self.rows().drop("segment")).write.partitionBy("bucket").parquet(f"{self.path}/whole-{no}")
+        self._store(self.rows().drop("segment", "bucket"), f"whole-{no}")
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         for kind, numbers in (("whole", segments), ("seg", segments), ("gone", gone)):
             for old in numbers:
@@ -211,13 +213,15 @@ class VectorIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 own = book.value
-                x = _matrix(batch.column(at), own.coarse.shape[1]) if batch.num_rows else np.empty((0, own.coarse.shape[1]))
+                x = _matrix(batch.column(at))
                 cell = own.cell(x)
                 codes = own.encode(x, cell)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(own.angle(x, cell))], [*batch.schema.names, "cell", "code", "angle"])
 
-        self._dealt(rows.mapInArrow(run, schema)).write.partitionBy("bucket").parquet(f"{self.path}/{kind}-{self._next()}")
+        self._store(rows.mapInArrow(run, schema), f"{kind}-{self._next()}")
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
         """By ranges of cell and id, so that a large cell is written by several tasks."""
@@ -230,16 +234,27 @@ class VectorIndex:
         segments, gone = self._state()
         if not segments:
             raise ValueError(f"{self.path} has no segment yet")
-        out = None
+        out, whole = None, self._committed("whole")
         for no in segments:
-            kind = "whole" if no in self._committed("whole") else "seg"
-            part = self.spark.read.parquet(f"{self.path}/{kind}-{no}").withColumn("segment", F.lit(no))
+            kind = "whole" if no in whole else "seg"
+            schema = self._schema(f"{kind}-{no}")
+            part = self.spark.read.schema(schema).parquet(f"{self.path}/{kind}-{no}").withColumn("segment", F.lit(no))
             later = [n for n in gone if n > no]
             for n in later:
                 part = part.join(self.spark.read.parquet(f"{self.path}/gone-{n}"), "id", "left_anti")
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out
 
+    def _schema(self, name: str) -> StructType:
+        """The schema that was stored with a segment; one without rows has no file to tell it."""
+        return StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/schema-{name}", wholetext=True).first().value))
+
+    def _store(self, rows: DataFrame, name: str) -> None:
+        dealt = self._dealt(rows)
+        told = self.spark.createDataFrame([(dealt.schema.json(),)], "value string")
+        told.coalesce(1).write.mode("overwrite").text(f"{self.path}/schema-{name}")
+        dealt.write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+
     def count(self) -> int:
         return self.rows().count()
 
@@ -250,7 +265,7 @@ class VectorIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    cells = book.value.probes(_matrix(batch.column(1), book.value.coarse.shape[1]), probes)
+                    cells = book.value.probes(_matrix(batch.column(1)), probes)
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.astype(np.int32).tolist() for c in cells], pa.list_(pa.int32()))], ["query_id", "q", "cells"])
 
         asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
@@ -280,9 +295,8 @@ class VectorIndex:
             held, asks = own.num_rows, queries.num_rows
             if not held or not asks:
                 return out.empty_table()
-            dims = book.value.coarse.shape[1]
-            x = _matrix(own.column("v").combine_chunks(), dims)
-            q = _matrix(queries.column("q").combine_chunks(), dims)
+            x = _matrix(own.column("v").combine_chunks())
+            q = _matrix(queries.column("q").combine_chunks())
             codes = np.frombuffer(b"".join(own.column("code").to_pylist()), np.uint8).reshape(held, -1)
             who, which, score = [], [], []
             for no in range(asks):
@@ -323,12 +337,12 @@ class VectorIndex:
         kind = queries.schema["query_id"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centres = book.value.centres
+            centres = book.value.centres if len(book.value.centres) else np.zeros((1, 1))
             norm = np.sqrt((centres * centres).sum(axis=1))
             for batch in batches:
                 for no in range(batch.num_rows):
                     q = np.array(batch.column(1)[no].as_py())
-                    cosine = (centres @ q) / np.where(norm > 0, norm, 1.0) / (np.sqrt(q @ q) or 1.0)
+                    cosine = (centres @ q if norm.any() else np.zeros(len(norm))) / np.where(norm > 0, norm, 1.0) / (np.sqrt(q @ q) or 1.0)
                     same = pa.array(np.full(len(centres), no))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(np.arange(len(centres), dtype=np.int32)), pa.array(cosine)], ["query_id", "q", "cell", "cosine"])
 
