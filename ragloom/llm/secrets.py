@@ -127,14 +127,37 @@ class BlobLedger:
         paths = [f"{self._home}/findings/batch-{no}" for no in self.batches()]
         return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
 
+    def paths(self) -> DataFrame:
+        """``(path, blob)``: every content that any batch had at a path, each once, whatever the rule version."""
+        kind = self._path_kind()
+        if kind is None:
+            return self.spark.createDataFrame([], "path string, blob string")
+        stored = [p for _, p in sorted(committed(self.spark, f"{self.path}/paths").items())]
+        return self.spark.read.schema(f"path {kind}, blob string").parquet(*stored).distinct()
+
+    def _path_kind(self) -> str | None:
+        stored = committed(self.spark, f"{self.path}/paths")
+        return self.spark.read.parquet(next(iter(stored.values()))).schema["path"].dataType.simpleString() if stored else None
+
+    def path_findings(self) -> DataFrame:
+        """``(path, blob, kind_no, start, end)``: this rule version's findings at every path that ever had the blob. The paths of
+        a blob that very many have are dealt over several tasks."""
+        paths, found = self.paths(), self.findings()
+        held = found.groupBy("blob").agg(F.collect_list(F.struct("kind_no", "start", "end")).alias("found"))
+        hot = hot_blocks(paths.groupBy("blob").agg(F.count("*").alias("n")), "blob")
+        return join_dealt(paths, held, "blob", hot, ["path"]).select("path", "blob", F.explode("found").alias("f")).select("path", "blob", "f.*")
+
     def add(self, versions: DataFrame, path_col: str, text_col: str, addresses: DataFrame | None = None) -> int:
         """Scans the blobs of a batch of versions that this rule version hasn't; returns their number.
 
         ``addresses``, ``(path, blob)`` of the same versions, saves reading their texts to address them."""
         rows = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
         rows = rows.withColumn("blob", blob_id(F.col("text")))
+        addresses = rows.select("path", "blob") if addresses is None else addresses.select("path", "blob")
+        no = len(committed(self.spark, f"{self.path}/paths"))
+        addresses.where("path is not null").distinct().write.mode("overwrite").parquet(f"{self.path}/paths/batch-{no}")
         # one path stands for the blob; equal rows of one path are the same content
-        first = (rows if addresses is None else addresses).groupBy("blob").agg(F.min(F.struct("path")).alias("path"))
+        first = addresses.groupBy("blob").agg(F.min(F.struct("path")).alias("path"))
         first = first.join(self.scanned(), "blob", "left_anti")
         no = max(self.batches(), default=-1) + 1
         pending = f"{self._home}/pending/batch-{no}"
