@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The public defaults of Okapi BM25 and of reciprocal rank fusion.
+# The public defaults of Okapi BM25 and of reciprocal rank fusion, and texts that callers rely on.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+REFUSAL = "文档中未提及该问题。"
 QUERY_PREFIX = "为这个句子生成表示以用于检索相关文章："
 
 
@@ -188,15 +189,19 @@ def retrieve(
     scorer: Callable[[Column, Column], Column] | None = None,
     reranked: bool = True,
     model: Callable | None = None,
+    hits: tuple[DataFrame, DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The whole chain: filtered children (id, parent_id, content) by vectors and by words, fused, one of each parent,
     re-ranked (``scorer`` of question and content; the share of common terms by default), with their parents'
     texts. Gives ``contexts`` (query_id, index, id, parent_id, content, score, snippet) and ``outcomes`` (query_id,
-    top_score, refused, reason) of every query; refused ones have no contexts."""
+    top_score, refused, reason) of every query; refused ones have no contexts. ``hits``, of vectors and of words, come from
+    stored indexes (see ``store``); without them all children are compared with all queries, which is for few of either."""
     corpus = children if where is None else children.where(where)
-    asked = encode(queries, "question", "q", model, QUERY_PREFIX if model else "").select("query_id", "q")
-    vectors = encode(corpus, "content", "v", model).select("id", "v")
-    fused = fuse([("vector", vector_search(vectors, asked, top_k)), ("bm25", bm25(corpus, queries, top_k))])
+    if hits is None:
+        asked = encode(queries, "question", "q", model, QUERY_PREFIX if model else "").select("query_id", "q")
+        vectors = encode(corpus, "content", "v", model).select("id", "v")
+        hits = vector_search(vectors, asked, top_k), bm25(corpus, queries, top_k)
+    fused = fuse([("vector", hits[0]), ("bm25", hits[1])])
     held = fused.join(corpus.select("id", "parent_id", "content"), "id")
     best = dedupe_parents(held)
     if reranked:
@@ -237,12 +242,26 @@ def rewrite_prompt(question: Column, history: Column) -> Column:
     return F.concat(F.lit("【最近的对话】\n"), F.array_join(F.transform(recent, line), "\n"), F.lit("\n\n【用户的新问题】\n"), question, F.lit("\n\n请输出改写后的、自包含的检索查询："))
 
 
-def answer(queries: DataFrame, contexts_of: DataFrame, outcomes: DataFrame, generate: Callable[[Column], Column] | None = None) -> DataFrame:
+def rewritten(queries: DataFrame, rewrite: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``query_id, question, search``: what is looked for. A question that needs it, and has a ``history`` of (role, content) before it, is
+    rewritten by ``rewrite``, a model of the prompt; without one, or if nothing is left of what it says, it stays."""
+    from ragloom.functions.text import clean_rewrite, needs_rewrite
+
+    if rewrite is None or "history" not in queries.columns:
+        return queries.select("query_id", "question", F.col("question").alias("search"))
+    needed = needs_rewrite(F.col("question")) & (F.coalesce(F.size("history"), F.lit(0)) > 0)
+    told = clean_rewrite(rewrite(rewrite_prompt(F.col("question"), F.col("history"))), F.col("question"))
+    return queries.select("query_id", "question", F.when(needed, told).otherwise(F.col("question")).alias("search"))
+
+
+def answer(queries: DataFrame, contexts_of: DataFrame, outcomes: DataFrame, generate: Callable[[Column], Column] | None = None, sources: DataFrame | None = None) -> DataFrame:
     """One row for each query: ``prompt``, ``answer`` without invented citations, ``citations`` (index, id, snippet) by
-    index, ``refused`` and ``reason``. ``generate`` stands for a model; without one the answer cites the first context."""
+    index, ``refused`` and ``reason``. ``generate`` stands for a model; without one the answer cites the first context.
+    ``sources``: id, filename, page_start, page_end, section_path of the contexts; what isn't there is told by its id, as page 1."""
     from ragloom.functions.text import strip_citations, valid_citations
 
-    named = contexts_of.select("*", F.col("id").cast("string").alias("filename"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit("").alias("section_path"))
+    known = contexts_of.join(sources, "id", "left") if sources is not None else contexts_of.withColumns({"filename": F.lit(None).cast("string"), "page_start": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int"), "section_path": F.lit(None).cast("string")})
+    named = known.withColumns({"filename": F.coalesce("filename", F.col("id").cast("string")), "page_start": F.coalesce("page_start", F.lit(1)), "page_end": F.coalesce("page_end", "page_start", F.lit(1)), "section_path": F.coalesce("section_path", F.lit(""))})
     listed = contexts_of.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("index", F.col("id").cast("string").alias("id"), "snippet"))).alias("given"))
     rows = queries.join(outcomes, "query_id").join(context_block(named), "query_id", "left").join(listed, "query_id", "left")
     rows = rows.withColumn("prompt", user_prompt(F.col("question"), F.col("context_block")))
@@ -255,11 +274,22 @@ def answer(queries: DataFrame, contexts_of: DataFrame, outcomes: DataFrame, gene
 
 
 def answer_events(answers: DataFrame) -> DataFrame:
-    """``query_id, seq, event, data``: what a client would be sent for each answer, in order."""
-    one = lambda name, data: F.struct(F.lit(name).alias("event"), data.alias("data"))
-    told = F.array(one("sources", F.to_json("citations")), one("token", F.col("answer")), one("citations", F.to_json(F.transform("citations", lambda c: c["index"]))), one("done", F.lit("{}")))
-    refused = F.array(one("refused", F.col("reason")), one("done", F.lit("{}")))
-    return answers.select("query_id", F.posexplode(F.when(F.col("refused"), refused).otherwise(told)).alias("seq", "e")).select("query_id", "seq", "e.event", "e.data")
+    """``query_id, seq, event, data``: what a client would be sent for each answer, in order: its conversation, the stages (rewriting, where
+    there is a column ``search``, and retrieval), then the sources, the answer, its citations and the end, or for a refusal its
+    text and the end. ``conv_id`` names the conversation, if it is there; where a column ``error`` isn't null, it comes last."""
+    has = lambda name: F.col(name) if name in answers.columns else F.lit(None).cast("string")
+    one = lambda name, *data: F.struct(F.lit(name).alias("event"), F.to_json(F.struct(*data)).alias("data"))
+    search = F.coalesce(has("search"), F.col("question"))
+    none = F.array().cast("array<struct<event:string,data:string>>")
+    cited = F.coalesce("citations", F.array().cast(answers.schema["citations"].dataType))
+    head = F.array(one("conversation", F.coalesce(has("conv_id").cast("string"), F.col("query_id").cast("string")).alias("conversation_id")))
+    rewrite = F.when(has("search").isNotNull(), F.array(one("stage", F.lit("rewrite").alias("stage"), (F.trim(search) != F.trim("question")).alias("rewritten"), search.alias("search_query")))).otherwise(none)
+    found = F.array(one("stage", F.lit("retrieval").alias("stage"), F.size(cited).alias("cited"), F.col("refused").alias("refused")))
+    done = lambda text: one("done", text.alias("answer"), F.col("refused").alias("refused"), F.col("reason").alias("reason"), search.alias("search_query"))
+    said = F.array(one("sources", cited.alias("sources")), one("token", F.col("answer").alias("text")), one("citations", F.transform(cited, lambda c: c["index"]).alias("citations")), done(F.col("answer")))
+    refused = F.array(one("token", F.lit(REFUSAL).alias("text")), done(F.lit(REFUSAL)))
+    rest = F.when(has("error").isNotNull(), F.array(one("error", has("error").alias("message")))).otherwise(F.concat(found, F.when(F.col("refused"), refused).otherwise(said)))
+    return answers.select("query_id", F.posexplode(F.concat(head, rewrite, rest)).alias("seq", "e")).select("query_id", "seq", "e.event", "e.data")
 
 
 def refusals(queries: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:

@@ -136,6 +136,9 @@ class VectorIndex:
     def _next(self) -> int:
         return max([0, *self._committed("seg"), *self._committed("gone"), *self._committed("whole")]) + 1
 
+    def built(self) -> bool:
+        return bool(self._committed("whole"))
+
     def book(self) -> Codebook:
         if self._book is None:
             rows = self.spark.read.schema(_CODEBOOK).parquet(f"{self.path}/codebook").collect()

@@ -1,4 +1,4 @@
-"""Structured Streaming twins: incremental ingest, event windows, sessions."""
+"""Structured Streaming twins: incremental ingest, event windows, sessions, interval joins, keyed states."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ragloom.operators.chunking import ChunkParams, chunk
+from ragloom.operators.store import DocumentStore
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -25,6 +26,14 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, param
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_into(store: DocumentStore, source: str, checkpoint: str) -> StreamingQuery:
+    """Cleans, cuts and indexes new documents as their files come (``DocumentStore.ingest``). A batch that runs again after a loss
+    replaces its own documents."""
+    stream = store.spark.readStream.schema(DOCS).parquet(source)
+    told = stream.select("doc_id", "text", F.col("source").alias("filename"))
+    return told.writeStream.foreachBatch(lambda batch, no: store.ingest(batch) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def event_windows(events: DataFrame, size: str = "1 day", lateness: str | None = None) -> DataFrame:
     """Count and sum of values by type and tumbling window; with ``lateness`` for a stream."""
     rows = events.withWatermark("ts", lateness) if lateness else events

@@ -344,7 +344,9 @@ def test_retrieve_and_answer(spark):
     assert got[1].answer == "Seal [1], not." and [c["index"] for c in got[1].citations] == [1] and got[3].answer is None and got[3].refused
     assert "【用户问题】\npump seal" in got[1].prompt
     events = retrieval.answer_events(said).orderBy("query_id", "seq").collect()
-    assert [e.event for e in events if e.query_id == 1] == ["sources", "token", "citations", "done"] and [e.event for e in events if e.query_id == 3] == ["refused", "done"]
+    assert [e.event for e in events if e.query_id == 1] == ["conversation", "stage", "sources", "token", "citations", "done"] and [e.event for e in events if e.query_id == 3] == ["conversation", "stage", "token", "done"]
+    told = retrieval.answer_events(said.withColumns({"search": F.lit("other"), "error": F.when(F.col("query_id") == 2, "broken")})).orderBy("query_id", "seq").collect()
+    assert [e.event for e in told if e.query_id == 2] == ["conversation", "stage", "error"] and '"rewritten":true' in told[1].data
     plain, _ = retrieval.retrieve(children, queries, parents, reranked=False)
     assert plain.count() > 0
 
