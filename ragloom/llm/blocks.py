@@ -13,6 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch_path
+from .text_kernels import mix
+
+
+#: Bits of the sieve that stands before the blocks, as a power of two: 4 MB at any number of keys.
+SIEVE_BITS = 25
+
+
+def _hole(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
 
 
 def block_bits(rows: int, block_rows: int) -> int:
@@ -50,22 +59,30 @@ class KeyBlocks:
         rows.write.partitionBy("block").parquet(path)
         stored = spark.read.schema(rows.schema).parquet(path)
         self.blocks: list[Broadcast] = []
+        sieve = np.zeros(1 << SIEVE_BITS, bool)
         for no in range(1 << self.bits):
             part = stored.where(F.col("block") == no).select("key", "value").toArrow()
             keys = part.column("key").to_numpy().astype(np.int64).view(np.uint64)
             order = np.argsort(keys)
             values = part.column("value").to_numpy().astype(np.int64)
             self.blocks.append(spark.sparkContext.broadcast((keys[order], values[order])))
+            sieve[_hole(keys)] = True
+        self.sieve = spark.sparkContext.broadcast(np.packbits(sieve, bitorder="little"))
 
     def finder(self) -> KeyFinder:
-        return KeyFinder(self.blocks, self.bits)
+        return KeyFinder(self.blocks, self.bits, self.sieve)
 
 
 class KeyFinder:
     """What goes to the tasks of a ``KeyBlocks``."""
 
-    def __init__(self, blocks: list[Broadcast], bits: int):
-        self.blocks, self.bits = blocks, bits
+    def __init__(self, blocks: list[Broadcast], bits: int, sieve: Broadcast):
+        self.blocks, self.bits, self.sieve = blocks, bits, sieve
+
+    def may_have(self, keys: np.ndarray) -> np.ndarray:
+        """False for most keys that are in no block; keys may repeat and come in any order."""
+        at = _hole(keys)
+        return (self.sieve.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The values of sorted distinct keys; 0 where there is none."""

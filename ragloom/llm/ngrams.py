@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -27,20 +28,24 @@ def slices(text: bytes, cut=_SPACE, size: int = 1 << 20) -> Iterator[bytes]:
         at = end
 
 
-def chunks(pieces: Iterator[tuple[int, np.ndarray]], overlap: int, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """``(tokens, owners, fresh)``: consecutive pieces ``(owner, tokens)`` joined to chunks of about ``size`` tokens. The first
-    ``fresh`` tokens are the last ``overlap`` ones of the chunk before."""
-    kept, owners, n, fresh = [], [], 0, 0
-    for owner, tokens in pieces:
-        kept.append(tokens), owners.append(np.full(len(tokens), owner, np.int64))
-        n += len(tokens)
+def _joined(parts: list) -> np.ndarray | list:
+    return list(chain.from_iterable(parts)) if isinstance(parts[0], list) else np.concatenate(parts)
+
+
+def chunks(pieces: Iterator[tuple], overlap: int, size: int = 1 << 20) -> Iterator[tuple]:
+    """Consecutive pieces, tuples of columns (arrays or lists, one item a token), joined to chunks of about ``size`` tokens: the
+    chunk's columns, and how many of its first tokens are the last ``overlap`` ones of the chunk before."""
+    kept, n, fresh = [], 0, 0
+    for piece in pieces:
+        kept.append(piece)
+        n += len(piece[0])
         if n >= size + fresh:
-            whole, own = np.concatenate(kept), np.concatenate(owners)
-            yield whole, own, fresh
-            fresh = min(overlap, len(whole))
-            kept, owners, n = [whole[len(whole) - fresh :]], [own[len(own) - fresh :]], fresh
+            whole = [_joined(column) for column in zip(*kept, strict=True)]
+            yield (*whole, fresh)
+            fresh = min(overlap, n)
+            kept, n = [tuple(column[n - fresh :] for column in whole)], fresh
     if n > fresh:
-        yield np.concatenate(kept), np.concatenate(owners), fresh
+        yield (*[_joined(column) for column in zip(*kept, strict=True)], fresh)
 
 
 def gram_keys(tokens: np.ndarray, order: int) -> list[np.ndarray]:
@@ -51,11 +56,3 @@ def gram_keys(tokens: np.ndarray, order: int) -> list[np.ndarray]:
             before = keys[-1][: max(0, len(tokens) - k)]
             keys.append(mix(before * _STEP + tokens[k:] + np.uint64(k)))
     return keys
-
-
-def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how often each is there."""
-    if weights is None:
-        return np.unique(keys, return_counts=True)
-    found, place = np.unique(keys, return_inverse=True)
-    return found, np.bincount(place, weights, len(found)).astype(np.int64)

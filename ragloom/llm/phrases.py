@@ -1,25 +1,26 @@
 """Collocations: phrases of two to four words that stay together, by language.
 
 1. A sketch counts hashed words and word pairs of all texts: its cells are dealt in ranges of 4 million counters, and
-   each range is summed by one task. A cell's count is an upper bound for each phrase that falls into it. A second
-   sketch counts those longer phrases of which every pair of neighbours may be frequent.
-2. Phrases whose bounds all reach the threshold are the candidates: every phrase that is frequent enough, and
-   a few that aren't.
-3. The candidates, each between delimiters, are dealt into blocks of bounded size. A block is compiled into one
-   Aho-Corasick automaton for each language, and every shard of the texts runs through it; matches may overlap. The
-   counts are summed and the threshold applied, so all that follows is exact.
-4. Cuts, containment and ranks are joins and aggregates of the counted phrases.
-
-The texts are read three times and once more for each block. Chunks of text have bounded size and overlap
-where they are cut, so no text needs to fit into one. The cells that reach the threshold, and the blocks of candidates,
-pass the driver one bounded block at a time.
+   each range is summed by one task. A cell's count is an upper bound for each phrase that falls into it.
+2. Texts are cut into runs: words whose bound reaches the threshold, joined where their pair's bound does as well. Every
+   place of a frequent phrase lies in a run, so equal runs are counted and only distinct ones go on.
+3. A second sketch counts the phrases of three and four words in the runs. Phrases of which all bounds reach the
+   threshold are the candidates: every phrase that is frequent enough, and a few that aren't.
+4. The candidates, each between delimiters, are dealt into blocks of bounded size. A block is compiled into one
+   Aho-Corasick automaton for each language, and every shard of the runs goes through it; matches may overlap and count as
+   often as their run is there. The counts are summed and the threshold applied, so all that follows is exact.
+5. Cuts, containment and ranks are joins and aggregates of the counted phrases.
+
+The texts are read twice, and the runs once for each block. Chunks of text have bounded size: a chunk starts with the last
+three words of the one before, and the run of these is counted once less, so no text needs to fit into a chunk. The
+cells that reach the threshold, and the blocks of candidates, pass the driver one bounded block at a time.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from math import isqrt
 from operator import itemgetter
@@ -27,6 +28,7 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,7 +46,6 @@ _TABLE = bytes.maketrans(b"\t" + _CUTS, b" " + b"\n" * len(_CUTS))
 _CUT = b"\n"
 _MARK = np.uint64(WordHashes(SEED)[_CUT])
 _BLANK = re.compile(b" ").search
-_RUNS = re.compile(b"  +")
 
 
 def _told(text: bytes) -> bytes:
@@ -52,44 +53,59 @@ def _told(text: bytes) -> bytes:
     return b" \n " + text.lower().translate(_TABLE).replace(_CUT, b" \n ")
 
 
+class _Chunk:
+    """Tokens of a piece of the stream with the languages' numbers, the weights of their rows and the words; ``keys`` and
+    ``whole`` of phrases of 1 to 4 words, by first place: the key, and whether it crosses no cut."""
+
+    def __init__(self, tokens: np.ndarray, lang: np.ndarray, weight: np.ndarray, words: list[bytes], fresh: int, langs: list[str], longest: int):
+        self.tokens, self.lang, self.weight, self.words, self.fresh = tokens, lang, weight, words, fresh
+        salt = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), SEED) for x in langs], np.uint64)[lang]
+        inner = tokens != _MARK
+        self.keys, self.whole = [], []
+        for k, plain in enumerate(gram_keys(tokens, longest)):
+            with np.errstate(over="ignore"):
+                self.keys.append(mix(plain + salt[: len(plain)] * np.uint64(2 * k + 3)))
+            self.whole.append(inner if k == 0 else self.whole[-1][: len(plain)] & inner[k:])
+
+    def ends_new(self, k: int) -> np.ndarray:
+        """Which phrases of k words are whole and end in the new part of the chunk."""
+        return self.whole[k - 1] & (np.arange(len(self.whole[k - 1])) + k - 1 >= self.fresh)
+
+
 class _Stream:
-    """Chunks of the tokens of Arrow batches (lang, text), with the languages' hashes and the words' names if wanted."""
+    """Chunks of the tokens of Arrow batches (lang, text, weight); the weight may be left out, and so may the words."""
 
-    def __init__(self, batches: Iterator[pa.RecordBatch], named: bool = False):
-        self.batches, self.named = batches, named
-        self.names: dict[int, bytes] = {}
+    def __init__(self, batches: Iterator[pa.RecordBatch], size: int, longest: int = LONGEST, named: bool = False):
+        self.batches, self.size, self.longest, self.named = batches, size, longest, named
         self.langs: list[str] = []
         self.number: dict[str, int] = {}
 
-    def _pieces(self) -> Iterator[tuple[int, np.ndarray]]:
+    def _pieces(self) -> Iterator[tuple]:
         hashes = WordHashes(SEED)
+
+        def piece(words: list[bytes], lang: np.ndarray | int, weight: np.ndarray | int) -> tuple:
+            told = hashes.of(words), np.full(len(words), lang, np.int32), np.full(len(words), weight, np.int64)
+            return (*told, words) if self.named else told
+
         for part in row_slices(self.batches):
-            for lang, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
-                if lang not in self.number:
-                    self.number[lang] = len(self.langs)
-                    self.langs.append(lang)
-                for piece in slices(_told(text), _BLANK):
-                    words = list(filter(None, piece.split(b" ")))
-                    tokens = hashes.of(words)
-                    if self.named:
-                        self.names.update(zip(tokens.tolist(), words, strict=True))
-                    yield self.number[lang], tokens
-
-    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-        """``tokens, owners, keys, whole``: for phrases of 1 to 4 words, by first place, their keys, and which are phrases that
-        end in the new part of the chunk and cross no cut."""
-        for tokens, owners, fresh in chunks(self._pieces(), LONGEST - 1, 1 << 19):
-            salt = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), SEED) for x in self.langs], np.uint64)[owners]
-            inner = tokens != _MARK
-            keys, whole = [], []
-            for k, plain in enumerate(gram_keys(tokens, LONGEST), 1):
-                with np.errstate(over="ignore"):
-                    keys.append(mix(plain + salt[: len(plain)] * np.uint64(2 * k + 1)))
-                fits = inner if k == 1 else whole[-1][: len(plain)] & inner[k - 1 :]
-                whole.append(fits)
-            yield tokens, owners, keys, [fits & (np.arange(len(fits)) + k >= fresh) for k, fits in enumerate(whole)]
-            if self.named:
-                self.names = {t: self.names[t] for t in tokens[-LONGEST:].tolist()}
+            langs = [self.number.setdefault(x, len(self.number)) for x in part.column(0).to_pylist()]
+            self.langs = list(self.number)
+            weights = part.column(2).to_pylist() if part.num_columns > 2 else [1] * len(langs)
+            words, sizes, at = [], [], []
+            for no, text in enumerate(utf8(part.column(1))):
+                if len(text) <= 1 << 16:
+                    own = list(filter(None, _told(text).split(b" ")))
+                    words += own
+                    sizes.append(len(own)), at.append(no)
+                    continue
+                for some in slices(_told(text), _BLANK):
+                    yield piece(list(filter(None, some.split(b" "))), langs[no], weights[no])
+            if at:
+                yield piece(words, np.repeat([langs[i] for i in at], sizes), np.repeat([weights[i] for i in at], sizes))
+
+    def __iter__(self) -> Iterator[_Chunk]:
+        for *columns, fresh in chunks(self._pieces(), LONGEST - 1, self.size):
+            yield _Chunk(*columns[:3], columns[3] if self.named else [], fresh, self.langs, self.longest)
 
 
 class Bound:
@@ -99,30 +115,35 @@ class Bound:
         self.cells, self.shift = cells, np.uint64(64 - bits)
 
     def reached(self, keys: np.ndarray, which: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), bool)
+        which = which.copy()
+        which[which] = self.cells.may_have(keys[which] >> self.shift << self.shift)
         found, place = np.unique(keys[which] >> self.shift << self.shift, return_inverse=True)
-        out[which] = (self.cells.find(found) > 0)[place]
-        return out
+        which[which] = (self.cells.find(found) > 0)[place]
+        return which
 
 
-def sketch(rows: DataFrame, pick, bits: int, threshold: int) -> Bound:
-    """Counts the keys that ``pick`` gives for a chunk in ``2**bits`` cells, and keeps the cells that reach ``threshold``.
-
-    A chunk's count of a cell is cut at the threshold: more of it can't change which cells reach it."""
+def sketch(rows: DataFrame, pick: Callable[[_Chunk], list[tuple[np.ndarray, np.ndarray | None]]], longest: int, bits: int, threshold: int, size: int) -> Bound:
+    """Counts the keys, with weights if there are any, that ``pick`` gives for a chunk in ``2**bits`` cells, and keeps the cells that reach ``threshold``."""
     local = min(RANGE_BITS, bits)
-    narrow = np.uint8 if threshold < 256 else np.uint32
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, keys, whole in _Stream(batches):
-            cells, n = np.unique(np.concatenate(pick(keys, whole)) >> np.uint64(64 - bits), return_counts=True)
+        for chunk in _Stream(batches, size, longest):
+            keys, weights = zip(*pick(chunk), strict=True)
+            inside = np.concatenate(keys) >> np.uint64(64 - bits)
+            if weights[0] is None:
+                cells, n = np.unique(inside, return_counts=True)
+            else:
+                cells, place = np.unique(inside, return_inverse=True)
+                n = np.bincount(place, np.concatenate(weights), len(cells)).astype(np.int64)
+            # a byte holds most counts; the others stand apart
             part = (cells >> np.uint64(local)).astype(np.int64)
             inside = (cells & np.uint64((1 << local) - 1)).astype(np.uint32)
-            n = np.minimum(n, threshold).astype(narrow)
             own, first = np.unique(part, return_index=True)
             edges = np.append(first, len(part)).tolist()
             for at in range(0, len(own), 256):
                 spans = [slice(a, b) for a, b in zip(edges[at : at + 256], edges[at + 1 : at + 257], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(own[at : at + 256]), pa.array([inside[s].tobytes() for s in spans], pa.binary()), pa.array([n[s].tobytes() for s in spans], pa.binary())], ["part", "cells", "n"])
+                big = [n[s] if np.abs(n[s]).max() > 127 else n[s].astype(np.int8) for s in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(own[at : at + 256]), pa.array([inside[s].tobytes() for s in spans], pa.binary()), pa.array([b.tobytes() for b in big], pa.binary())], ["part", "cells", "n"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counters = None, np.zeros(1 << local, np.int64)
@@ -139,7 +160,7 @@ def sketch(rows: DataFrame, pick, bits: int, threshold: int) -> Bound:
                         yield told()
                     own = no
                     counters[:] = 0
-                counters[np.frombuffer(cells, np.uint32)] += np.frombuffer(n, narrow)
+                counters[np.frombuffer(cells, np.uint32)] += np.frombuffer(n, np.int8 if 4 * len(n) == len(cells) else np.int64)
         if own is not None:
             yield told()
 
@@ -147,57 +168,96 @@ def sketch(rows: DataFrame, pick, bits: int, threshold: int) -> Bound:
     return Bound(KeyBlocks(written(summed.mapInArrow(total, "key long, value long"), "cells")).finder(), bits)
 
 
-def _longer(keys: list[np.ndarray], whole: list[np.ndarray], short: Bound) -> list[np.ndarray]:
-    """Which phrases of 1 to 4 words may be frequent as far as their words and pairs tell. Places before the new part
-    of a chunk count as well, as parts of phrases that end there."""
-    one = short.reached(keys[0], np.ones(len(keys[0]), bool))
-    pair = short.reached(keys[1], one[:-1] & one[1:]) if len(keys[1]) else np.zeros(0, bool)
-    three = pair[:-1] & pair[1:] if len(pair) > 1 else pair[:0]
-    four = three[:-1] & pair[2:] if len(three) > 1 else three[:0]
-    return [one, pair, three, four]
-
-
-def candidates(rows: DataFrame, min_count: int, cell_bits: int) -> DataFrame:
-    """``lang, phrase, n`` of the candidates and the words that they consist of (``n`` is 0), and for each language one
-    row with a null phrase and its number of words."""
-    short = sketch(rows, lambda keys, whole: [k[w] for k, w in zip(keys[:2], whole[:2], strict=True)], cell_bits, min_count)
+def text_runs(rows: DataFrame, short: Bound, size: int) -> DataFrame:
+    """``lang, run, n``: the runs of all texts and how often each is there, and for each language one row with a null
+    run and its number of words. A run may be there a negative number of times, where it is part of others that overlap."""
 
-    def long_keys(keys: list[np.ndarray], whole: list[np.ndarray]) -> list[np.ndarray]:
-        may = _longer(keys, whole, short)
-        return [keys[k][may[k] & whole[k]] for k in (2, 3)]
-
-    long = sketch(rows, long_keys, cell_bits, min_count)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = _Stream(batches, size, 2, named=True)
+        for chunk in stream:
+            one = short.reached(chunk.keys[0], chunk.whole[0])
+            pair = short.reached(chunk.keys[1], one[:-1] & one[1:]) if len(one) > 1 else one[:0]
+            langs, told, times = [], [], []
+            for stop, sign in ((len(one), 1), (chunk.fresh, -1)):
+                at = np.flatnonzero(one[:stop])
+                begins = at[~np.concatenate([[False], pair])[at]]
+                length = at[~np.concatenate([pair[: max(0, stop - 1)], [False]])[at]] + 1 - begins
+                for few in (1, 2):  # most runs: their keys tell them apart
+                    short_ones = begins[length == few]
+                    _, first, n = np.unique(chunk.keys[few - 1][short_ones], return_index=True, return_counts=True)
+                    langs.append(chunk.lang[short_ones[first]]), times.append(sign * n)
+                    told += [b" ".join(chunk.words[i : i + few]) for i in short_ones[first].tolist()]
+                for lang in np.unique(chunk.lang):
+                    own = (length > 2) & (chunk.lang[begins] == lang)
+                    found = Counter(b" ".join(chunk.words[i : i + n]) for i, n in zip(begins[own].tolist(), length[own].tolist(), strict=True))
+                    langs.append(np.full(len(found), lang)), times.append(sign * np.fromiter(found.values(), np.int64, len(found)))
+                    told += found
+            n_words = np.bincount(chunk.lang[chunk.ends_new(1)], minlength=len(stream.langs))
+            lang = pa.array(np.concatenate([*langs, np.arange(len(n_words))]))
+            yield pa.RecordBatch.from_arrays([pa.array(stream.langs, pa.string()).take(lang), pa.array([*told, *[None] * len(n_words)], pa.binary()).cast(pa.string()), pa.array(np.concatenate([*times, n_words]).astype(np.int64))], ["lang", "run", "n"])
+
+    return rows.mapInArrow(run, "lang string, run string, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def candidates(runs: DataFrame, min_count: int, cell_bits: int, size: int) -> DataFrame:
+    """``lang, phrase``: the phrases of two to four words in ``runs`` (lang, run, n) whose bounds all reach ``min_count``, and their words.
+    The pairs of a run do so already."""
+
+    def long_keys(chunk: _Chunk) -> list[tuple[np.ndarray, np.ndarray]]:
+        which = [chunk.ends_new(k) for k in (3, 4)]
+        return [(chunk.keys[k][w], chunk.weight[: len(w)][w]) for k, w in zip((2, 3), which, strict=True)]
+
+    long = sketch(runs, long_keys, LONGEST, cell_bits, min_count, size)
+
+    def reached(chunk: _Chunk) -> list[np.ndarray]:
+        _, pair, three, four = chunk.whole
+        three = long.reached(chunk.keys[2], three)
+        return [pair, three, long.reached(chunk.keys[3], four & three[:-1] & three[1:] if len(three) > 1 else four)]
+
+    def named(stream: _Stream, chunk: _Chunk, places: list[np.ndarray]) -> list[pa.Array]:
+        """Languages and phrases at places of phrases of two, three and four words."""
+        lang = pa.array(stream.langs, pa.string()).take(pa.array(chunk.lang[np.concatenate(places)]))
+        told = [b" ".join(chunk.words[i : i + k]) for k, at in enumerate(places, 2) for i in at.tolist()]
+        return [lang, pa.array(told, pa.binary()).cast(pa.string())]
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = _Stream(batches, size, named=True)
+        for chunk in stream:
+            mark = np.concatenate([[False], chunk.tokens == _MARK, [False]])
+            places = [np.flatnonzero(may & chunk.ends_new(k) & mark[: len(may)] & mark[k + 1 : k + 1 + len(may)]) for k, may in enumerate(reached(chunk), 2)]
+            keys = np.concatenate([chunk.keys[k - 1][at] for k, at in enumerate(places, 2)])
+            yield pa.RecordBatch.from_arrays([*named(stream, chunk, places), pa.array(keys.view(np.int64))], ["lang", "phrase", "key"])
+
+    # most candidates are a run somewhere, and runs are distinct
+    words = F.split("run", " ")
+    own = written(runs.where(F.size(words).between(2, LONGEST)).mapInArrow(alone, "lang string, phrase string, key long"), "own-runs")
+    runs_known = KeyBlocks(own.select("key", F.lit(1).cast("long").alias("value"))).finder()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = _Stream(batches, named=True)
-        told, n_words = np.zeros(0, np.uint64), Counter()
-        for tokens, owners, keys, whole in stream:
-            n_words.update(dict(enumerate(np.bincount(owners[whole[0]], minlength=len(stream.langs)).tolist())))
-            may = _longer(keys, whole, short)
-            three = long.reached(keys[2], may[2])
-            four = may[3] & three[:-1] & three[1:] if len(three) > 1 else may[3]
-            pair = may[1]
-            beside = np.zeros(len(tokens), bool)
-            beside[: len(pair)] |= pair
-            beside[1 : len(pair) + 1] |= pair
-            which = [beside, pair, three, long.reached(keys[3], four)]
-            # a part of a phrase that began before the new part of the chunk was told with the chunk before
-            fresh = [w & ok for w, ok in zip(which, whole, strict=True)]
-            out = []
-            for k, (key, ok) in enumerate(zip(keys, fresh, strict=True), 1):
-                at = np.flatnonzero(ok)
-                found, first = np.unique(key[at], return_index=True)
-                new = ~np.isin(found, told, assume_unique=True)
-                told = np.union1d(told, found[new])
-                out += [(stream.langs[owners[i]], b" ".join([stream.names[t] for t in tokens[i : i + k].tolist()])) for i in at[first[new]].tolist()]
-            if len(told) > 1 << 21:
-                told = told[:0]  # some may be told again
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary()).cast(pa.string()), pa.array(np.zeros(len(out), np.int64))], ["lang", "phrase", "n"])
-        if n_words:
-            yield pa.RecordBatch.from_arrays([pa.array([stream.langs[i] for i in n_words], pa.string()), pa.array([None] * len(n_words), pa.string()), pa.array(list(n_words.values()), pa.int64())], ["lang", "phrase", "n"])
-
-    return rows.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        stream = _Stream(batches, size, named=True)
+        known = np.zeros(0, np.uint64)
+        for chunk in stream:
+            pair, three, four = reached(chunk)
+            places = []
+            for k, may, longer in ((2, pair, three), (3, three, four), (4, four, four[:0])):
+                # what lies in a longer one at this place comes with it
+                alone = may & chunk.ends_new(k)
+                alone[: len(longer)] &= ~(longer & chunk.ends_new(k + 1) if len(longer) else longer)
+                alone[1 : len(longer) + 1] &= ~longer
+                at = np.flatnonzero(alone)
+                found, first = np.unique(chunk.keys[k - 1][at], return_index=True)
+                new = ~np.isin(found, known, assume_unique=True) & (runs_known.find(found) == 0)
+                known = np.concatenate([known, found[new]])
+                places.append(at[first[new]])
+            if len(known) > 1 << 21:
+                known = known[:0]  # some may be told again
+            yield pa.RecordBatch.from_arrays(named(stream, chunk, places), ["lang", "phrase"])
+
+    found = runs.mapInArrow(run, "lang string, phrase string").union(own.select("lang", "phrase")).distinct()
+    # parts of a candidate may stand nowhere but in it
+    words = F.split("phrase", " ")
+    part = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return found.select("lang", F.explode(F.flatten(F.array(*[part(n) for n in range(1, LONGEST + 1)]))).alias("phrase")).distinct()
 
 
 #: The automata of the block that a worker had last, by the block's number of broadcast.
@@ -221,44 +281,51 @@ class _Block:
         self.id, self.phrases = no, phrases
 
 
-def scan_counts(rows: DataFrame, block: _Block, join_chars: int = 1 << 21) -> DataFrame:
-    """``lang, phrase, f``: all occurrences in ``rows`` (lang, text) of a block's phrases, overlaps included."""
+def scan_counts(runs: DataFrame, block: _Block, join_chars: int = 1 << 20) -> DataFrame:
+    """``lang, phrase, f``: all occurrences in ``runs`` (lang, run, n) of a block's phrases, overlaps included, each n times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(block)
-        counts: dict[str, Counter] = {lang: Counter() for lang in automata}
-        waiting: dict[str, list[str]] = {lang: [] for lang in automata}
-        sizes = dict.fromkeys(automata, 0)
-
-        def search(lang: str) -> None:
-            text = "".join(waiting[lang])
-            walk = automata[lang][0].iter("")
-            for at in range(0, len(text), join_chars):
-                walk.set(text[at : at + join_chars])  # goes on where the last part ended
-                counts[lang].update(map(itemgetter(1), walk))
-            waiting[lang], sizes[lang] = [], 0
-
-        for part in row_slices(batches):
-            for lang, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
-                if lang in automata:
-                    told = _RUNS.sub(b" ", _told(text) + b" ").decode("utf-8", "surrogateescape")
-                    waiting[lang].append(told)
-                    sizes[lang] += len(told)
-                    if sizes[lang] >= join_chars:
-                        search(lang)
-        for lang in automata:
-            search(lang)
-            phrases = automata[lang][1]
-            found = list(counts[lang].items())
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([phrases[no] for no, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["lang", "phrase", "f"])
-
-    return rows.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-
-
-def count_phrases(rows: DataFrame, told: DataFrame, block_chars: int) -> DataFrame:
-    """``lang, phrase, f`` of the phrases of ``told`` (lang, phrase) that occur in ``rows``, block by block."""
-    spark = rows.sparkSession
+        counts = {lang: np.zeros(len(phrases), np.int64) for lang, (_, phrases) in automata.items()}
+        waiting: dict[tuple[str, int], list[str]] = {}
+        size = 0
+
+        def search() -> None:
+            for (lang, n), told in waiting.items():
+                text = " \n ".join(["", *told, ""])
+                walk = automata[lang][0].iter("")
+                for at in range(0, len(text), join_chars):
+                    walk.set(text[at : at + join_chars])  # goes on where the last part ended
+                    found = np.fromiter(map(itemgetter(1), walk), np.int64)
+                    counts[lang] += n * np.bincount(found, minlength=len(counts[lang])) if len(found) > 1000 else 0
+                    if len(found) <= 1000:
+                        np.add.at(counts[lang], found, n)
+            waiting.clear()
+
+        for part in row_slices(batches, 1 << 14):
+            for lang in automata:
+                own = part.filter(pc.equal(part.column(0), lang))
+                once = pc.equal(own.column(2), 1)
+                if told := own.column(1).filter(once).to_pylist():
+                    waiting.setdefault((lang, 1), []).extend(told)
+                    size += sum(map(len, told))
+                for told, n in zip(own.column(1).filter(pc.invert(once)).to_pylist(), own.column(2).filter(pc.invert(once)).to_pylist(), strict=True):
+                    waiting.setdefault((lang, n), []).append(told)
+                    size += len(told)
+            if size >= join_chars:
+                search()
+                size = 0
+        search()
+        for lang, (_, phrases) in automata.items():
+            found = np.flatnonzero(counts[lang]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([phrases[no] for no in found], pa.string()), pa.array(counts[lang][found])], ["lang", "phrase", "f"])
+
+    return runs.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def count_phrases(runs: DataFrame, told: DataFrame, block_chars: int) -> DataFrame:
+    """``lang, phrase, f`` of the phrases of ``told`` (lang, phrase) that occur in ``runs``, block by block."""
+    spark = runs.sparkSession
     total = told.agg(F.sum(F.char_length("phrase") + 2)).first()[0] or 0
     blocks = -(-total // block_chars)
     path = scratch_path(spark, "phrases")
@@ -271,7 +338,7 @@ def count_phrases(rows: DataFrame, told: DataFrame, block_chars: int) -> DataFra
         for lang, phrase in stored.where(F.col("block") == no).select("lang", "phrase").collect():
             by_lang.setdefault(lang, []).append(phrase)
         phrases = spark.sparkContext.broadcast(by_lang)
-        scan_counts(rows, _Block(phrases._jbroadcast.id(), phrases)).write.parquet(f"{path}/counts-{no}")
+        scan_counts(runs, _Block(phrases._jbroadcast.id(), phrases)).write.parquet(f"{path}/counts-{no}")
         phrases.unpersist()
         parts.append(spark.read.schema("lang string, phrase string, f long").parquet(f"{path}/counts-{no}"))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "lang string, phrase string, f long")
@@ -318,7 +385,7 @@ def first_ranks(rows: DataFrame, order: list[Column], top: int) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 30, top: int = 2000, cell_bits: int | None = None, block_chars: int = 2_000_000) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 30, top: int = 2000, cell_bits: int | None = None, block_chars: int = 3_000_000, chunk_tokens: int = 1 << 19) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each language.
 
     Texts are lower-cased in A-Z, cut at ``.,;:!?`` and line ends, and split at blanks and tabs; a null text is empty and a
@@ -328,17 +395,25 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     without any candidate, and empty tables, give no rows. Other columns are not read.
 
     ``cell_bits``: the sketch's cells as a power of two, by default over one a byte of text; ``block_chars``: the characters of
-    candidates that an automaton may hold.
+    candidates that an automaton may hold; ``chunk_tokens``: the words that a task counts at once.
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     if cell_bits is None:
-        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-        cell_bits = max(RANGE_BITS, int(size).bit_length())
-    told = written(candidates(rows, min_count, cell_bits), "candidates")
-    counted = written(count_phrases(rows, told.where("phrase is not null"), block_chars).where(F.col("f") >= min_count), "counted")
+        volume = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        cell_bits = max(RANGE_BITS, int(volume).bit_length())
+
+    def short_keys(chunk: _Chunk) -> list[tuple[np.ndarray, None]]:
+        which = [chunk.ends_new(k) for k in (1, 2)]
+        return [(chunk.keys[k][w], None) for k, w in enumerate(which)]
+
+    short = sketch(rows, short_keys, 2, cell_bits, min_count, chunk_tokens)
+    found = written(text_runs(rows, short, chunk_tokens), "runs")
+    runs = found.where("run is not null")
+    told = written(candidates(runs, min_count, cell_bits, chunk_tokens), "candidates")
+    counted = written(count_phrases(runs, told, block_chars).where(F.col("f") >= min_count), "counted")
     held = best_cuts(counted).join(absorbed(counted), ["lang", "phrase"], "left")
     dropped = _big(F.col("most")) * 100 >= _big(F.col("a")) * 80
     stays = held.where(~F.coalesce(dropped, F.lit(False))).drop("most")
     best = first_ranks(stays, [F.desc("score"), F.desc("a"), F.asc("phrase")], top)
-    sizes = told.where("phrase is null").select("lang", "n")
+    sizes = found.where("run is null").select("lang", "n")
     return best.join(F.broadcast(sizes), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
