@@ -18,6 +18,7 @@ broadcast blocks of bounded size. N-grams are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -149,13 +150,11 @@ class FilterReader:
         return self.middle[np.minimum(out, len(self.middle) - 1)]
 
 
-def _pieces(texts: list[bytes], hashes: WordHashes) -> Iterator[tuple[int, np.ndarray]]:
-    """The tokens of each text, piece by piece, between its marks."""
+def _pieces(texts: list[bytes], hashes: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The tokens of each text, piece by piece, between its marks, and the number of the text."""
     for no, text in enumerate(texts):
-        yield no, np.array([START], np.uint64)
-        for piece in slices(text.lower()):
-            yield no, hashes.of(piece.split())
-        yield no, np.array([END], np.uint64)
+        for tokens in chain([np.array([START], np.uint64)], (hashes.of(piece.split()) for piece in slices(text.lower())), [np.array([END], np.uint64)]):
+            yield tokens, np.full(len(tokens), no, np.int64)
 
 
 def ngram_counts(texts: DataFrame, order: int, min_count: int) -> DataFrame:
@@ -221,7 +220,7 @@ class NgramModel:
             texts = [t for part in parts for t in utf8(part.column(at))]
             rows = len(texts)
             seen, known, plain, model = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
-            for tokens, owner, fresh in chunks(_pieces(texts, hashes), order):
+            for tokens, owner, fresh in chunks(_pieces(texts, hashes), order, 1 << 19):
                 base, told = chances(tokens)
                 which = np.arange(len(tokens)) >= fresh
                 which &= tokens != START
