@@ -118,7 +118,8 @@ def placeholder_scan(s, d):
     return load(s, d, "pages").select("page_id", F.size(T.placeholders(F.col("html"))).cast("long").alias("n"))
 
 
-@query()
+@query("""SELECT conv_id, turn, regexp_replace(CASE WHEN turn BETWEEN 1 AND 3 THEN text || ' [' || turn || ']'
+  ELSE regexp_replace(regexp_replace(text || ' ', '\\s{2,}', ' ', 'g'), '\\s+([，。；：,.!?;])', '\\1', 'g') END, '^\\s+|\\s+$', '', 'g') AS text FROM conversations""")
 def citation_strip(s, d):
     cited = F.concat("text", F.lit(" ["), F.col("turn").cast("string"), F.lit("]"))
     return _messages(s, d).select("conv_id", "turn", T.strip_citations(cited, F.lit(3)).alias("text"))

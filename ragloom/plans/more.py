@@ -146,21 +146,57 @@ def _retrieved(s, d, **options):
     return retrieval.retrieve(docs.withColumn("parent_id", F.lit(None).cast("string")).withColumn("id", F.col("id").cast("string")), _queries(s, d), parents.select(F.col("parent_id").cast("string").alias("parent_id"), "content"), **options)
 
 
-@query()
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+|[\\x{{4e00}}-\\x{{9fff}}]'))"
+#: The chain's ids are texts, and so is their order.
+CHAIN = (
+    FUSED.replace("doc_id AS id", "doc_id::VARCHAR AS id")
+    + f""", pairs AS (
+  SELECT query_id, id, rank, d.text AS content, {_WORDS.format("b.text")} AS asked, {_WORDS.format("d.text")} AS have
+  FROM rrf JOIN documents d ON d.doc_id = id::BIGINT JOIN benchmark b ON b.item_id = query_id
+), judged AS (
+  SELECT query_id, id, rank, content, CASE WHEN len(list_distinct(list_concat(asked, have))) > 0 THEN round(len(list_intersect(asked, have)) / len(list_distinct(list_concat(asked, have))), 6) END AS score FROM pairs
+), chosen AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, rank) AS place FROM judged QUALIFY place <= 5
+), good AS (
+  SELECT query_id FROM chosen GROUP BY query_id HAVING max(coalesce(score, 0.0)) >= 0.05
+)"""
+)
+
+
+@query(f"""WITH {CHAIN}, told AS (SELECT c.*, regexp_replace(content, '\\s+', ' ', 'g') AS one FROM chosen c JOIN good USING (query_id))
+SELECT query_id, place AS "index", id, coalesce(score, 0.0) AS score, CASE WHEN length(one) > 120 THEN substr(one, 1, 120) || '…' ELSE one END AS snippet FROM told""")
 def retrieve_chain(s, d):
     contexts, _ = _retrieved(s, d, min_score=0.05)
     return contexts.select("query_id", "index", "id", "score", "snippet")
 
 
-@query()
-def answers(s, d):
+def _answers(s, d):
     contexts, outcomes = _retrieved(s, d, min_score=0.05)
     return retrieval.answer(_queries(s, d), contexts, outcomes)
 
 
+@query(f"""WITH {CHAIN}, told AS (
+  SELECT query_id, place AS i, id, content, score, regexp_replace(content, '\\s+', ' ', 'g') AS one,
+         row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, place) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM chosen JOIN good USING (query_id)
+), blocks AS (
+  SELECT query_id, string_agg('[' || i || '] 来源: ' || id || ' 第 1 页' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10)
+         ORDER BY CASE WHEN n <= 2 THEN i WHEN r = 1 THEN 1 WHEN r = 2 THEN n ELSE r - 1 END) AS block FROM told GROUP BY query_id
+), top AS (
+  SELECT query_id, id, CASE WHEN length(one) > 120 THEN substr(one, 1, 120) || '…' ELSE one END AS snippet FROM told WHERE i = 1
+), best AS (SELECT query_id, count(*) AS n FROM chosen GROUP BY query_id)
+SELECT item_id AS query_id, text AS question,
+       '【参考资料】' || chr(10) || coalesce(block, '（无参考资料）') || chr(10) || chr(10) || '【用户问题】' || chr(10) || text || chr(10) || chr(10) || '请依据上述参考资料回答，并在每个论断后标注来源编号。' AS prompt,
+       regexp_replace(snippet || ' [1]', '^\\s+|\\s+$', '', 'g') AS answer, CASE WHEN snippet IS NOT NULL THEN '1:' || id END AS citations, snippet IS NULL AS refused,
+       CASE WHEN snippet IS NOT NULL THEN '' WHEN n IS NULL THEN 'no_hits' ELSE 'low_score' END AS reason
+FROM benchmark LEFT JOIN blocks ON blocks.query_id = item_id LEFT JOIN top ON top.query_id = item_id LEFT JOIN best ON best.query_id = item_id""")
+def answers(s, d):
+    cited = F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["index"].cast("string"), c["id"])), ",")
+    return _answers(s, d).withColumn("citations", cited)
+
+
 @query()
 def answer_events(s, d):
-    return retrieval.answer_events(answers(s, d))
+    return retrieval.answer_events(_answers(s, d))
 
 
 @query(f"""WITH {BM25}, t AS (SELECT query_id, rank, score, source, text, count(*) OVER (PARTITION BY query_id) AS n FROM bm JOIN documents ON doc_id = id WHERE rank <= 4),
