@@ -42,22 +42,23 @@ def golden_evidences(items: DataFrame) -> DataFrame:
 
 
 def evidence_ranks(evidences: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """``item_id, evidence_no, hit_rank`` (null: not found); a retrieved text finds the evidence from a match ratio of 0.6 on."""
+    """``item_id, evidence_no, hit_rank`` (null: not found) and ``found_at``, all ranks that found it; a retrieved text finds the evidence from a
+    match ratio of 0.6 on."""
     pairs = evidences.join(retrieved, "item_id", "left")
     hit = match_ratio(F.col("content"), F.col("evidence")) >= FOUND_FROM
-    return pairs.groupBy("item_id", "evidence_no").agg(F.min(F.when(hit, F.col("rank"))).alias("hit_rank"))
+    found = pairs.withColumn("found", F.when(hit, F.col("rank")))
+    return found.groupBy("item_id", "evidence_no").agg(F.min("found").alias("hit_rank"), F.collect_set("found").alias("found_at"))
 
 
-def question_scores(ranks: DataFrame, retrieved: DataFrame, evidences: DataFrame) -> DataFrame:
-    """Per item: recall, hit and precision at each k, and reciprocal rank."""
+def question_scores(ranks: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """Per item of ``evidence_ranks``: recall, hit and precision at each k, and reciprocal rank."""
     got = retrieved.groupBy("item_id").agg(F.count("*").alias("retrieved"))
-    hit = match_ratio(F.col("content"), F.col("evidence")) >= FOUND_FROM
-    matched = evidences.join(retrieved, "item_id").where(hit).groupBy("item_id").agg(F.countDistinct("rank").alias("matched"))
     base = ranks.groupBy("item_id").agg(
         *[F.avg(F.coalesce((F.col("hit_rank") <= k).cast("int"), F.lit(0))).alias(f"recall_{k}") for k in KS],
         F.coalesce(1 / F.min("hit_rank"), F.lit(0.0)).alias("rr"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("found_at")))).cast("long").alias("matched"),
     )
-    rows = base.join(got, "item_id", "left").join(matched, "item_id", "left").na.fill(0, ["retrieved", "matched"])
+    rows = base.join(got, "item_id", "left").na.fill(0, ["retrieved"])
     at = lambda k: F.coalesce(F.least("matched", F.lit(k)) / F.nullif(F.least(F.lit(k), F.col("retrieved")), F.lit(0)), F.lit(0.0)).alias(f"precision_{k}")
     return rows.select("*", *[at(k) for k in KS])
 

@@ -370,7 +370,7 @@ def hit_ranks(s, d):
   round(avg(coalesce(least(matched, 5) / nullif(least(5, retrieved), 0)::DOUBLE, 0)), 6) AS precision_5, round(avg(coalesce(1.0::DOUBLE / hit_rank, 0)), 6) AS mrr FROM ranks""")
 def recall_precision_mrr(s, d):
     evidences, retrieved = _eval_tables(s, d)
-    scores = evaluation.question_scores(evaluation.evidence_ranks(evidences, retrieved), retrieved, evidences)
+    scores = evaluation.question_scores(evaluation.evidence_ranks(evidences, retrieved), retrieved)
     return evaluation.stage_metrics(scores).select("questions", "recall_1", "recall_5", "precision_5", "mrr")
 
 

@@ -434,7 +434,7 @@ def test_evidence_cut_at_a_chunk_edge_is_found(spark):
     retrieved = spark.createDataFrame(texts, "item_id long, rank int, content string")
     ranks = evaluation.evidence_ranks(evidences, retrieved)
     assert {r.item_id: r.hit_rank for r in ranks.collect()} == {1: 2, 2: None}
-    scores = {r.item_id: r for r in evaluation.question_scores(ranks, retrieved, evidences).collect()}
+    scores = {r.item_id: r for r in evaluation.question_scores(ranks, retrieved).collect()}
     assert scores[1].matched == 2 and scores[1].rr == 0.5 and scores[2].matched == 0
 
 
