@@ -164,7 +164,7 @@ def ngram_counts(texts: DataFrame, order: int, min_count: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(SEED)
         rows = (text for part in row_slices(batches) for text in utf8(part.column(0)))
-        for tokens, _, fresh in chunks((piece for text in rows for piece in _pieces([text], hashes)), order - 1):
+        for tokens, _, fresh in chunks((piece for text in rows for piece in _pieces([text], hashes)), order - 1, 1 << 19):
             inner = tokens != START
             whole = np.ones(len(tokens), bool)
             for k, keys in enumerate(gram_keys(tokens, order), 1):
@@ -173,8 +173,9 @@ def ngram_counts(texts: DataFrame, order: int, min_count: int) -> DataFrame:
                 last = np.arange(len(keys)) + k - 1 >= fresh
                 for size, which in ((k, whole & last & (inner if k == 1 else True)),) + (((0, ~inner & last),) if k == 1 else ()):
                     found, n = np.unique(keys[which], return_counts=True)
-                    if len(found):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), size, np.int32)), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "key", "n"])
+                    for at in range(0, len(found), 1 << 15):
+                        part = found[at : at + (1 << 15)].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), size, np.int32)), pa.array(part), pa.array(n[at : at + (1 << 15)].astype(np.int64))], ["k", "key", "n"])
 
     told = texts.mapInArrow(run, "k int, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n"))
     return told.where((F.col("k") <= 1) | (F.col("n") >= min_count))
