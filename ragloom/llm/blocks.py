@@ -51,7 +51,7 @@ def release(block: Broadcast) -> None:
 class KeyBlocks:
     """A distributed table ``(key long, value long)`` of distinct keys, for lookups in tasks."""
 
-    def __init__(self, rows: DataFrame, block_rows: int = 1 << 20, n: int | None = None):
+    def __init__(self, rows: DataFrame, block_rows: int = 1 << 19, n: int | None = None):
         spark = rows.sparkSession
         self.bits = block_bits(rows.count() if n is None else n, block_rows)
         path = scratch_path(spark, "key-blocks")
@@ -59,15 +59,16 @@ class KeyBlocks:
         rows.write.partitionBy("block").parquet(path)
         stored = spark.read.schema(rows.schema).parquet(path)
         self.blocks: list[Broadcast] = []
-        sieve = np.zeros(1 << SIEVE_BITS, bool)
+        sieve = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
         for no in range(1 << self.bits):
             part = stored.where(F.col("block") == no).select("key", "value").toArrow()
             keys = part.column("key").to_numpy().astype(np.int64).view(np.uint64)
             order = np.argsort(keys)
             values = part.column("value").to_numpy().astype(np.int64)
             self.blocks.append(spark.sparkContext.broadcast((keys[order], values[order])))
-            sieve[_hole(keys)] = True
-        self.sieve = spark.sparkContext.broadcast(np.packbits(sieve, bitorder="little"))
+            at = _hole(keys)
+            np.bitwise_or.at(sieve, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        self.sieve = spark.sparkContext.broadcast(sieve)
 
     def finder(self) -> KeyFinder:
         return KeyFinder(self.blocks, self.bits, self.sieve)

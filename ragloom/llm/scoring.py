@@ -184,7 +184,7 @@ def ngram_counts(texts: DataFrame, order: int, min_count: int) -> DataFrame:
 class NgramModel:
     """Fitted on the texts of one column; ``score`` adds probabilities to any documents."""
 
-    def __init__(self, docs: DataFrame, text_col: str = "text", order: int = 2, min_count: int = 2, smoothing: float = 100.0, base: float = 1.5, hashes: int = 5, block_rows: int = 1 << 20, shard_bits: int = 1 << 25):
+    def __init__(self, docs: DataFrame, text_col: str = "text", order: int = 2, min_count: int = 2, smoothing: float = 100.0, base: float = 1.5, hashes: int = 5, block_rows: int = 1 << 19, shard_bits: int = 1 << 25):
         spark = docs.sparkSession
         path = scratch_path(spark, "ngram-counts")
         ngram_counts(docs.select(F.col(text_col).cast("string").alias("text")), order, min_count).write.parquet(path)
