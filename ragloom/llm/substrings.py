@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_slices, utf8
+from .common import row_slices, utf8, written
 from .text_kernels import Powers, RollingHash, WordHashes, winnow
 
 GRAM = 8
@@ -107,11 +107,11 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     """``(row, repeats)``: for each row with repeated windows the array of (start, size) of their runs,
     an entry for each anchor's run. ``rows`` is ``(doc_id, row, text)``."""
     found = _anchor_rows(rows, window)
-    classes = checkpointed(found.groupBy("seed", "block").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("sample")))
+    classes = written(found.groupBy("seed", "block").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("sample")), "window-classes")
     parted = classes.groupBy("seed").agg(F.count("*").alias("classes")).where("classes > 1").select("seed")
     samples = classes.join(parted, "seed", "left_semi").select("sample.*").groupBy("row").agg(F.collect_set("first").alias("firsts"))
     texts = rows.select("row", "text").join(samples, "row").dropDuplicates(["row"])
-    windows = checkpointed(_class_windows(texts, window))
+    windows = written(_class_windows(texts, window), "class-windows")
     shared = windows.groupBy("seed", "hash").agg(F.count("*").alias("n")).where("n > 1").select("seed", "hash")
     partial = windows.join(shared, ["seed", "hash"], "left_semi").groupBy("seed", "block").agg(F.array_sort(F.collect_set("no")).alias("nos"))
     full = classes.where("n > 1").select("seed", "block", F.lit(True).alias("all"))
