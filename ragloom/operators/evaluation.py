@@ -41,11 +41,12 @@ def golden_evidences(items: DataFrame) -> DataFrame:
     return asked.select("item_id", F.posexplode("evidences").alias("evidence_no", "evidence")).withColumn("evidence_no", F.col("evidence_no") + 1)
 
 
-def evidence_ranks(evidences: DataFrame, retrieved: DataFrame) -> DataFrame:
+def evidence_ranks(evidences: DataFrame, retrieved: DataFrame, whole: bool = False) -> DataFrame:
     """``item_id, evidence_no, hit_rank`` (null: not found) and ``found_at``, all ranks that found it; a retrieved text finds the evidence from a
-    match ratio of 0.6 on."""
+    match ratio of 0.6 on, or with ``whole`` only if it holds all of it."""
     pairs = evidences.join(retrieved, "item_id", "left")
-    hit = match_ratio(F.col("content"), F.col("evidence")) >= FOUND_FROM
+    content, evidence = F.col("content"), F.col("evidence")
+    hit = F.contains(evidence_key(content), evidence_key(evidence)) if whole else match_ratio(content, evidence) >= FOUND_FROM
     found = pairs.withColumn("found", F.when(hit, F.col("rank")))
     return found.groupBy("item_id", "evidence_no").agg(F.min("found").alias("hit_rank"), F.collect_set("found").alias("found_at"))
 

@@ -17,7 +17,7 @@ SWEPT = "swept AS (SELECT k AS top_k, count(*) AS questions, round(avg(coalesce(
 # --- evaluation -----------------------------------------------------------------------------
 @query(f"WITH {BM25}, {RANKS}, {SWEPT} SELECT * FROM swept")
 def config_sweep(s, d):
-    return evaluation.sweep_depths(evaluation.evidence_ranks(*_eval_tables(s, d)), (1, 3, 5, 10, 20))
+    return evaluation.sweep_depths(evaluation.evidence_ranks(*_eval_tables(s, d), whole=True), (1, 3, 5, 10, 20))
 
 
 @query(f"WITH {BM25}, {RANKS}, {SWEPT}, p AS (SELECT *, row_number() OVER (ORDER BY mrr DESC, top_k) AS up, row_number() OVER (ORDER BY mrr, top_k) AS down FROM swept) SELECT max(top_k) FILTER (WHERE up = 1) AS best, max(mrr) AS best_mrr, max(top_k) FILTER (WHERE down = 1) AS worst, min(mrr) AS worst_mrr FROM p")

@@ -443,3 +443,10 @@ def test_rewrite_hints(spark):
     cases = [(f"设备维护周期{h}钢刀更换周期", True) for h in hints] + [("设备维护周期与钢刀更换周期", False), ("其设备维护周期与钢刀更换周期", False), ("short", True)]
     rows = spark.createDataFrame(cases, "v string, want boolean").select("v", "want", T.needs_rewrite(F.col("v")).alias("got")).collect()
     assert [r.v for r in rows if r.want != r.got] == []
+
+
+def test_ranks_of_whole_evidence_leave_out_near_copies(spark):
+    evidences = spark.createDataFrame([(1, 1, "abcdefghij klmnopqrst")], "item_id long, evidence_no int, evidence string")
+    retrieved = spark.createDataFrame([(1, 1, "abcdefghijklmnopqrsX"), (1, 2, "see ABCDEFGHIJ\nklmnopqrst")], "item_id long, rank int, content string")
+    assert evaluation.evidence_ranks(evidences, retrieved).first().hit_rank == 1
+    assert evaluation.evidence_ranks(evidences, retrieved, whole=True).first().hit_rank == 2
