@@ -2,23 +2,28 @@
 
 A lexicon is learnt from counted runs of signs: a word's parts stand together more often than by chance
 (cohesion), and many signs stand before and after it (boundary entropy). To segment, every lexicon word in a run of signs is
-an edge of a word graph; the path with the greatest probability is the segmentation. Graphs are made by
+an edge of a word graph; the path with the greatest probability is the segmentation. Chunks of runs get their costs by
 one join of substrings with the lexicon, so the lexicon may be of any size, and each distinct run is solved once.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragloom.operators.best import stored
+
 #: The signs that are written without blanks, and everything that a token is made of.
 SIGNS = "[一-鿿]+"
 PIECES = "[a-z0-9]+|[一-鿿]+"
 #: Probabilities are kept as whole millionths of a nat, so sums don't depend on their order.
 SCALE = 1_000_000
+#: Distinct grams that a task holds before it passes them on, and signs of the runs that are solved together.
+GRAMS_HELD, CHUNK_SIGNS = 1 << 18, 1 << 17
 
 
 def pieces(text: Column) -> Column:
@@ -27,12 +32,26 @@ def pieces(text: Column) -> Column:
 
 
 def sign_grams(texts: DataFrame, longest: int, text_col: str = "content") -> DataFrame:
-    """``gram, n``: all runs of up to ``longest`` signs, overlaps included; ``$`` stands for the start or end of a run."""
-    runs = texts.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(SIGNS), F.lit(0))).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
-    held = F.concat(F.lit("$"), "run", F.lit("$"))
-    gram = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("held") - i + 1)), lambda k: F.substring(F.col("held"), i, k))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.char_length("held")), gram))
-    return runs.withColumn("held", held).select(F.explode(grams).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
+    """``gram, n``: all runs of up to ``longest`` signs, overlaps included; ``$`` stands for the start or end of a run. Tasks count
+    the grams of their runs before these are shuffled."""
+    runs = texts.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(SIGNS), F.lit(0))).alias("run"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: Counter = Counter()
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], ["gram", "n"])
+        for batch in batches:
+            for run in batch.column(0).to_pylist():
+                held = f"${run}$"
+                for start in range(0, len(held), GRAMS_HELD):  # a run of any length is counted in pieces
+                    for k in range(1, longest + 1):
+                        counted.update([held[i : i + k] for i in range(start, min(start + GRAMS_HELD, len(held) - k + 1))])
+                    if len(counted) > GRAMS_HELD:
+                        yield told()
+                        counted.clear()
+        if counted:
+            yield told()
+
+    return runs.mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def learn_lexicon(texts: DataFrame, text_col: str = "content", longest: int = 4, min_count: int = 5, min_cohesion: float = 2.0, min_entropy: float = 0.7) -> DataFrame:
@@ -41,7 +60,7 @@ def learn_lexicon(texts: DataFrame, text_col: str = "content", longest: int = 4,
     ``cohesion``: of all ways to cut a word in two, the least log ratio of its probability to the product of those of its parts;
     ``entropy``: the lesser of the entropies, in nats, of the sign after it and the sign before it, the end
     of a run being a sign of its own. Both are rounded to six places. Null texts and texts without signs teach nothing."""
-    grams = sign_grams(texts, longest + 1, text_col).where("gram <> '$'")
+    grams = stored(sign_grams(texts, longest + 1, text_col).where("gram <> '$'"), "grams")
     inner = grams.where(~F.contains("gram", F.lit("$")))
     total = F.broadcast(inner.where(F.char_length("gram") == 1).agg(F.sum("n").alias("total")))
     words = inner.where((F.col("n") >= min_count) & F.char_length("gram").between(2, longest)).withColumnRenamed("gram", "word")
@@ -93,30 +112,41 @@ def best_path(length: int, edges: list[tuple[int, int, int]], alone: int) -> lis
 
 def segment_runs(runs: DataFrame, costs: DataFrame, longest: int = 4) -> DataFrame:
     """``run, words, subwords`` of distinct runs of signs, ``(run)``; ``costs``: (word, cost) of ``weighed``. ``subwords`` are the
-    words of two and three signs inside longer ones of the path, as a search wants them, each before the word that holds it."""
-    runs = runs.select("run").distinct()
+    words of two and three signs inside longer ones of the path, as a search wants them, each before the word that holds it.
+
+    Runs are dealt into chunks of a bounded number of signs, and each chunk gets the costs of the words that stand in its runs."""
+    runs = stored(runs.select("run").distinct(), "runs")
+    costs = stored(costs.select("word", "cost"), "costs")
     dear = costs.agg(F.max("cost")).first()[0]
     alone = (dear or SCALE) * 2  # an unknown sign is dearer than any word
-    size = F.char_length("run")
-    end = F.explode(F.sequence(F.lit(1), size))
-    spans = runs.select("run", end.alias("end")).withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.col("end"), F.lit(longest)))))
-    told = spans.withColumn("word", F.substring(F.col("run"), F.col("end") - F.col("size") + 1, F.col("size")))
-    graph = told.join(costs, "word").groupBy("run").agg(F.array_sort(F.collect_list(F.struct("end", "size", "cost"))).alias("edges"))
-    rows = runs.join(graph, "run", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    signs = runs.agg(F.sum(F.char_length("run"))).first()[0] or 0
+    dealt = runs.select(F.pmod(F.xxhash64("run"), F.lit(-(-signs // CHUNK_SIGNS) or 1)).alias("chunk"), "run")
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, inside = [], []
-            for text, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = [(e["end"], e["size"], e["cost"]) for e in edges or []]
-                known = {(e, s) for e, s, _ in held}
-                ends = best_path(len(text), held, alone)
-                path = list(zip([0, *ends], ends, strict=False))
-                words.append([text[a:b] for a, b in path])
-                inside.append([[text[e - s : e] for s in (2, 3) if s < b - a for e in range(a + s, b + 1) if (e, s) in known] for a, b in path])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(inside, pa.list_(pa.list_(pa.string())))], ["run", "words", "subwords"])
-
-    return rows.mapInArrow(run, "run string, words array<string>, subwords array<array<string>>")
+            held: set[tuple[int, str]] = set()
+            for last, (chunk, run) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), 1):
+                for size in range(1, longest + 1):
+                    held.update([(chunk, run[i : i + size]) for i in range(len(run) - size + 1)])
+                if len(held) > GRAMS_HELD or last == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in held], pa.int64()), pa.array([w for _, w in held], pa.string())], ["chunk", "word"])
+                    held.clear()
+
+    known = dealt.mapInArrow(spans, "chunk long, word string").distinct().join(costs, "word").select("chunk", "word", "cost")
+
+    def solve(own: pa.Table, known: pa.Table) -> pa.Table:
+        cost = dict(zip(known.column("word").to_pylist(), known.column("cost").to_pylist(), strict=True))
+        texts, words, inside = own.column("run").to_pylist(), [], []
+        for text in texts:
+            held = [(e, s, cost[text[e - s : e]]) for e in range(1, len(text) + 1) for s in range(1, min(e, longest) + 1) if text[e - s : e] in cost]
+            found = {(e, s) for e, s, _ in held}
+            ends = best_path(len(text), held, alone)
+            path = list(zip([0, *ends], ends, strict=False))
+            words.append([text[a:b] for a, b in path])
+            inside.append([[text[e - s : e] for s in (2, 3) if s < b - a for e in range(a + s, b + 1) if (e, s) in found] for a, b in path])
+        return pa.table([pa.array(texts, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(inside, pa.list_(pa.list_(pa.string())))], ["run", "words", "subwords"])
+
+    return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(solve, "run string, words array<string>, subwords array<array<string>>")
 
 
 def segmented_tokens(texts: DataFrame, costs: DataFrame, id_col: str = "id", text_col: str = "content", longest: int = 4, search: bool = True) -> DataFrame:

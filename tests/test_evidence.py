@@ -76,6 +76,17 @@ def test_best_path_brute_force():
         assert cost(ends) == min(map(cost, every))
 
 
+def test_a_very_long_run_is_learnt_and_segmented(spark):
+    """Neither carries the run beside each of its substrings."""
+    text = "天地人日月" * 20_000
+    texts = spark.createDataFrame([(1, text)], "id long, content string")
+    grams = {r.gram: r.n for r in segmentation.sign_grams(texts, 2).collect()}
+    assert grams["天"] == grams["天地"] == 20_000 and grams["月天"] == 19_999 and grams["$天"] == grams["月$"] == 1
+    costs = segmentation.weighed(spark.createDataFrame([("天地", 9), ("人日月", 9)], "word string, n long"))
+    tokens = segmentation.segmented_tokens(texts, costs, search=False).first().tokens
+    assert tokens == ["天地", "人日月"] * 20_000
+
+
 def test_learnt_lexicon(spark):
     """Words of a made-up language come back from text without blanks."""
     rng = random.Random(6)
