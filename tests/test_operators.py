@@ -450,3 +450,18 @@ def test_ranks_of_whole_evidence_leave_out_near_copies(spark):
     retrieved = spark.createDataFrame([(1, 1, "abcdefghijklmnopqrsX"), (1, 2, "see ABCDEFGHIJ\nklmnopqrst")], "item_id long, rank int, content string")
     assert evaluation.evidence_ranks(evidences, retrieved).first().hit_rank == 1
     assert evaluation.evidence_ranks(evidences, retrieved, whole=True).first().hit_rank == 2
+
+
+def test_cleaning_holds_few_texts(spark):
+    """Only a slice of a batch becomes Python objects; slices, nulls and texts of any script come back in order."""
+    import pyarrow as pa
+
+    from ragloom.operators import layout
+
+    texts = [None, "", "ﬁne Ａ１", "plain"] * 100
+    held = []
+    got = layout._each(pa.array(texts), lambda x: held.append(x) or layout._composed(x))
+    assert got.to_pylist() == [None, "", "fine A1", "plain"] * 100 and held == texts
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(1)
+    found = rows.select("id", layout.merge_broken_lines(layout.nfkc("text")).alias("text")).orderBy("id").collect()
+    assert [r.text for r in found] == [None, "", "fine A1", "plain"] * 100
