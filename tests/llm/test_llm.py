@@ -396,6 +396,33 @@ def test_embeddings_have_pivots(spark, sf_dir):
     assert len(pivots) == 10 and all(len(p) == 2 for p in pivots.values())
 
 
+def test_embeddings_pivots_only_where_they_help():
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    far = unit(rng.normal(size=(160, 64)))  # both bounds hold for most pivots: each row would go to most cells
+    assert len(embeddings.useful_pivots(far, 60, 60_000, 0.2, 16_384)) == 0
+    close = unit(rng.normal(size=(20, 64))[rng.integers(0, 20, 160)] + rng.normal(scale=0.01, size=(160, 64)))
+    pivots = embeddings.useful_pivots(close, 60, 600_000, 0.2, 16_384)
+    assert len(pivots) >= 2 and len(embeddings._homes(close, pivots, 0.2)[0]) < 0.5 * len(close) * len(pivots)
+
+
+def test_embeddings_pairs_and_forest():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(40, 8))[rng.integers(0, 40, 500)] + rng.normal(scale=0.08, size=(500, 8)), [[1.0] + [0.0] * 7, [0.98, (1 - 0.98**2) ** 0.5] + [0.0] * 6]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.triu(x @ x.T >= 0.98, 1)
+    rows = np.arange(len(x))
+    found = [(i, j) for a, b in embeddings.near_pairs(x, rows, rows, 0.98, 64) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert sorted(found) == [tuple(p) for p in np.argwhere(near).tolist()]
+    low, high = rows[rows % 2 == 0], rows[rows % 2 == 1]
+    across = {tuple(sorted(p)) for a, b in embeddings.near_pairs(x, low, high, 0.98, 64) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert across == {p for p in found if (p[0] + p[1]) % 2}
+    forest = embeddings.Forest(len(x))
+    edges = [e for a, b in embeddings.near_pairs(x, rows, rows, 0.98, 64) for e in forest.joined(a, b)]
+    want = components(list(range(len(x))), lambda a, b: near[min(a, b), max(a, b)])
+    assert len(edges) == len(x) - len(set(want.values())) and all(forest.root[i] == want[i] for i in range(len(x)))
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
