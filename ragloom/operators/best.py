@@ -25,11 +25,11 @@ class Best:
     def __init__(self, queries: int, k: int, digits: int):
         self.k, self.digits, self.top = k, digits, np.full((queries, k), -np.inf)
 
-    def offer(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def offer(self, scores: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, rounded score) of what may be among the best, from scores (queries, rows) of rows in the order of their
-        ids: ``k`` a query at most, of equal ones those with the least ids. What is returned later may be better."""
+        ids: ``k`` a query at most, of equal ones those with the least ids. What is returned later may be better. ``of``: the queries that are scored, if not all."""
         n = scores.shape[1]
-        floor = self.top[:, 0]
+        floor = self.top[:, 0] if of is None else self.top[of, 0]
         if n > self.k and (floor == -np.inf).any():
             floor = np.maximum(floor, np.round(np.partition(scores, n - self.k, axis=1)[:, n - self.k], self.digits))
         query, row = np.nonzero(scores >= (floor - 10.0**-self.digits)[:, None])
@@ -41,6 +41,7 @@ class Best:
         place = np.arange(len(query)) - np.searchsorted(query, query)
         held = place < self.k
         query, row, score, place = query[held], row[held], score[held], place[held]
+        query = query if of is None else of[query]
         who, at = np.unique(query, return_inverse=True)
         new = np.full((len(who), self.k), -np.inf)
         new[at, place] = score
@@ -71,16 +72,16 @@ def best_rows(rows: DataFrame, ids: pa.Array, query_field: StructField, top_k: i
                     held.append(pa.table({"query": query, "id": batch.column("id").take(pa.array(row + start)), "score": score}))
                     n += len(query)
                     if n > most:
-                        held = [_first_hits(held, top_k)]
+                        held = [first_hits(held, top_k)]
                         n = held[0].num_rows
         if held:
-            for part in _first_hits(held, top_k).to_batches(max_chunksize=1 << 16):
+            for part in first_hits(held, top_k).to_batches(max_chunksize=1 << 16):
                 yield pa.RecordBatch.from_arrays([ids.take(part.column("query")), part.column("id"), part.column("score")], ["query_id", "id", "score"])
 
     return rows.mapInArrow(run, schema)
 
 
-def _first_hits(held: list[pa.Table], top_k: int) -> pa.Table:
+def first_hits(held: list[pa.Table], top_k: int) -> pa.Table:
     """Each query's best by score, then by id."""
     hits = pa.concat_tables(held).sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")]).combine_chunks()
     query = hits.column("query").to_numpy()

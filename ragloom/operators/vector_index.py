@@ -12,13 +12,13 @@ readers see a segment whole or not at all, and an index reopens from its folder
 
 A search reads the cells next to each query only: the buckets are a partition filter of the scan, and a query meets the
 rows of its cells where they lie; large cells are dealt over several tasks. Rows are ordered by their codes, and the best of
-each block are compared with the query exactly.
+each block are compared with the query exactly. A block returns each query's best hits, never all pairs.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ragloom.operators.best import CELLS, Best, first_hits, stored
+
 #: Folders of a segment, and the most cells: what a task holds of the centres is bounded by these.
 BUCKETS, MOST_CELLS = 256, 1 << 16
 _CODEBOOK = "level int, no int, part int, centre array<double>"
@@ -100,6 +102,14 @@ class Codebook:
         norm = np.sqrt((own * own).sum(axis=1)) * np.sqrt((x * x).sum(axis=1))
         return np.where(norm > 0, np.arccos(np.clip((x * own).sum(axis=1) / np.where(norm > 0, norm, 1.0), -1, 1)), np.pi)
 
+    def angles(self, q: np.ndarray) -> np.ndarray:
+        """Angles between a query and all centres; a right one where either is zero."""
+        if not len(self.centres):
+            return np.full(1, np.pi / 2)
+        norm = np.sqrt((self.centres * self.centres).sum(axis=1))
+        cosine = (self.centres @ q) / np.where(norm > 0, norm, 1.0) / (np.sqrt(q @ q) or 1.0)
+        return np.arccos(np.clip(cosine, -1.0, 1.0))
+
     def estimate(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Approximate inner products of a query with coded rows of a cell: sums of looked up parts."""
         out = np.full(len(codes), q @ self.centres[cell] if len(self.centres) else 0.0)
@@ -261,97 +271,113 @@ class VectorIndex:
     def count(self) -> int:
         return self.rows().count()
 
-    def _asked(self, queries: DataFrame, probes: int) -> DataFrame:
+    def _asked(self, queries: DataFrame, cells_of: Callable[[Codebook, np.ndarray, np.ndarray | None], list[np.ndarray]]) -> DataFrame:
+        """``query_id, q, bucket, cells``: a row for each bucket with cells that a query looks into. ``queries`` may have a ``floor``."""
         book = self.book()
         kind = queries.schema["query_id"].dataType.simpleString()
+        buckets, n = min(BUCKETS, book.value.cells), book.value.cells
+        more = [c for c in ("floor",) if c in queries.columns]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    cells = book.value.probes(_matrix(batch.column(1)), probes)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.astype(np.int32).tolist() for c in cells], pa.list_(pa.int32()))], ["query_id", "q", "cells"])
-
-        asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
-        return asked.mapInArrow(run, f"query_id {kind}, q array<double>, cells array<int>").select("query_id", "q", F.explode("cells").alias("cell"))
-
-    def _scan(self, asked: DataFrame, where: Column | None, keep: int | None, block_rows: int, block_queries: int) -> DataFrame:
-        """``query_id, id, score`` of the queries of each cell with its rows; with ``keep``, of each block the best by codes only."""
+                if not batch.num_rows:
+                    continue
+                floor = batch.column("floor").to_numpy(zero_copy_only=False) if more else None
+                for no, cells in enumerate(cells_of(book.value, _matrix(batch.column(1)), floor)):
+                    cells = np.sort(cells).astype(np.int32)
+                    bucket, first = np.unique(cells.astype(np.int64) * buckets // n, return_index=True)
+                    same = pa.array(np.full(len(bucket), no))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(cells)).astype(np.int32)), pa.array(cells))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(bucket.astype(np.int32)), lists], ["query_id", "q", "bucket", "cells"])
+
+        asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q"), *more)
+        return asked.mapInArrow(run, f"query_id {kind}, q array<double>, bucket int, cells array<int>")
+
+    def _scan(self, asked: DataFrame, where: Column | None, keep: int | None, top_k: int, digits: int, block_rows: int, block_queries: int) -> DataFrame:
+        """``query_id, id, score``, rounded, of the queries of each bucket with the rows of their cells there: each query's best of each block of
+        rows; with ``keep``, of those that are best by codes only."""
         book = self.book()
-        cells = [r.cell for r in asked.select("cell").distinct().collect()]  # at most MOST_CELLS numbers
+        cells = [r.cell for r in asked.select(F.explode("cells").alias("cell")).distinct().collect()]  # at most MOST_CELLS numbers
         n = book.value.cells
         buckets = sorted({cell * min(BUCKETS, n) // n for cell in cells})
         rows = self.rows().where(F.col("bucket").isin(buckets))
         if len(cells) <= 1000:
             rows = rows.where(F.col("cell").isin(cells))
         rows = rows if where is None else rows.where(where)
-        # sizes of the cells that are asked for, and of their queries: blocks of rows and of queries meet
-        size = rows.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("down"))
-        wish = asked.groupBy("cell").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("across"))
-        plan = F.broadcast(size.join(wish, "cell"))  # a row for each cell
+        # sizes of the buckets that are asked for, and of their queries: blocks of rows and of queries meet
+        size = rows.groupBy("bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("down"))
+        wish = asked.groupBy("bucket").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("across"))
+        plan = F.broadcast(size.join(wish, "bucket"))  # a row for each bucket
         part = lambda key, many: F.pmod(F.xxhash64(key), F.col(many)).cast("int")
         every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-        left = rows.join(plan, "cell").withColumn("i", part("id", "down")).withColumn("j", every("across")).select("cell", "i", "j", "id", "code", "v")
-        right = asked.join(plan, "cell").withColumn("j", part("query_id", "across")).withColumn("i", every("down")).select("cell", "i", "j", "query_id", "q")
+        held = ["id", "cell", "v"] + ["code"] * (keep is not None)
+        left = rows.join(plan, "bucket").withColumn("i", part("id", "down")).withColumn("j", every("across")).select("bucket", "i", "j", *held)
+        right = asked.join(plan, "bucket").withColumn("j", part("query_id", "across")).withColumn("i", every("down")).select("bucket", "i", "j", "query_id", "q", "cells")
         out = pa.schema([("query_id", _arrow(asked, "query_id")), ("id", _arrow(rows, "id")), ("score", pa.float64())])
 
-        def meet(key: tuple, own: pa.Table, queries: pa.Table) -> pa.Table:
-            held, asks = own.num_rows, queries.num_rows
-            if not held or not asks:
+        def meet(own: pa.Table, queries: pa.Table) -> pa.Table:
+            if not own.num_rows or not queries.num_rows:
+                return out.empty_table()
+            own = own.sort_by([("cell", "ascending"), ("id", "ascending")])
+            cell, x, q = own.column("cell").to_numpy(), _matrix(own.column("v").combine_chunks()), _matrix(queries.column("q").combine_chunks())
+            lists = queries.column("cells").combine_chunks()
+            wanted, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
+            order = np.argsort(wanted, kind="stable")
+            wanted, who = wanted[order], who[order]
+            best, hits = Best(len(q), top_k, digits), []
+            for no in np.unique(cell).tolist():
+                low, high = np.searchsorted(cell, [no, no + 1])
+                some = who[slice(*np.searchsorted(wanted, [no, no + 1]))]
+                rough = keep is not None and high - low > keep
+                codes = np.frombuffer(b"".join(own.column("code").slice(low, high - low).to_pylist()), np.uint8).reshape(high - low, -1) if rough else None
+                step = max(1, CELLS // (high - low))
+                for start in range(0, len(some), step):
+                    of = some[start : start + step]
+                    scores = q[of] @ x[low:high].T
+                    scores[np.isnan(scores)] = np.inf  # what is no number comes first, as it sorts
+                    if rough:
+                        for query, row in zip(of.tolist(), scores, strict=True):
+                            row[np.argpartition(-book.value.estimate(q[query], no, codes), keep - 1)[keep:]] = -np.inf
+                    query, row, score = best.offer(scores, of)
+                    told = score > -np.inf
+                    hits.append(pa.table({"query": query[told], "id": own.column("id").take(pa.array(row[told] + low)), "score": score[told]}))
+            if not hits:
                 return out.empty_table()
-            x = _matrix(own.column("v").combine_chunks())
-            q = _matrix(queries.column("q").combine_chunks())
-            codes = np.frombuffer(b"".join(own.column("code").to_pylist()), np.uint8).reshape(held, -1)
-            who, which, score = [], [], []
-            for no in range(asks):
-                at = np.arange(held)
-                if keep is not None and held > keep:
-                    at = np.argpartition(-book.value.estimate(q[no], key[0].as_py(), codes), keep - 1)[:keep]
-                who.append(np.full(len(at), no)), which.append(at), score.append(x[at] @ q[no])
-            return pa.Table.from_arrays([queries.column("query_id").take(pa.array(np.concatenate(who))), own.column("id").take(pa.array(np.concatenate(which))), pa.array(np.concatenate(score))], schema=out)
+            found = first_hits(hits, top_k)
+            score = found.column("score").to_numpy().copy()
+            score[score == np.inf] = np.nan
+            return pa.Table.from_arrays([queries.column("query_id").take(found.column("query")), found.column("id"), pa.array(score)], schema=out)
 
         told = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
-        return left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInArrow(meet, told)
+        return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInArrow(meet, told)
 
-    def search(self, queries: DataFrame, top_k: int = 20, probes: int = 16, where: Column | None = None, refine: int = 10, digits: int = 6, block_rows: int = 50_000, block_queries: int = 500) -> DataFrame:
+    def search(self, queries: DataFrame, top_k: int = 20, probes: int = 16, where: Column | None = None, refine: int = 10, digits: int = 6, block_rows: int = 50_000, block_queries: int = 1 << 14) -> DataFrame:
         """``query_id, id, score, rank`` of ``(query_id, q)``, unit vectors: the best of the ``probes`` cells next to each query. Of a
         block's rows, the ``refine`` times ``top_k`` best by codes are compared exactly. ``where``: a filter on stored columns."""
-        return _best(self._scan(self._asked(queries, probes), where, refine * top_k, block_rows, block_queries), top_k, digits)
+        return _best(self._scan(self._asked(queries, lambda book, x, _: book.probes(x, probes)), where, refine * top_k, top_k, digits, block_rows, block_queries), top_k, digits)
 
-    def search_exact(self, queries: DataFrame, top_k: int = 20, probes: int = 8, where: Column | None = None, digits: int = 6, block_rows: int = 50_000, block_queries: int = 500) -> DataFrame:
+    def search_exact(self, queries: DataFrame, top_k: int = 20, probes: int = 8, where: Column | None = None, digits: int = 6, block_rows: int = 50_000, block_queries: int = 1 << 14) -> DataFrame:
         """As ``search``, but nothing is missed: the ``probes`` nearest cells give each query a score that its last hit has at least, and
         then all cells are read that may hold a better one: by the triangle inequality of angles, no row of a cell is nearer than the
         angle to its centre less the widest angle of its rows. Made for a stated set of queries."""
-        first = _best(self._scan(self._asked(queries, probes), where, None, block_rows, block_queries), top_k, digits)
-        floor = first.where(F.col("rank") == top_k).select("query_id", F.col("score").alias("floor"))
-        wide = self._all_cells(queries).join(F.broadcast(self._widths()), "cell").join(floor, "query_id", "left")
-        near = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cosine")))) - F.col("width")
-        # rounding lets a score tie that is lower by less than the last digit
-        may = F.cos(F.greatest(F.lit(0.0), near)) >= F.coalesce("floor", F.lit(-2.0)) - 10.0**-digits
-        more = wide.where(may).select("query_id", "q", "cell")
-        return _best(self._scan(more, where, None, block_rows, block_queries), top_k, digits)
+        first = _best(self._scan(self._asked(queries, lambda book, x, _: book.probes(x, probes)), where, None, top_k, digits, block_rows, block_queries), top_k, digits)
+        floor = stored(first.where(F.col("rank") == top_k).select("query_id", F.col("score").alias("floor")), "vector-floor")
+        width = np.full(self.book().value.cells, -np.inf)
+        for r in self._widths().collect():  # at most MOST_CELLS numbers
+            width[r.cell] = r.width
+
+        def may_hold(book: Codebook, x: np.ndarray, floor: np.ndarray) -> list[np.ndarray]:
+            # rounding lets a score tie that is lower by less than the last digit
+            low = np.where(np.isnan(floor), -2.0, floor) - 10.0**-digits
+            return [np.flatnonzero((width > -np.inf) & (np.cos(np.maximum(0.0, book.angles(q) - width)) >= f)) for q, f in zip(x, low, strict=True)]
+
+        more = self._asked(queries.select("query_id", "q").join(floor, "query_id", "left"), may_hold)
+        return _best(self._scan(more, where, None, top_k, digits, block_rows, block_queries), top_k, digits)
 
     def _widths(self) -> DataFrame:
         """``cell, width``: the widest angle between a cell's centre and its rows; of these only the stored angles are read."""
         return self.rows().groupBy("cell").agg((F.max("angle") + 1e-9).alias("width"))
 
-    def _all_cells(self, queries: DataFrame) -> DataFrame:
-        """``query_id, q, cell, cosine`` of the stated queries with every centre, of which there are at most MOST_CELLS."""
-        book = self.book()
-        kind = queries.schema["query_id"].dataType.simpleString()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centres = book.value.centres if len(book.value.centres) else np.zeros((1, 1))
-            norm = np.sqrt((centres * centres).sum(axis=1))
-            for batch in batches:
-                for no in range(batch.num_rows):
-                    q = np.array(batch.column(1)[no].as_py())
-                    cosine = (centres @ q if norm.any() else np.zeros(len(norm))) / np.where(norm > 0, norm, 1.0) / (np.sqrt(q @ q) or 1.0)
-                    same = pa.array(np.full(len(centres), no))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(np.arange(len(centres), dtype=np.int32)), pa.array(cosine)], ["query_id", "q", "cell", "cosine"])
-
-        asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
-        return asked.mapInArrow(run, f"query_id {kind}, q array<double>, cell int, cosine double")
-
 
 def _arrow(df: DataFrame, name: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type

@@ -105,3 +105,14 @@ def test_vector_index_odd(spark, tmp_path):
     assert [(r.id, r.score) for r in got.orderBy("rank").collect()] == [(1, 1.0), (2, 1.0), (None, 0.0)]
     empty = VectorIndex(spark, str(tmp_path / "none")).build(rows.limit(0))
     assert empty.search(rows.where("id = 1").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 5).count() == 0
+
+
+def test_vector_blocks_give_their_best_only(spark, tmp_path):
+    rows = spark.range(300).select("id", retrieval.hash_vector(F.col("id").cast("string")).alias("v"))
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    index = VectorIndex(spark, str(tmp_path / "best")).build(rows, cells=9)
+    told = index._asked(asked, lambda book, x, _: book.probes(x, book.cells))
+    assert told.groupBy("query_id", "bucket").count().where("count > 1").count() == 0
+    cells = index.rows().select("bucket").distinct().count()
+    assert index._scan(told, None, None, 5, 6, 50_000, 500).count() <= 5 * cells * asked.count() < 300 * asked.count()
+    assert sorted(map(tuple, index.search_exact(asked, 5).collect())) == sorted(map(tuple, retrieval.vector_search(rows, asked, 5).collect()))
