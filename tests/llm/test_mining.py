@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ragloom.llm import audit, decontam, licenses, phrases, queries, scoring
+from ragloom.llm import audit, decontam, licenses, phrases, queries, scoring, text_kernels
 
 SCHEMA = "doc_id long, text string, lang string, f string, mask string, lm string"
 ODD = [
@@ -213,6 +213,37 @@ def test_phrases_brute_force(spark, options):
         assert sorted(tuple(r[c] for c in "lang rank phrase a l r n score".split()) for r in got.collect()) == brute_phrases(rows, least, top)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_many_blocks_take_one_pass(spark, monkeypatch, most):
+    rng = random.Random(5)
+    rows = [(rng.choice(["en", "de"]), " ".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))), rng.choice([1, 1, 3, -1])) for _ in range(200)]
+    runs = spark.createDataFrame(rows, "lang string, run string, n long")
+    told = sorted({(lang, " ".join(run.split()[i : i + k])) for lang, run, _ in rows for k in (1, 2, 3, 4) for i in range(len(run.split()) - k + 1)})
+    want = Counter()
+    for lang, run, n in rows:
+        words = run.split()
+        for k in (1, 2, 3, 4):
+            for i in range(len(words) - k + 1):
+                want[lang, " ".join(words[i : i + k])] += n
+    asked = spark.createDataFrame(told, "lang string, phrase string")
+    scanned = {(r.lang, r.phrase): r.f for r in phrases.count_phrases(runs, asked, 1000).collect()}
+    monkeypatch.setattr(phrases, "scan_counts", None)  # each block's pass over all runs
+    plain = phrases.dealt_counts
+    monkeypatch.setattr(phrases, "dealt_counts", lambda *a: plain(*a, most=most))
+    dealt = {(r.lang, r.phrase): r.f for r in phrases.count_phrases(runs, asked, 60).collect()}
+    some = lambda counts: {k: n for k, n in counts.items() if n}
+    assert some(dealt) == some(scanned) == some(want)
+
+
+def test_span_hashes():
+    words = [b"a", b"a\0", b"ab", b"12345678", b"123456789", b"x" * 256, b"x" * 257, b"x" * 5000, "日本".encode()]
+    whole = b"  ".join([b"", *words, *reversed(words), b""])
+    start, size = phrases._spans(whole)
+    got = text_kernels.span_hashes(whole, start, size, 7).tolist()
+    assert [whole[a : a + n] for a, n in zip(start, size, strict=True)] == [*words, *reversed(words)]
+    assert got[: len(words)] == got[len(words) :][::-1] and len(set(got)) == len(words)
+
+
 def test_phrases_odd(none, odd):
     assert phrases.collocations(none).count() == 0
     got = sorted(tuple(r[c] for c in "lang rank phrase a l r n score".split()) for r in phrases.collocations(odd).collect())
