@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Depths of the metrics, and how much of an evidence is compared and counts as found.
+# Depths of the metrics, how much of an evidence `evidence_matches` compares, and how much counts as found.
 KS = (1, 3, 5, 10)
 CHAIN = ("rrf_fused", "deduped", "reranked", "final_parents")
 SINGLE = ("vector_only", "bm25_only")
@@ -313,19 +313,23 @@ def longest_common(a: np.ndarray, b: np.ndarray) -> int:
     return low
 
 
-def _ratio(content: str | None, evidence: str | None) -> float:
+def whole_ratio(content: str | None, evidence: str | None) -> float:
     if not content or not evidence:
         return 0.0
     if evidence in content:
         return 1.0
     points = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
-    part = evidence[:EVIDENCE_CHARS]
-    found = longest_common(points(part), points(content))
-    return found / len(part) if found >= min(SHORTEST_MATCH, len(part)) else 0.0
+    found = longest_common(points(evidence), points(content))
+    return found / len(evidence) if found >= min(SHORTEST_MATCH, len(evidence)) else 0.0
+
+
+def _ratio(content: str | None, evidence: str | None) -> float:
+    """The ratio of ``evidence_matches``, whose SQL compares an evidence's first signs only."""
+    return whole_ratio(content, evidence and evidence[:EVIDENCE_CHARS])
 
 
 def match_ratio(content: Column, evidence: Column) -> Column:
-    """1 where the text holds the evidence, else the share of the evidence that their longest
+    """1 where the text holds the evidence, else the share of the whole evidence that their longest
     common substring covers. White space and case don't count; null or empty texts match nothing.
 
     Arrow batches, as there's no built-in for it; pairs come from a bounded list per question.
@@ -333,6 +337,6 @@ def match_ratio(content: Column, evidence: Column) -> Column:
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series([whole_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return ratio(evidence_key(content), evidence_key(evidence))
