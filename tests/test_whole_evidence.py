@@ -27,3 +27,13 @@ def test_presets_look_for_the_whole_evidence(spark):
     items = spark.createDataFrame([(1, short[:60], LONG), (2, rest[500:560], rest), (3, rest[600:660], rest)], "item_id long, question string, evidence string")
     row = presets.sweep_presets(docs, items, evaluation.PRESETS[3:4]).first()
     assert (row.questions, row.recall_5) == (3, pytest.approx(2 / 3, abs=1e-6))
+
+
+def test_tables_of_a_chunking_are_deleted(spark, tmp_path, monkeypatch):
+    """Only the contexts are left before the rows are read."""
+    monkeypatch.setattr(presets, "scratch_folder", lambda spark, name: str(tmp_path / name))
+    docs = spark.createDataFrame([(1, LONG)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, LONG[:60], LONG[:300])], "item_id long, question string, evidence string")
+    found = presets.sweep_presets(docs, items, evaluation.PRESETS[:1])
+    assert [p.name for p in (tmp_path / "presets").iterdir()] == ["contexts-chunk_fixed"]
+    assert found.first().recall_5 == 1.0
